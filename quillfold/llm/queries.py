@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import bpe
+from quillfold.llm import bpe, langid, mixing, toxicity
 from quillfold.llm.common import table
 
 
@@ -21,8 +21,27 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern, digests=True)
 
 
+def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+def op10_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict_documents(docs, langid.fit(docs))
+
+
 QUERIES = {
+    "op1_toxicity_nnpu": op1_toxicity_nnpu,
+    "op6_poisson_mixing": op6_poisson_mixing,
+    "op10_rank_order_langid": op10_rank_order_langid,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_poisson_mixing": mixing.ORACLE,
+}
