@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import bpe, langid, mixing, toxicity
+from quillfold.llm import bpe, langid, mixing, packing, toolcalls, toxicity
 from quillfold.llm.common import table
 
 
@@ -30,6 +30,16 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op7_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_ranks()
+    return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, pattern, digests=True)
+
+
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.dialogue_calls(table(spark, sf_dir, "conversations"))
+    return toolcalls.link_calls(calls, results, {"reply": toolcalls.REPLY})
+
+
 def op10_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict_documents(docs, langid.fit(docs))
@@ -39,6 +49,8 @@ QUERIES = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op10_rank_order_langid": op10_rank_order_langid,
+    "op7_bfd_packing": op7_bfd_packing,
+    "op9_tool_calls": op9_tool_calls,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
