@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import bpe, langid, mixing, packing, toolcalls, toxicity
+from quillfold.llm import bpe, ivfpq, langid, mixing, mtree, packing, toolcalls, toxicity
 from quillfold.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op1_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+def op5_ivfpq_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ def op10_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
+    "op2_mtree_topk": op2_mtree_topk,
+    "op5_ivfpq_ann": op5_ivfpq_ann,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op10_rank_order_langid": op10_rank_order_langid,
     "op7_bfd_packing": op7_bfd_packing,
