@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import bpe, ivfpq, langid, mixing, mtree, packing, toolcalls, toxicity
+from quillfold.llm import bpe, ivfpq, jaccard, langid, mixing, mtree, packing, toolcalls, toxicity
 from quillfold.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_inner_products(table(spark, sf_dir, "embeddings"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_ivfpq_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ def op10_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op2_mtree_topk": op2_mtree_topk,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op5_ivfpq_ann": op5_ivfpq_ann,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op10_rank_order_langid": op10_rank_order_langid,
