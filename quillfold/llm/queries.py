@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfold.llm import bpe, ivfpq, jaccard, langid, mixing, mtree, packing, toolcalls, toxicity
+from quillfold.llm import bpe, ivfpq, jaccard, langid, mixing, mtree, packing, repeats, toolcalls, toxicity
 from quillfold.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op5_ivfpq_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivfpq.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op2_mtree_topk": op2_mtree_topk,
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_ivfpq_ann": op5_ivfpq_ann,
     "op6_poisson_mixing": op6_poisson_mixing,
     "op10_rank_order_langid": op10_rank_order_langid,
