@@ -41,6 +41,7 @@ LENGTH = 100
 GRAM = 32
 BEFORE = LENGTH - GRAM
 MAX_LIST = 4096
+OUTPUTS = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text"}
 #: Context bytes sent on in one output batch.
 FLUSH_BYTES = 4 << 20
 
@@ -265,14 +266,20 @@ def list_spans(h: np.ndarray, doc_id: np.ndarray, place: np.ndarray, contexts: l
     sizes = np.diff(np.append(starts, len(h)))
     two = np.repeat(sizes == 2, sizes)
     out = [_pairs(doc_id[two], place[two], [c for c, t in zip(contexts, two.tolist(), strict=True) if t])] if two.any() else []
-    rows = []
     for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        of = list(zip(doc_id[s : s + n].tolist(), place[s : s + n].tolist(), strict=True))
-        for left, right, members in maximal_repeats(contexts[s : s + n], [p >> 8 & 255 for _, p in of]):
-            earliest = min(of[m] for m in members)
-            rows += [(d, (p >> 16) - left, (p >> 16) + right) for d, p in (of[m] for m in members) if (d, p) != earliest]
-    if rows:
-        out.append(tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)))
+        of_doc, of_place = doc_id[s : s + n], place[s : s + n]
+        order = np.empty(n, dtype=np.int64)
+        order[np.lexsort((of_place, of_doc))] = np.arange(n)
+        # All spans of an occurrence hold its anchor, so their union is one span.
+        left_most, right_most = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+        for left, right, members in maximal_repeats(contexts[s : s + n], (of_place >> 8 & 255).tolist()):
+            members = np.array(members)
+            members = members[order[members] != order[members].min()]
+            left_most[members] = np.maximum(left_most[members], left)
+            right_most[members] = np.maximum(right_most[members], right)
+        gone = np.flatnonzero(right_most >= 0)
+        at = of_place[gone] >> 16
+        out.append((of_doc[gone], at - left_most[gone], at + right_most[gone]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
 
 
@@ -322,19 +329,20 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return spans
 
 
-def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, digests: bool = False, as_text: bool = False) -> DataFrame:
     """All columns of docs, with n_bytes, n_removed, n_spans, and the spans (start, end) and kept bytes.
 
+    An input column of one of these names is replaced. With `as_text` kept_text instead of the bytes; a character of which a part was removed goes.
     With `digests` only doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = find_spans(plain).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_found"))
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(spans, "doc_id", "left")
-    own = ["doc_id"] if digests else docs.columns
-    made = "n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "spans array<struct<start:long,end:long>>, kept binary")
+    own = ["doc_id"] if digests else [c for c in docs.columns if c.lower() not in OUTPUTS]
+    made = "n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "spans array<struct<start:long,end:long>>, " + ("kept_text string" if as_text else "kept binary"))
     rows = rows.select(*own, F.coalesce("text", F.lit("")).alias("_text"), F.transform("_found", lambda s: F.array(s["start"], s["end"])).alias("_found"))
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), *((pa.string(),) if digests else (pair, pa.binary())))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), *((pa.string(),) if digests else (pair, pa.string() if as_text else pa.binary())))
     names = [*own, *(c.split(" ")[0] for c in made.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +352,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False) -> DataFrame:
                 data, gone = text.as_py().encode(), merge_spans([tuple(s) for s in found.as_py() or ()])
                 cuts = [0, *(x for s in gone for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
-                last = (hashlib.sha256(kept).hexdigest(),) if digests else ([{"start": s, "end": e} for s, e in gone], kept)
+                last = (hashlib.sha256(kept).hexdigest(),) if digests else ([{"start": s, "end": e} for s, e in gone], kept.decode("utf-8", "ignore") if as_text else kept)
                 out.append((len(data), len(data) - len(kept), len(gone), *last))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(own))), *columns], names=names)
