@@ -40,7 +40,8 @@ from quillfold.llm.text_arrays import SLICE_BYTES, mix, text_slices
 LENGTH = 100
 GRAM = 32
 BEFORE = LENGTH - GRAM
-MAX_LIST = 4096
+#: Contexts of one list in memory, under 300 bytes each.
+MAX_LIST = 1 << 15
 OUTPUTS = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text"}
 #: Context bytes sent on in one output batch.
 FLUSH_BYTES = 4 << 20
