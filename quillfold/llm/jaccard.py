@@ -41,11 +41,12 @@ from quillfold.llm.text_arrays import mix, overlap, shingle_sets, text_slices
 BANDS, ROWS = 8, 3
 MAX_COMMON = 500_000
 BROADCAST_IDS = 1_000_000
-#: In how many documents of one task a shingle must occur to be reported as common.
-COMMON_IN_TASK = 4
+#: In how many unrelated documents of one task a shingle must occur to be reported as common.
+COMMON_IN_TASK = 2
 #: Hashes held while common shingles are counted.
 HELD_HASHES = 1 << 21
 LONG_LIST = 64
+HELD_SETS, STREAMED_SETS = 256, 4096
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -86,7 +87,10 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that many documents hold, the rarest first: at most MAX_COMMON."""
+    """Shingles that many documents hold, the rarest first: at most MAX_COMMON.
+
+    Only the order of prefixes follows from it, so an estimate will do.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
@@ -256,6 +260,71 @@ def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, n_a long, n_b long, shared long").dropDuplicates(["a", "b"])
 
 
+
+
+
+def _is_link():
+    return links(F.col("shared"), F.col("n_a"), F.col("n_b"))
+
+
+def _needed(a, b):
+    return F.floor((3 * (a + b) + 6) / 7)
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose two sides are not connected yet."""
+    of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    joined = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
+
+
+def _member_links(docs: DataFrame, unsure: DataFrame, members: DataFrame) -> DataFrame:
+    """Links between members of two leaders' groups: the first one found in each task, which connects the groups.
+
+    Members of the smaller group are held, in blocks of about HELD_SETS, while those of the larger one
+    stream by, in parts of about STREAMED_SETS. Pairs are not made into rows, and only those are
+    computed whose bound, from the leaders' overlap, still reaches the threshold.
+    """
+    held = unsure.join(members.select(F.col("leader").alias("h"), F.col("rep").alias("id"), "n", "own"), "h")
+    held = held.where(F.col("shared") + F.col("own") + F.col("of_s.most") >= _needed(F.col("n"), F.col("of_s.least")))
+    counts = held.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / HELD_SETS).cast("int").alias("blocks"), F.max(F.ceil(F.col("of_s.size") / STREAMED_SETS)).cast("int").alias("parts"))
+    held = held.join(counts, "s").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    streamed = counts.join(members.select(F.col("leader").alias("s"), F.col("rep").alias("id"), "n", "own"), "s")
+    streamed = streamed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["s", "block", "part", "kind"]
+    rows = held.withColumn("kind", F.lit(0)).select(*key, "id", "n", "own", "h", "shared").unionByName(streamed.select("s", "block", "part", F.lit(1).alias("kind"), "id", "n", "own", F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("shared")))
+    rows = materialise(rows)
+    texts = _restrict(docs.select("doc_id", "text"), materialise(rows.select(F.col("id").alias("doc_id")).distinct())).dropDuplicates(["doc_id"])
+    rows = rows.join(texts.withColumnRenamed("doc_id", "id"), "id").select(*key, "id", "n", "own", "h", "shared", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting = None, []
+        for part in batches:
+            columns = [part.column(i).to_pylist() for i in range(9)]
+            out = []
+            for first, data, offsets in text_slices(part.column(9)):
+                for i, x in enumerate(shingle_sets(data, offsets), first):
+                    s, block, piece, kind, doc, n, own, h, shared = (c[i] for c in columns)
+                    if (s, block, piece) != now:
+                        now, waiting = (s, block, piece), []
+                    if kind == 0:
+                        waiting.append((doc, n, own, h, shared, x))
+                        continue
+                    joined = set()
+                    for doc_z, n_z, own_z, h_z, shared_z, z in waiting:
+                        if h_z in joined or own + own_z == 0 or shared_z + own + own_z < needed(n, n_z) or 4 * min(n, n_z) < 3 * max(n, n_z):
+                            continue
+                        if links(overlap(x, z), n, n_z):
+                            out.append((doc, doc_z))
+                            joined.add(h_z)
+                    if joined:
+                        waiting = [w for w in waiting if w[3] not in joined]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return rows.repartition("s", "block", "part").sortWithinPartitions(*key, "id").mapInArrow(run, "a long, b long")
+
+
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -268,7 +337,7 @@ def join_documents(docs: DataFrame) -> DataFrame:
     stars = keyed.join(heads, ["band", "key"]).where("head <> rep AND 4 * least(n, n_head) >= 3 * greatest(n, n_head)")
     stars = materialise(stars.select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct())
     proved = materialise(verify(docs, stars))
-    linked = proved.where(links(F.col("shared"), F.col("n_a"), F.col("n_b")))
+    linked = proved.where(_is_link())
     led = materialise(linked.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("leader"), F.min_by(F.col("n_a") - F.col("shared"), "b").alias("own")))
     star_edges = materialise(linked.select("a", "b"))
     first = materialise(components(star_edges))
@@ -277,31 +346,24 @@ def join_documents(docs: DataFrame) -> DataFrame:
     copies = signed.where("doc_id IS NOT NULL").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("long").alias("leader"), F.lit(True).alias("skip"))
     special = materialise(copies.unionByName(led.select(F.col("rep").alias("doc_id"), "leader", F.lit(False).alias("skip"))))
     side = F.broadcast(special) if special.count() <= BROADCAST_IDS else special
-    own = docs.where("doc_id IS NOT NULL").join(side, "doc_id", "left").where("skip IS NULL OR NOT skip").select("text", F.coalesce("leader", "doc_id").alias("leader"))
-    pairs = candidates(prefixes(own, common_shingles(docs)))
+    own = docs.where("doc_id IS NOT NULL").join(side, "doc_id", "left").where("skip IS NULL OR NOT skip").select("text", F.coalesce("leader", "doc_id").alias("leader"), F.col("leader").isNull().alias("single"))
+    pairs = candidates(prefixes(own, common_shingles(own.where("single"))))
 
-    # Answers: leaders once, then only the members that their leaders' answer leaves open.
-    of = lambda c, name: first.select(F.col("node").alias(c), F.col("component").alias(name))
-    pairs = pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
-    pairs = materialise(pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    # Answers: leaders once, then only what their answer leaves open for their members.
+    pairs = materialise(_apart(pairs, first))
     answers = materialise(verify(docs, pairs))
-    leader_links = answers.where(links(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+    edges = star_edges.unionByName(answers.where(_is_link()).select("a", "b"))
+    found = materialise(components(edges))
 
     members = classes.select("rep", "n").join(led, "rep", "left").select("rep", "n", F.coalesce("leader", "rep").alias("leader"), F.coalesce("own", F.lit(0)).alias("own"))
-    groups = members.groupBy("leader").agg(F.max("own").alias("most"), F.min("n").alias("least"))
-    side_of = lambda c: groups.select(F.col("leader").alias(c), F.col("most").alias(f"most_{c}"), F.col("least").alias(f"least_{c}"))
-    unsure = answers.where(~links(F.col("shared"), F.col("n_a"), F.col("n_b"))).join(side_of("a"), "a").join(side_of("b"), "b")
-    unsure = unsure.where((F.col("most_a") + F.col("most_b") > 0) & (F.col("shared") + F.col("most_a") + F.col("most_b") >= F.floor((3 * (F.col("least_a") + F.col("least_b")) + 6) / 7)))
-    member = lambda c: members.select(F.col("leader").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"size_{c}"), F.col("own").alias(f"own_{c}"))
-    some = unsure.join(member("a"), "a").where(F.col("shared") + F.col("own_a") + F.col("most_b") >= F.floor((3 * (F.col("size_a") + F.col("least_b")) + 6) / 7))
-    both = some.join(member("b"), "b").where(F.col("shared") + F.col("own_a") + F.col("own_b") >= F.floor((3 * (F.col("size_a") + F.col("size_b")) + 6) / 7))
-    both = both.where("own_a + own_b > 0 AND 4 * least(size_a, size_b) >= 3 * greatest(size_a, size_b)")
-    open_pairs = materialise(both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
-    member_links = verify(docs, open_pairs).where(links(F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-
-    edges = star_edges.unionByName(leader_links).unionByName(member_links)
-    found = materialise(components(edges))
-    for gone in (proved, answers, pairs, open_pairs, stars, special):
-        discard(gone)
+    groups = members.groupBy("leader").agg(F.max("own").alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
+    side_of = lambda c: groups.select(F.col("leader").alias(c), F.struct("most", "least", "size").alias(f"of_{c}"))
+    unsure = _apart(answers.where(~_is_link()), found).join(side_of("a"), "a").join(side_of("b"), "b")
+    unsure = unsure.where((F.col("of_a.most") + F.col("of_b.most") > 0) & (F.col("shared") + F.col("of_a.most") + F.col("of_b.most") >= _needed(F.col("of_a.least"), F.col("of_b.least"))))
+    swap = F.col("of_a.size") < F.col("of_b.size")
+    unsure = materialise(unsure.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("s"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("h"), "shared", F.when(swap, F.col("of_b")).otherwise(F.col("of_a")).alias("of_s")))
+    if not unsure.isEmpty():
+        edges = edges.unionByName(materialise(_member_links(docs, unsure, members)))
+        found = materialise(components(edges))
     rows = signed.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
