@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillfold.plans import catalog, steps
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of at least 20 words, latest of each identical text, counted by source."""
@@ -18,9 +20,17 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+FLAGSHIP = """
+WITH kept AS (
+  SELECT source, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS rn FROM documents
+  WHERE len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) >= 20
+) SELECT source, count(*) AS n_docs FROM kept WHERE rn = 1 GROUP BY source
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"flagship_sources": flagship, **catalog.QUERIES, **steps.QUERIES}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"flagship_sources": FLAGSHIP, **catalog.ORACLES, **steps.ORACLES}
