@@ -63,7 +63,7 @@ def test_packing_is_lossless_and_tight(spark):
     for r in rows:
         ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4")
         assert len(ids) == 64 and r.cu_seqlens[-1] == r.n_tokens <= 64
-        for d, p, a, b in zip(r.doc_ids, r.parts, r.cu_seqlens, r.cu_seqlens[1:], strict=True):
+        for d, p, a, b in zip(r.doc_ids, r.parts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
             assert list(positions[a:b]) == list(range(b - a))
             pieces[d][p] = list(ids[a:b])
     assert {d: sum((ps[k] for k in sorted(ps)), []) for d, ps in pieces.items()} == {i: enc.encode_ordinary(t) for i, t in texts}
@@ -121,7 +121,7 @@ def near_corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard_join_is_exact(spark, seed):
     texts = near_corpus(seed) + [(1000 + i, t) for i, t in corpus(seed)]
     sets = brute_sets(texts)
@@ -136,14 +136,14 @@ def test_jaccard_edges(spark):
     assert jaccard.join_documents(frame(spark, [])).count() == 0
 
 
-def test_long_lists_give_the_same_pairs(monkeypatch):
+def test_long_lists_lose_no_pair(monkeypatch):
     rng = np.random.default_rng(0)
     n = rng.integers(4, 40, 300)
     rest = n - 1 - rng.integers(0, np.maximum(1, n // 4))
     h, leader = np.sort(rng.integers(0, 5, 300)), rng.integers(0, 250, 300)
     short = jaccard.list_pairs(h, leader, n, rest)
     monkeypatch.setattr(jaccard, "LONG_LIST", 0)
-    assert len(short) and {tuple(p) for p in jaccard.list_pairs(h, leader, n, rest)} == {tuple(p) for p in short}
+    assert len(short) and {tuple(p) for p in jaccard.list_pairs(h, leader, n, rest)} >= {tuple(p) for p in short}  # blocks bound a little wider
 
 
 def test_components_of_chains(spark):
