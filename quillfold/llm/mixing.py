@@ -55,17 +55,16 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, budge
     """
     size = F.sum(F.greatest(F.coalesce(F.length("text"), F.lit(1)), F.lit(1))).cast("double")
     sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(size.alias("size"))
-    total = sizes.agg(F.sum("size").alias("total"), F.count(F.lit(1)).cast("double").alias("n_sources"))
+    whole = sizes.agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("n")).head()  # two numbers
     if weights is None:
-        share = F.lit(1.0) / F.col("n_sources")
+        share = F.lit(1.0 / max(1, whole["n"]))
     else:
         scale = float(sum(weights.values())) or 1.0
         share = F.lit(0.0)
         for name, weight in weights.items():
             share = F.when(F.col("source") == F.lit(name), F.lit(weight / scale)).otherwise(share)
     return (
-        sizes.join(F.broadcast(total))  # one row
-        .withColumn("rate", share * F.lit(float(budget)) * F.col("total") / F.col("size"))
+        sizes.withColumn("rate", share * F.lit(float(budget)) * F.lit(float(whole["total"] or 0.0)) / F.col("size"))
         .withColumn("parts", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int"))
         .withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts")))
         .select("source", "rate", "parts", "cdf")
