@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillfold.llm.common import materialise
 from quillfold.llm.vectors import matrix, sample, squared_distances, usable
 
-PAGE = 64
+PAGE = 128
 FANOUT = 16
 TREE_ROWS = 4096
 MAX_REGIONS = 1024
@@ -66,6 +66,28 @@ class MTree:
         self.lift = np.sqrt((self.most - squares).astype(np.float64))
         self.computed = 0
         self.root = self._build(np.arange(len(ids)), None)
+        # Pages stand side by side, and products are of doubles where these are exact.
+        leaves, stack = [], [self.root]
+        while stack:
+            page = stack.pop()
+            stack += page.children
+            if page.members is not None:
+                leaves.append(page)
+        order = np.concatenate([p.members for p in leaves])
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.x, self.ids, self.lift = self.x[order], self.ids[order], self.lift[order]
+        self.exact = self.x.astype(np.float64) if self.most < 2**50 else self.x
+        start, stack = 0, [self.root]
+        while stack:
+            page = stack.pop()
+            stack += page.children
+            page.route = int(place[page.route])
+            if page.far is not None:
+                page.far[:, 2] = place[page.far[:, 2].astype(np.int64)]
+        for page in leaves:
+            page.members = (start, start + len(page.members))
+            start = page.members[1]
 
     def _distances(self, rows: np.ndarray, route: int) -> np.ndarray:
         d = self.x[rows] - self.x[route]
@@ -98,27 +120,33 @@ class MTree:
     def search(self, q: np.ndarray, k: int, own_id: int, at_least: int | None = None) -> list[tuple[int, int]]:
         """The best (score, id), best first; only those with a score of at_least, where it is given."""
         qq = int((q * q).sum())
+        q = q.astype(self.exact.dtype) if qq < 2**50 else q
+        x = self.exact if q.dtype == self.exact.dtype else self.x
         to = lambda score: np.sqrt(np.maximum(qq + self.most - 2.0 * score, 0.0))
         limit = np.inf if at_least is None else float(to(at_least)) + SLACK
         best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
         self.computed += 1
-        queue = [(0.0, 0, self.root, float(to(int(self.x[self.root.route] @ q))))]
+        queue = [(0.0, 0, self.root, float(to(float(x[self.root.route] @ q))))]
         serial = 0
         while queue:
             bound, _, page, d = heapq.heappop(queue)
             if bound > limit:
                 break
             if page.members is not None:
-                near = page.members[np.abs(d - page.to_route) <= limit]
-                self.computed += len(near)
-                scores = self.x[near] @ q
-                for score, i in zip(scores.tolist(), self.ids[near].tolist(), strict=True):
-                    if i == own_id or (at_least is not None and score < at_least):
+                first, last = page.members
+                near = np.abs(d - page.to_route) <= limit
+                rows, ids = (x[first:last], self.ids[first:last]) if near.all() else (x[first:last][near], self.ids[first:last][near])
+                self.computed += len(rows)
+                scores = rows @ q
+                least = max(best[0][0] if len(best) == k else -np.inf, -np.inf if at_least is None else at_least)
+                good = scores >= least
+                for score, i in zip(scores[good].tolist(), ids[good].tolist(), strict=True):
+                    if i == own_id:
                         continue
                     if len(best) < k:
-                        heapq.heappush(best, (score, -i))
+                        heapq.heappush(best, (int(score), -i))
                     elif (score, -i) > best[0]:
-                        heapq.heapreplace(best, (score, -i))
+                        heapq.heapreplace(best, (int(score), -i))
                 if len(best) == k:
                     limit = min(limit, float(to(best[0][0])) + SLACK)
                 continue
@@ -126,7 +154,7 @@ class MTree:
             open_ = np.abs(d - stored[:, 0]) - stored[:, 1] <= limit
             routes = stored[open_, 2].astype(np.int64)
             self.computed += len(routes)
-            exact = to((self.x[routes] @ q).astype(np.float64))
+            exact = to((x[routes] @ q).astype(np.float64))
             for j, dist, radius in zip(np.flatnonzero(open_).tolist(), exact.tolist(), stored[open_, 1].tolist(), strict=True):
                 if dist - radius <= limit:
                     serial += 1
