@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from quillfold.llm.common import materialise
 from quillfold.llm.vectors import matrix, sample, squared_distances, usable
 
-PAGE = 128
+PAGE = 256
 FANOUT = 16
 TREE_ROWS = 4096
 MAX_REGIONS = 1024
@@ -101,14 +101,15 @@ class MTree:
             page.members, page.to_route = rows, own
             return page
         nearest, best, pivot = np.zeros(len(rows), dtype=np.int64), own.copy(), 0
-        for k in range(1, FANOUT):  # farthest-first routing objects
+        fan = min(FANOUT, -(-2 * len(rows) // PAGE))  # pages at least about half full
+        for k in range(1, fan):  # farthest-first routing objects
             pivot = int(np.argmax(best))
             if best[pivot] == 0:
                 break
             d = self._distances(rows, int(rows[pivot]))
             closer = d < best
             nearest[closer], best[closer] = k, d[closer]
-        parts = [rows[nearest == k] for k in range(FANOUT)]
+        parts = [rows[nearest == k] for k in range(fan)]
         parts = [p for p in parts if len(p)]
         if len(parts) == 1 or max(map(len, parts)) > 0.9 * len(rows):  # copies, or an outlier: cut evenly
             spread = rows[np.argsort(own, kind="stable")]
