@@ -27,6 +27,8 @@ from quillfold.llm.common import crc32_mod
 
 LENGTH = 300
 UNKNOWN = "und"
+#: Rows of the table of languages up to which it is broadcast.
+BROADCAST_LANGUAGES = 10_000
 _LETTERS: list[np.ndarray] = []
 
 
@@ -91,6 +93,8 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, per_language: int =
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(crc32_mod(F.col("doc_id"), folds) != held_out)
     share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select(F.col("lang").alias("_lang"), (F.lit(float(per_language)) / F.col("n")).alias("_share"))
+    few = share.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    share = F.broadcast(share) if few else share
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.join(share, F.col("lang") == F.col("_lang")).where(draw < F.col("_share")).select("lang", "text")
 
