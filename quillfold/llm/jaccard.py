@@ -111,24 +111,51 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
         if held:
             yield report()
 
-    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect()
-    return np.array([r["h"] for r in reversed(rows)], dtype=np.int64).view(np.uint64)
+    counts = materialise(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    # The least count with which no more than MAX_COMMON shingles go to the driver, from a histogram.
+    steps = F.floor(F.log2("n") * 16)
+    above, least = 0, None
+    for r in sorted(counts.groupBy(steps.alias("step")).agg(F.count(F.lit(1)).alias("size")).collect(), reverse=True):  # 1024 steps at most
+        above += r["size"]
+        if above > MAX_COMMON:
+            break
+        least = r["step"]
+    if least is None:
+        return np.empty(0, dtype=np.uint64)
+    found = counts.where(steps >= least).toArrow()
+    discard(counts)
+    h, n = found["h"].to_numpy(), found["n"].to_numpy()
+    return h[np.lexsort((-h, n))].view(np.uint64)
+
+
+def _merge(h: np.ndarray, leader: np.ndarray, least: np.ndarray, most: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each leader in each list, sorted by both."""
+    order = np.lexsort((leader, h))
+    h, leader, least, most, rest = (x[order] for x in (h, leader, least, most, rest))
+    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (leader[1:] != leader[:-1]))))
+    return h[new], leader[new], np.minimum.reduceat(least, new), np.maximum.reduceat(most, new), np.maximum.reduceat(rest, new)
+
+
+def _entries(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    h, leader, least, most, rest = _merge(*(np.concatenate(c) for c in zip(*held, strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, leader, least, rest, most)], names=["h", "leader", "least", "rest", "most"])
 
 
 def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """h, leader, n, rest for each shingle of each document's prefix; rest is what follows it in the set."""
+    """h, leader, least and most size, rest for each shingle of each prefix; rest is the most that follows it in a set.
+
+    Sets with one leader share their entries before the shuffle, so that a large group of near copies costs a list a few rows.
+    """
     order = np.argsort(common, kind="stable")
     shared = docs.sparkSession.sparkContext.broadcast((common[order], order + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
         for part in batches:
             leaders = np.asarray(part.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
             for first, data, offsets in text_slices(part.column(0)):
-                sets = shingle_sets(data, offsets)
-                hashes, rests, sizes, owners = [], [], [], []
-                for i, s in enumerate(sets):
+                for s, leader in zip(shingle_sets(data, offsets), leaders[first:], strict=False):
                     n = len(s)
                     if not n:
                         continue
@@ -138,15 +165,15 @@ def prefixes(docs: DataFrame, common: np.ndarray) -> DataFrame:
                         if is_common.any():
                             s = s[np.argsort(np.where(is_common, place[at], 0), kind="stable")]
                     length = n - (3 * n + 3) // 4 + 1
-                    hashes.append(s[:length])
-                    rests.append(np.arange(n - 1, n - 1 - length, -1, dtype=np.int32))
-                    sizes.append(np.full(length, n, dtype=np.int32))
-                    owners.append(np.full(length, leaders[first + i], dtype=np.int64))
-                if hashes:
-                    arrays = [np.concatenate(hashes).view(np.int64), np.concatenate(owners), np.concatenate(sizes), np.concatenate(rests)]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["h", "leader", "n", "rest"])
+                    size = np.full(length, n, dtype=np.int32)
+                    held.append((s[:length].view(np.int64), np.full(length, leader), size, size, np.arange(n - 1, n - 1 - length, -1, dtype=np.int32)))
+            if sum(len(x[0]) for x in held) > HELD_HASHES:
+                yield _entries(held)
+                held = []
+        if held:
+            yield _entries(held)
 
-    return docs.select("text", "leader").mapInArrow(run, "h long, leader long, n int, rest int")
+    return docs.select("text", "leader").mapInArrow(run, "h long, leader long, least int, rest int, most int")
 
 
 def _long_list(least: np.ndarray, most: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,12 +197,10 @@ def _long_list(least: np.ndarray, most: np.ndarray, rest: np.ndarray) -> tuple[n
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def list_pairs(h: np.ndarray, leader: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Distinct candidate pairs of leaders in whole index lists; h is sorted."""
-    order = np.lexsort((leader, h))
-    h, leader, n, rest = h[order], leader[order], n[order].astype(np.int64), rest[order].astype(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (leader[1:] != leader[:-1]))))
-    h, leader, least, most, rest = h[new], leader[new], np.minimum.reduceat(n, new), np.maximum.reduceat(n, new), np.maximum.reduceat(rest, new)
+def list_pairs(h: np.ndarray, leader: np.ndarray, least: np.ndarray, rest: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+    """Distinct candidate pairs of leaders in whole index lists; h is sorted. Entries of one set each have no most."""
+    wide = (x.astype(np.int64) for x in (least, least if most is None else most, rest))
+    h, leader, least, most, rest = _merge(h, leader, *wide)
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     lengths = np.diff(np.append(starts, len(h)))
     of = np.repeat(lengths, lengths)
@@ -208,7 +233,7 @@ def candidates(postings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         for part in batches:
-            columns = [np.asarray(part.column(i).to_numpy(zero_copy_only=False)) for i in range(4)]
+            columns = [np.asarray(part.column(i).to_numpy(zero_copy_only=False)) for i in range(5)]
             held = columns if held is None else [np.concatenate(c) for c in zip(held, columns, strict=True)]
             if not len(held[0]):
                 continue
