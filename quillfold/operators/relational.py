@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a looked-up table is broadcast.
@@ -112,13 +113,15 @@ def presence(df: DataFrame, fields: Sequence[str], by: str) -> DataFrame:
     return counts.select(by, "n", pairs.alias("p")).select(by, "p.field", "p.present", (F.col("n") - F.col("p.present")).alias("missing"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component of (a, b) pairs by hooking to the least neighbour and pointer jumping; lineage is cut each round."""
-    spark = edges.sparkSession
+def use_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder that the session names; to a local one only where it names none."""
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """node, component of (a, b) pairs by hooking to the least neighbour and pointer jumping; lineage is cut each round."""
+    use_checkpoints(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
     for _ in range(rounds):

@@ -37,3 +37,9 @@ def test_matches_sql(spark, duck, sf_dir, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(LLM) and n != "pipeline"))
+def test_runs(spark, sf_dir, name):
+    got = entry.queries()[name](spark, sf_dir)
+    assert got.columns and len(got.collect()) >= 0
