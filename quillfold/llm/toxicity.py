@@ -11,7 +11,8 @@ so that inflected and compounded forms share weight. The vocabulary has the feat
 `min_positive` confirmed examples hold, LIFT times as often as unlabelled text does or more.
 
 Sample bounds (documented parameters): at most `max_positive` toxic examples and `max_unlabelled`
-unlabelled documents, the first by a hash of the id. The model is a few thousand weights; it alone
+unlabelled documents, the first by a hash of the id. Their features are counted by Spark; the driver gets the
+vocabulary and the sample as its numbers, never words. The model is a few thousand weights; it alone
 is broadcast. Scoring is one map over the documents, without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; without
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import crc32_mod
+from quillfold.llm.common import crc32_mod, discard, materialise
 
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -86,13 +87,21 @@ def train_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: floa
     """Fit the linear model by Adam on the non-negative risk, with the logistic loss."""
     if not positive:
         return Model({}, -40.0)
-    least = max(3, len(positive) // 200) if min_positive is None else min_positive
     counts, others = Counter(f for doc in positive for f in doc), Counter(f for doc in unlabelled for f in doc)
-    common = LIFT * len(positive) / max(1, len(unlabelled))
+    least, common = _bounds(len(positive), len(unlabelled), min_positive)
     vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= least and n >= common * others[f]))}
+    encode = lambda docs: [np.array([vocabulary[f] for f in d if f in vocabulary], dtype=np.int64) for d in docs]
+    return _descend(encode(positive), encode(unlabelled), vocabulary, prior, steps, rate, decay)
+
+
+def _bounds(n_positive: int, n_unlabelled: int, min_positive: int | None) -> tuple[int, float]:
+    """In how many confirmed examples a feature must occur, at least and for each unlabelled text that holds it."""
+    return max(3, n_positive // 200) if min_positive is None else min_positive, LIFT * n_positive / max(1, n_unlabelled)
+
+
+def _descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], vocabulary: dict[str, int], prior: float, steps: int = 200, rate: float = 0.1, decay: float = 2e-4) -> Model:
     width = len(vocabulary) + 1  # the last is the bias
-    encode = lambda docs: Sparse([np.array([vocabulary[f] for f in d if f in vocabulary] + [width - 1], dtype=np.int64) for d in docs], width)
-    p, u = encode(positive), encode(unlabelled)
+    p, u = (Sparse([np.append(d, width - 1) for d in docs], width) for docs in (positive, unlabelled))
     w, m, v = np.zeros(width), np.zeros(width), np.zeros(width)
     w[-1] = np.log(prior / (1.0 - prior))
     held = np.full(width, decay)
@@ -109,19 +118,33 @@ def train_nnpu(positive: list[set[str]], unlabelled: list[set[str]], prior: floa
     return Model({f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 1e-4}, float(w[-1]))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, most: int) -> list[set[str]]:
-    """Features of the documents with the first `most` of these ids by hash."""
+def _sample(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """doc_id and features of the documents with the first `most` of these ids by hash; one text for each id."""
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sorted(features(t.as_py())) for t in part.column(1)], pa.list_(pa.string()))], names=["doc_id", "found"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, found array<string>").collect()  # at most `most` ids
-    return [set(r["found"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["found"]))]
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return materialise(rows.mapInArrow(run, "doc_id long, found array<string>"))
+
 
+def _encode(sample: DataFrame, vocabulary: dict[str, int]) -> list[np.ndarray]:
+    """The sample's rows as numbers of the vocabulary, in order of the ids: only these go to the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast(vocabulary)
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_positive: int = 4000, max_unlabelled: int = 8000, **options) -> Model:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for part in batches:
+            numbers = pa.array([[known[f] for f in found.as_py() if f in known] for found in part.column(1)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), numbers], names=["doc_id", "numbers"])
+
+    rows = sample.mapInArrow(run, "doc_id long, numbers array<int>").toArrow().sort_by("doc_id")
+    return [np.array(r.as_py(), dtype=np.int64) for r in rows["numbers"]]
+
+
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_positive: int = 4000, max_unlabelled: int = 8000, min_positive: int | None = None, **options) -> Model:
     """Learn from labels outside the held-out fold and from unlabelled documents outside it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = crc32_mod(F.col("doc_id"), folds) != held_out
@@ -132,7 +155,18 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, m
         return Model({}, -40.0)
     positive = _sample(docs, known.where("toxic = 1").select("doc_id"), max_positive)
     unlabelled = _sample(docs, docs.where("doc_id IS NOT NULL").where(seen).select("doc_id"), max_unlabelled)
-    return train_nnpu(positive, unlabelled, min(max(share, 1e-4), 0.9), **options)
+    n_positive, n_unlabelled = positive.count(), unlabelled.count()
+    if not n_positive:
+        return Model({}, -40.0)
+    least, common = _bounds(n_positive, n_unlabelled, min_positive)
+    count = lambda sample, name: sample.select(F.explode("found").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias(name))
+    counts = count(positive, "n").where(F.col("n") >= least).join(count(unlabelled, "others"), "f", "left")
+    chosen = counts.where(F.col("n") >= common * F.coalesce("others", F.lit(0))).select("f").toArrow()["f"].to_pylist()
+    vocabulary = {f: i for i, f in enumerate(sorted(chosen))}
+    model = _descend(_encode(positive, vocabulary), _encode(unlabelled, vocabulary), vocabulary, min(max(share, 1e-4), 0.9), **options)
+    discard(positive)
+    discard(unlabelled)
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, folds: int = 3, held_out: int = 1) -> DataFrame:
