@@ -384,7 +384,8 @@ def join_documents(docs: DataFrame) -> DataFrame:
     groups = members.groupBy("leader").agg(F.max("own").alias("most"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size"))
     side_of = lambda c: groups.select(F.col("leader").alias(c), F.struct("most", "least", "size").alias(f"of_{c}"))
     unsure = _apart(answers.where(~_is_link()), found).join(side_of("a"), "a").join(side_of("b"), "b")
-    unsure = unsure.where((F.col("of_a.size") + F.col("of_b.size") > 2) & (F.col("shared") + F.col("of_a.most") + F.col("of_b.most") >= _needed(F.col("of_a.least"), F.col("of_b.least"))))
+    # A group of one need not be its leader, who may stand in another's group; for two lone leaders the bound is what failed.
+    unsure = unsure.where(F.col("shared") + F.col("of_a.most") + F.col("of_b.most") >= _needed(F.col("of_a.least"), F.col("of_b.least")))
     swap = F.col("of_a.size") < F.col("of_b.size")
     unsure = materialise(unsure.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("s"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("h"), "shared", F.when(swap, F.col("of_b")).otherwise(F.col("of_a")).alias("of_s")))
     if not unsure.isEmpty():

@@ -130,6 +130,16 @@ def test_jaccard_join_is_exact(spark, seed):
     assert got == want
 
 
+def test_jaccard_join_keeps_links_of_lone_followers(spark):
+    rng = random.Random(7)
+    texts = []
+    for c in range(400):  # four versions, each linked with the next one only, with ids in any order
+        words = [f"w{c}x{rng.random()}" for _ in range(90)]
+        texts += [(4 * c + i, " ".join(words[8 * k : 8 * k + 60])) for k, i in enumerate(rng.sample(range(4), 4))]
+    got = {r.doc_id: r.component_id for r in jaccard.join_documents(frame(spark, texts)).collect()}
+    assert got == {i: i - i % 4 for i, _ in texts}
+
+
 def test_jaccard_edges(spark):
     got = jaccard.join_documents(frame(spark, [(5, "a b"), (5, "a b"), (3, "A\tB"), (None, "a b"), (4, None)])).collect()
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got) == [("3", 1, 3), ("4", 0, 4), ("5", 1, 3), ("5", 1, 3), ("None", 1, None)]
