@@ -15,16 +15,23 @@ from quillfold.llm.queries import public_ranks
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic; without an id a document cannot be judged by it and stays."""
-    scored = toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    toxic = scored.where("predicted = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(toxic, docs["doc_id"].cast("long") == toxic["doc_id"], "left_anti")
+    """Rows that are not predicted toxic, each judged by its own text, with an id or without."""
+    return toxicity.clean_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with `_row`, a number for each row in the order of the ids, nulls last: the id itself where no id is null or repeated."""
+    own = F.col("doc_id").cast("long")
+    if docs.groupBy(own.alias("_row")).count().where("_row IS NULL OR count > 1").isEmpty():
+        return docs.withColumn("_row", own)
+    return materialise(docs.orderBy(own.asc_nulls_last(), F.xxhash64("text"), F.rand(0)).withColumn("_row", F.monotonically_increasing_id()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each linked group: the smallest id."""
-    gone = jaccard.join_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """One row of each linked group: the smallest id. Rows of one id, or without one, are documents of their own and link by their texts."""
+    rows = _numbered(docs)
+    gone = jaccard.join_documents(rows.select(F.col("_row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

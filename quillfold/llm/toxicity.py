@@ -185,3 +185,16 @@ def score_documents(docs: DataFrame, model: Model, folds: int = 3, held_out: int
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all columns, whose own text is not predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    at = [c.lower() for c in docs.columns].index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield part.filter(pa.array([not shared.value.score(t.as_py()) >= THRESHOLD for t in part.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

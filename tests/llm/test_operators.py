@@ -344,3 +344,28 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     mixed = pipeline.mix_sources(spark, cut, sf_dir).persist()
     assert mixed.columns == docs.columns
     assert pipeline.encode(spark, mixed, sf_dir).count() == mixed.count()
+
+
+def test_pipeline_filters_judge_rows_not_ids(spark, sf_dir, monkeypatch):
+    import corpus_pipeline as pipeline
+    from quillfold.llm.common import table
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    predicted = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, model).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    bad, good = (next(i for i, p in predicted.items() if p == x) for x in (1, 0))
+    rows = [(bad, texts[bad]), (bad, texts[good]), (good, texts[good]), (good, texts[bad]), (None, texts[bad]), (None, texts[good])]
+    monkeypatch.setattr(toxicity, "fit", lambda *_: model)
+    kept = pipeline.drop_toxic(spark, frame(spark, rows), sf_dir)
+    assert kept.columns == frame(spark, []).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(bad, texts[good]), (good, texts[good]), (None, texts[good])], key=str)
+
+    rng = random.Random(5)
+    a, b, c, d = ([f"{x}{rng.random()}" for _ in range(60)] for x in "abcd")
+    near = lambda words: " ".join(words[2:])
+    a, near_a, b, near_b, c, d = " ".join(a), near(a), " ".join(b), near(b), " ".join(c), " ".join(d)
+    rows = [(2, near_a), (1, a), (1, a), (None, a), (None, near_a), (None, b), (None, b), (None, near_b), (3, c), (3, d), (None, c), (4, None), (None, "")]
+    kept = [(r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, frame(spark, rows), sf_dir).collect()]
+    assert sorted((x for x in kept if x[1] not in (b, near_b)), key=str) == sorted([(1, a), (3, c), (3, d), (4, None), (None, "")], key=str)
+    assert [i for i, t in kept if t in (b, near_b)] == [None]
