@@ -139,7 +139,7 @@ REPLY = {"type": "object", "required": ["prompt", "turn"], "additionalProperties
 
 
 def dialogue_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Read each user turn as a call of `reply`, depending on the user turn before, and the assistant's next turn as its result."""
+    """Read each user turn as a call of `reply`, depending on the user turn before, and the assistant's next turn before the next user turn as its result."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     name = lambda turn: F.concat(F.lit("t"), F.lpad(turn.cast("string"), 12, "0"))
     users = rows.where("role = 'user' AND turn IS NOT NULL")
@@ -153,5 +153,7 @@ def dialogue_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
         F.when(F.col("_before").isNotNull(), F.array(name(F.col("_before")))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
-    results = rows.where("role = 'assistant' AND turn > 0").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    asked = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
+    spoken = rows.where("role IN ('user', 'assistant') AND turn IS NOT NULL").withColumn("_asked", asked)
+    results = spoken.where("role = 'assistant' AND _asked IS NOT NULL").select("conv_id", name(F.col("_asked")).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

@@ -326,6 +326,15 @@ def test_tool_calls(spark):
     assert json.loads(rows[2, "x"].json)["arguments"] == "no"
 
 
+def test_replies_across_gaps_and_other_roles(spark):
+    turns = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "tool", "t"), (1, 4, "assistant", "A"), (1, 5, "assistant", "more"), (1, 8, "user", "b"), (1, 9, "user", "c"), (1, 12, "assistant", "C")]
+    turns += [(2, 0, "assistant", "hello"), (2, 3, "user", "d"), (2, 3, "assistant", "same turn"), (2, 7, "tool", "t"), (None, 1, "user", "e"), (None, 2, "assistant", "E"), (2, None, "assistant", "F")]
+    calls, results = toolcalls.dialogue_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = toolcalls.link_calls(calls, results, {"reply": toolcalls.REPLY}).collect()
+    got = {(r.conv_id, json.loads(r.json)["arguments"]["prompt"]): (r.position, r.status, json.loads(r.json)["result"]) for r in rows}
+    assert got == {(1, "a"): (1, "linked", "A"), (1, "b"): (2, "no_result", None), (1, "c"): (3, "linked", "C"), (2, "d"): (1, "no_result", None)}
+
+
 def test_pipeline_stage_by_stage(spark, sf_dir):
     import corpus_pipeline as pipeline
     from quillfold.llm.common import table
