@@ -74,11 +74,13 @@ def format_call(name, arguments, result, schemas: dict) -> tuple[bool, str, str]
     return not errors, "; ".join(errors), canonical({"name": name, "arguments": parsed, "result": result})
 
 
-def _levels(calls: DataFrame, needs: DataFrame, most: int = 10_000) -> DataFrame:
-    """conv_id, call_id, level: the longest chain of dependencies below; null in or behind a cycle."""
-    done, left, level = None, calls.select("conv_id", "call_id"), 0
-    edges = needs
-    while level < most:
+def _levels(calls: DataFrame, needs: DataFrame, fold: int = 50) -> DataFrame:
+    """conv_id, call_id, level: the longest chain of dependencies below; null in or behind a cycle, and only there.
+
+    However long the chains are; every `fold` levels what is done becomes one table, so that the plan stays small.
+    """
+    done, left, level, edges = None, calls.select("conv_id", "call_id"), 0, needs
+    while True:
         blocked = edges.select("conv_id", "call_id").distinct()
         free = materialise(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
@@ -88,6 +90,8 @@ def _levels(calls: DataFrame, needs: DataFrame, most: int = 10_000) -> DataFrame
         left = materialise(left.join(names, ["conv_id", "call_id"], "left_anti"))
         edges = materialise(edges.join(names.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_anti"))
         level += 1
+        if level % fold == 0:
+            done = materialise(done)
     rest = left.withColumn("level", F.lit(None).cast("int"))
     return rest if done is None else done.unionByName(rest)
 

@@ -326,6 +326,13 @@ def test_tool_calls(spark):
     assert json.loads(rows[2, "x"].json)["arguments"] == "no"
 
 
+def test_long_chains_are_no_cycles(spark):
+    calls = spark.createDataFrame([(1, f"c{i}") for i in range(8)] + [(1, "x"), (1, "y")], "conv_id long, call_id string")
+    needs = spark.createDataFrame([(1, f"c{i}", f"c{i + 1}") for i in range(7)] + [(1, "x", "y"), (1, "y", "x")], "conv_id long, call_id string, needed string")
+    got = {r.call_id: r.level for r in toolcalls._levels(calls, needs, 3).collect()}
+    assert got == {**{f"c{i}": 7 - i for i in range(8)}, "x": None, "y": None}
+
+
 def test_replies_across_gaps_and_other_roles(spark):
     turns = [(1, 0, "system", "s"), (1, 1, "user", "a"), (1, 2, "tool", "t"), (1, 4, "assistant", "A"), (1, 5, "assistant", "more"), (1, 8, "user", "b"), (1, 9, "user", "c"), (1, 12, "assistant", "C")]
     turns += [(2, 0, "assistant", "hello"), (2, 3, "user", "d"), (2, 3, "assistant", "same turn"), (2, 7, "tool", "t"), (None, 1, "user", "e"), (None, 2, "assistant", "E"), (2, None, "assistant", "F")]
