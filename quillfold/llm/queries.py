@@ -48,7 +48,7 @@ def op6_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_ranks()
-    return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, pattern, digests=True)
+    return packing.pack_documents(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

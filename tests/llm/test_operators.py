@@ -81,6 +81,14 @@ def test_packing_is_lossless_and_tight(spark):
     assert packing.pack_documents(frame(spark, []), ranks, pattern).count() == 0
 
 
+def test_packing_query_returns_the_matrices(spark, sf_dir, tmp_path):
+    from quillfold.llm.queries import QUERIES
+
+    packing.write_packed(QUERIES["op7_bfd_packing"](spark, sf_dir), str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    assert rows and all(len(r.ids) == len(r.positions) == 4 * packing.ROW_TOKENS for r in rows)
+
+
 def brute_sets(texts):
     sets = {}
     for i, t in texts:
