@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 SPACE = r"[ \t\n\r\f\x0B]+"
 
-# Outcome labels in the order in which they are looked for, and their five groups.
-DISPOSITIONS = ["affirmed", "reversed", "vacated", "remanded", "dismissed", "affirmed_in_part", "reversed_in_part", "granted", "denied", "other", "unclear"]
+# Outcome labels in the order in which they are looked for, and the groups that balance splits.
+DISPOSITIONS = ["affirmed_in_part", "affirmed", "reversed", "vacated", "remanded", "dismissed", "denied", "granted", "mixed", "other", "unclear"]
+OUTCOME_GROUPS = {
+    "affirmed": ["affirmed"],
+    "reversed": ["reversed", "vacated", "remanded"],
+    "mixed": ["mixed", "affirmed_in_part"],
+    "procedural": ["denied", "dismissed", "granted"],
+}
+ISSUE_GROUPS = {"1": "1 criminal", "2": "2 civil_rights", "8": "8 economic"}
 PARTIES = ["appellant", "appellee", "petitioner", "respondent", "plaintiff", "defendant", "government", "mixed", "unclear"]
 LABELS = ["liberal", "conservative", "moderate"]
 
@@ -20,7 +27,16 @@ def blank_to_null(c: Column) -> Column:
 
 
 def first_non_empty(*columns: Column) -> Column:
-    return F.coalesce(*[blank_to_null(c) for c in columns], F.lit(""))
+    """White space is a value here: only null and the empty string are passed over."""
+    return F.coalesce(*[F.when(c != "", c) for c in columns], F.lit(""))
+
+
+def once(value: Column, use) -> Column:
+    """use(value) with the value computed a single time for each row, however often it is used.
+
+    A lambda variable is no expression that the optimiser could write out again.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def strip_html(c: Column) -> Column:
@@ -34,12 +50,12 @@ def year(c: Column) -> Column:
 
 def type_priority(c: Column) -> Column:
     t = F.lower(c)
-    side = t.contains("concur") | t.contains("dissent") | t.contains("addendum")
+    side = t.contains("concurr") | t.contains("dissent") | t.contains("addendum")
     return F.when(t.contains("lead"), 0).when(t.contains("combined"), 1).when(side, 3).otherwise(2)
 
 
 def is_true(c: Column) -> Column:
-    return F.lower(c).isin("true", "1", "t")
+    return F.coalesce(F.lower(c).isin("true", "1", "t"), F.lit(False))
 
 
 def words(c: Column) -> Column:
@@ -51,7 +67,7 @@ def word_count(c: Column) -> Column:
 
 
 def without_revisions(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)\s*revisions:.*$", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\s+revisions?:[^\n]*\n?\z", "")
 
 
 def norm_name_spaced(c: Column) -> Column:
@@ -79,7 +95,8 @@ def initials_conflict(a: Column, b: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    return F.coalesce(F.try_to_date(c, "M/d/yyyy"), F.try_to_date(F.substring(c, 1, 10), "yyyy-MM-dd"))
+    """M/D/YYYY or ISO at the start, whatever follows; null for what is neither."""
+    return F.coalesce(F.try_to_date(F.regexp_extract(c, r"^\s*(\d{1,2}/\d{1,2}/\d{4})", 1), "M/d/yyyy"), F.try_to_date(F.regexp_extract(c, r"^\s*(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd"))
 
 
 # Circuits by ordinal.
@@ -87,24 +104,26 @@ ORDINALS = ["first", "second", "third", "fourth", "fifth", "sixth", "seventh", "
 
 
 def circuit_key(c: Column) -> Column:
-    """'dc', 'fed' or '1' to '11', in that order of tests; null otherwise."""
-    t = F.lower(c)
-    out = F.when(t.rlike(r"d\.? ?c\.?( |$)|district of columbia"), "dc").when(t.contains("fed"), "fed")
+    """'dc', 'fed' or '1' to '11', in that order of tests; empty where none fits."""
+    t = F.lower(F.coalesce(c, F.lit("")))
+    out = F.when(t.contains("d.c") | t.contains("district of columbia") | t.rlike(r"\b(ca)?dc\b"), "dc").when(t.contains("fed") | t.contains("cafc"), "fed")
     for i, name in enumerate(ORDINALS, 1):
-        out = out.when(t.rlike(rf"\b{name}\b"), str(i))
-    return out.otherwise(blank_to_null(F.regexp_extract(t, r"\b(11|10|[1-9])(st|nd|rd|th)?\b", 1)))
+        out = out.when(t.contains(name), str(i))
+    return out.otherwise(F.regexp_extract(t, r"(1[01]|[1-9])", 1))
 
 
 def docket_tokens(c: Column) -> Column:
-    """Upper case, one kind of dash, split at separators or AND, distinct."""
-    t = F.regexp_replace(F.upper(c), "[‐-―]", "-")
-    parts = F.transform(F.split(t, r"[,;&/]| AND "), lambda x: F.regexp_replace(x, r"[^A-Z0-9-]", ""))
-    return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
+    """Upper case, one kind of dash, split at separators or AND, distinct; an original case is its number and ORIG."""
+    t = F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[\u2010-\u2015\u2212]", "-")
+    original = F.coalesce(blank_to_null(F.regexp_extract(t, r"(\d+)\s*,?\s*ORIG", 1)), F.regexp_extract(t, r"\A\s*\d{2}O(\d+)\s*\z", 1))
+    parts = F.transform(F.split(F.regexp_replace(t, r"\bNOS?\.?\s*", " "), r"[,;&/]|\bAND\b"), lambda x: F.regexp_replace(x, r"[^A-Z0-9-]", ""))
+    return F.when(original != "", F.array(F.concat(original, F.lit("ORIG")))).otherwise(F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != ""))))
 
 
-def norm_cite(volume: Column, reporter: Column, page: Column) -> Column:
-    bad = (F.coalesce(F.trim(page), F.lit("")) == "") | page.contains("_")
-    return F.when(bad, "").otherwise(F.regexp_replace(F.concat(volume, reporter, page), r"\s+", ""))
+def norm_cite(volume: Column, page: Column) -> Column:
+    """Volume and page of the United States Reports; empty without a page or where it is not known yet."""
+    volume, page = (F.trim(F.coalesce(x, F.lit(""))) for x in (volume, page))
+    return F.when((page == "") | page.contains("_"), "").otherwise(F.replace(F.concat(volume, F.lit("U.S."), page), F.lit(" "), F.lit("")))
 
 
 def classify_score(score: Column, cut: float = 0.3) -> Column:
@@ -118,8 +137,8 @@ def head(c: Column, n: int) -> Column:
 
 def grams(tokens: Column, n: int = 5) -> Column:
     """Distinct n-grams of tokens; none where there are fewer than n."""
-    made = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
-    return F.when(F.size(tokens) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    made = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.concat_ws(" ", F.slice(t, i, n)))
+    return once(tokens, lambda t: F.when(F.size(t) >= n, F.array_distinct(made(t))).otherwise(F.array().cast("array<string>")))
 
 
 def window_shingles(c: Column, most: int = 20_000) -> Column:
@@ -133,7 +152,7 @@ def text_shingles(c: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """0 if either set is empty."""
     shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(once(shared, lambda s: s / (F.size(a) + F.size(b) - s)))
 
 
 def head_and_tail(c: Column, first: int = 8000, last: int = 2000, marker: str = "\n[...]\n") -> Column:
@@ -145,19 +164,40 @@ def clamp_enum(c: Column, allowed: list[str], unknown: str, missing: str = "uncl
     return F.when(t.isNull(), missing).when(t.isin(allowed), t).otherwise(unknown)
 
 
-def author_key(author: Column, judge: Column, case_id: Column) -> Column:
-    """Author, else judge, else a key of the case's own."""
-    return F.coalesce(F.lower(blank_to_null(author)), F.lower(blank_to_null(judge)), F.concat(F.lit("case:"), case_id.cast("string")))
+def author_key(court: Column, author: Column, judge: Column, case_id: Column) -> Column:
+    """Court and who wrote: the judge in the Supreme Court, the author elsewhere; a key of the case's own where that is blank."""
+    supreme = court == "SCOTUS"
+    name = F.lower(F.trim(F.coalesce(F.when(supreme, judge).otherwise(author), F.lit(""))))
+    prefix = F.when(supreme, "scotus").otherwise(F.lower(F.coalesce(court, F.lit(""))))
+    return F.concat(prefix, F.lit("::"), F.when(name != "", name).otherwise(F.concat(F.lit("_unknown_"), case_id.cast("string"))))
+
+
+def group_key(court: Column, author: Column, judge: Column, case_id: Column) -> Column:
+    """What stays whole in one split: the case in the Supreme Court, else all of an author's."""
+    return F.when(court == "SCOTUS", F.concat(F.lit("scotus::case_"), case_id.cast("string"))).otherwise(author_key(court, author, judge, case_id))
+
+
+def outcome_group(c: Column) -> Column:
+    t, out = F.lower(F.trim(F.coalesce(c, F.lit("")))), F.when(F.lit(False), "")
+    for group, labels in OUTCOME_GROUPS.items():
+        out = out.when(t.isin(labels), group)
+    return out.otherwise("other")
+
+
+def issue_group(c: Column) -> Column:
+    """Codes may carry a decimal part; the sign of the empty set stands for none."""
+    v, out = F.substring_index(F.coalesce(c, F.lit("")), ".", 1), F.when(F.lit(False), "")
+    for code, group in ISSUE_GROUPS.items():
+        out = out.when(v == code, group)
+    return out.when(v != "", "other").otherwise("\u2205")
 
 
 def parse_disposition(c: Column) -> Column:
-    """The label after `disposition:`; without one, the first label, in list order, found anywhere."""
+    """The first label, in list order, that the word after `disposition` holds; without such a word, that the text holds."""
     t = F.lower(c)
-    named = F.regexp_extract(t, r"disposition:\s*([a-z_]+)", 1)
-    out = F.when(named != "", F.when(named.isin(DISPOSITIONS), named).otherwise("unclear"))
-    for label in DISPOSITIONS:
-        out = out.when(t.contains(label), label)
-    return out.otherwise("unclear")
+    named = F.regexp_extract(t, r"disposition\s*[:-]\s*([a-z_]+)", 1)
+    where = F.when(named != "", named).otherwise(t)
+    return F.coalesce(*[F.when(where.contains(label), label) for label in DISPOSITIONS], F.lit("unclear"))
 
 
 def syllables(word: Column) -> Column:
@@ -167,7 +207,10 @@ def syllables(word: Column) -> Column:
 
 def text_stats(c: Column) -> Column:
     """Words, words per sentence, type-token ratio and grade level; only words for a text without any."""
-    w = F.regexp_extract_all(c, F.lit(r"([A-Za-z']+)"), F.lit(1))
+    return once(F.regexp_extract_all(c, F.lit(r"([A-Za-z']+)"), F.lit(1)), lambda w: _stats_of(c, w))
+
+
+def _stats_of(c: Column, w: Column) -> Column:
     n = F.size(w).cast("double")
     sentences = F.greatest(F.lit(1), F.size(F.filter(F.split(c, r"[.!?]+"), lambda s: F.trim(s) != ""))).cast("double")
     total = F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
@@ -183,7 +226,8 @@ def text_stats(c: Column) -> Column:
 
 def clamp_axis(c: Column) -> Column:
     """Rounded half to even into 1..5; null where it is no number."""
-    return F.greatest(F.lit(1), F.least(F.lit(5), F.bround(c.try_cast("double")).cast("int")))
+    number = c.try_cast("double")
+    return F.when(F.abs(number) < float("inf"), F.bround(F.greatest(F.lit(1.0), F.least(F.lit(5.0), number))).cast("int"))
 
 
 def ideology_label(c: Column) -> Column:
@@ -205,7 +249,9 @@ def numeric_id(c: Column) -> Column:
 
 
 def percent(a: Column, b: Column) -> Column:
-    return F.when(b == 0, "n/a").otherwise(F.format_string("%.1f%%", 100.0 * a / b))
+    """One decimal, halves to the even digit; n/a of nothing."""
+    share = F.bround((F.lit(100.0) * a / F.nullif(b, F.lit(0))).cast("decimal(30,12)"), 1)
+    return F.when(b == 0, "n/a").otherwise(F.format_string("%.1f%%", share.cast("double")))
 
 
 def softmax_best(logits: Column) -> Column:
