@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +17,11 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a frame of one row."""
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one").drop("_one")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in an explicit order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -67,12 +72,23 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, *[F.when(there, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in rest])
 
 
-def override(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Replace the columns that changes has wherever it names the key, even by blanks."""
-    new = [c for c in changes.columns if c != key]
-    side = small(changes.select(key, *[F.col(c).alias(f"_new_{c}") for c in new], F.lit(True).alias("_matched")))
+def latest_of(changes: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
+    """The last row of each key in an explicit order; rows with a blank key count for nothing."""
+    named = changes.withColumn(key, F.trim(F.col(key).cast("string"))).where(F.col(key) != "")
+    rest = [c for c in changes.columns if c != key]
+    return named.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")).select(key, "_last.*")
+
+
+def override(rows: DataFrame, changes: DataFrame, key: str, order: Sequence[Column] | None = None) -> DataFrame:
+    """Replace the columns that changes has wherever it names the key, even by blanks.
+
+    Of several changes of a key the last one counts: in `order`, or by their values where none is given.
+    """
+    new = [c for c in changes.columns if c in rows.columns and c != key]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*new), F.struct(*(order or new))).alias("_last"))
+    side = small(last.select(key, F.col("_last").alias("_new"), F.lit(True).alias("_matched")))
     joined = rows.join(side, key, "left")
-    return joined.select(*[F.when(F.col("_matched"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
+    return joined.select(*[F.when(F.col("_matched"), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns])
 
 
 def upper_median(c: str) -> Column:
@@ -113,24 +129,38 @@ def presence(df: DataFrame, fields: Sequence[str], by: str) -> DataFrame:
     return counts.select(by, "n", pairs.alias("p")).select(by, "p.field", "p.present", (F.col("n") - F.col("p.present")).alias("missing"))
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder that the session names; to a local one only where it names none."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which driver and executors share.
+
+    A session on one machine that names none gets one in its working directory; a cluster without one is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or os.path.abspath("spark-checkpoints")).rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df as a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node) of (a, b) pairs, by hooking to the least neighbour and pointer jumping.
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component of (a, b) pairs by hooking to the least neighbour and pointer jumping; lineage is cut each round."""
-    use_checkpoints(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(rounds):
+    Labels only fall, so the loop ends; lineage is cut each round. A node's neighbours are never gathered.
+    """
+    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = cut_lineage(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    while True:
         near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = label.join(near, label.node == near.a).select("node", F.least("component", "near").alias("up"))
+        hooked = label.join(near, label.node == near.a).select("node", "component", F.least("component", "near").alias("up"))
         jump = hooked.select(F.col("node").alias("up"), F.col("up").alias("upper"))
-        after = hooked.join(jump, "up", "left").select("node", F.least("up", F.coalesce("upper", "up")).alias("component")).checkpoint()
-        changed = after.alias("n").join(label.alias("o"), "node").where("n.component <> o.component").limit(1).count()
-        label = after
-        if not changed:
+        after = hooked.join(jump, "up", "left").select("node", F.least("up", F.coalesce("upper", "up")).alias("to"), "component")
+        after = cut_lineage(after.select("node", F.col("to").alias("component"), (F.col("to") != F.col("component")).alias("moved")))
+        label = after.select("node", "component")
+        if after.where("moved").isEmpty():
             return label
-    raise RuntimeError("components did not settle")

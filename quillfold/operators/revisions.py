@@ -4,38 +4,49 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.functions.columns import window_shingles
 from quillfold.functions.opinions import has_revision_marker
-from quillfold.operators.relational import use_checkpoints
+from quillfold.operators.relational import cut_lineage
+from quillfold.operators.similarity import hashed, similar_pairs
 
 # Limits that decide the results.
 GAP_DAYS, SAME, SAME_IF_MARKED = 400, 0.5, 0.05
-SPLITS = ("test", "val", "train")
+SPLITS = ["test", "val", "train"]
 
 #: Rows of the histogram of groups that the driver may hold.
 MOST_GROUPS = 2_000_000
 
 
+def _later(a: str, b: str) -> Column:
+    """Filed later, or the same day with a larger id."""
+    return (F.col(f"{a}_filed") > F.col(f"{b}_filed")) | ((F.col(f"{a}_filed") == F.col(f"{b}_filed")) & (F.col(f"{a}_id") > F.col(f"{b}_id")))
+
+
 def amended_pairs(rows: DataFrame) -> DataFrame:
     """newer, older, since, similarity and reason, of rows (id, court, name, filed, text) that may replace each other.
 
-    Pairs come from an inverted index of hashed shingles within a court and name, so rows without a shared
-    shingle never meet. Of two rows of one day the larger id is the newer. Texts under five words pair with nothing.
+    Rows meet within a court and name, and only if they share a rare shingle there; the low threshold is asked only of
+    groups in which a text bears a revision marker. Of two rows of one day the larger id is the newer. Texts under five
+    words pair with nothing.
     """
-    sets = rows.select("id", "court", "name", "filed", has_revision_marker(F.col("text")).alias("marked"), F.transform(window_shingles(F.col("text")), lambda s: F.xxhash64(s)).alias("s"))
-    posted = sets.select("id", "court", "name", "filed", "marked", F.size("s").alias("n"), F.explode("s").alias("s"))
-    side = lambda p: posted.select("court", "name", "s", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "filed", "marked", "n")])
-    later = (F.col("b_filed") < F.col("a_filed")) | ((F.col("b_filed") == F.col("a_filed")) & (F.col("b_id") < F.col("a_id")))
-    near = F.date_diff("a_filed", "b_filed") <= GAP_DAYS
-    met = side("a").join(side("b"), ["court", "name", "s"]).where(later & near)
-    keys = ["a_id", "b_id", "a_filed", "a_n", "b_n", "a_marked", "b_marked"]
-    scored = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("shared")).withColumn("similarity", F.col("shared") / (F.col("a_n") + F.col("b_n") - F.col("shared")))
-    marked = (F.col("similarity") >= SAME_IF_MARKED) & (F.col("a_marked") | F.col("b_marked"))
-    reason = F.when(F.col("similarity") >= SAME, "amended_earlier_version").when(marked, "revised_marker")
-    return scored.select(F.col("a_id").alias("newer"), F.col("b_id").alias("older"), F.col("a_filed").alias("since"), "similarity", reason.alias("reason")).where("reason IS NOT NULL")
+    sets = cut_lineage(rows.select("id", "court", "name", "filed", has_revision_marker(F.col("text")).alias("marked"), hashed(window_shingles(F.col("text"))).alias("s")))
+    block = sets.where("size(s) > 0").select("id", "court", "name", "filed", "marked")
+    with_marker = block.where("marked").select("court", "name").distinct()
+    tiers = block.withColumn("least", F.lit(SAME)).unionByName(block.join(with_marker, ["court", "name"], "left_semi").withColumn("least", F.lit(SAME_IF_MARKED)))
+    near, same = F.abs(F.date_diff("a_filed", "b_filed")) <= GAP_DAYS, F.col("tier") == SAME
+    pairs = similar_pairs(sets.select("id", "s"), tiers.withColumn("tier", F.col("least")), ["court", "name", "tier"], near & (same | F.col("a_marked") | F.col("b_marked")))
+    pairs = pairs.select("a", "b", "similarity").distinct()
+    of = lambda p: block.select(F.col("id").alias(f"{p}_id"), F.col("filed").alias(f"{p}_filed"))
+    dated = pairs.withColumnsRenamed({"a": "a_id", "b": "b_id"}).join(of("a"), "a_id").join(of("b"), "b_id")
+    first = _later("a", "b")
+    reason = F.when(F.col("similarity") >= SAME, "amended_earlier_version").otherwise("revised_marker")
+    return dated.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("newer"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("older"), F.greatest("a_filed", "b_filed").alias("since"), "similarity", reason.alias("reason"))
 
 
 def drop_superseded(pairs: DataFrame) -> DataFrame:
@@ -44,43 +55,49 @@ def drop_superseded(pairs: DataFrame) -> DataFrame:
     A row that is dropped itself drops nothing. What no open pair names as older is surely kept; what it replaces
     is dropped, and pairs of dropped rows close. Rounds follow the longest chain, not the group, and no group is gathered.
     """
-    use_checkpoints(pairs.sparkSession)
-    pairs = pairs.checkpoint()
+    pairs = cut_lineage(pairs)
     still, gone = pairs, pairs.select("older").limit(0)
     while not still.isEmpty():
         unsure = still.select(F.col("older").alias("newer")).distinct()
-        hit = still.join(unsure, "newer", "left_anti").select("older").distinct().checkpoint()
+        hit = cut_lineage(still.join(unsure, "newer", "left_anti").select("older").distinct())
         gone = gone.unionByName(hit)
-        still = still.join(hit, "older", "left_anti").join(hit.withColumnRenamed("older", "newer"), "newer", "left_anti").checkpoint()
+        still = cut_lineage(still.join(hit, "older", "left_anti").join(hit.withColumnRenamed("older", "newer"), "newer", "left_anti"))
     kept = pairs.join(gone.select(F.col("older").alias("newer")), "newer", "left_anti")
     best = F.max(F.struct("since", "newer", "similarity", "reason")).alias("best")
     return kept.groupBy("older").agg(best).select("older", "best.newer", "best.similarity", "best.reason")
 
 
 def group_split(rows: DataFrame, group: str, label: str, test: float = 0.1, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """group, split: whole groups, largest first, each to the split that comes nearest to its target counts of labels.
+    """group, split: whole groups, largest first, each to the split that it leaves nearest to its targets.
 
-    The greedy choice depends on all earlier ones, so the driver makes it, over counts of groups and labels alone
-    and never over rows; more than MOST_GROUPS of those are refused.
+    Putting g rows of a label where `over` is what the split has beyond its target changes the squared error by
+    g (2 over + g); a group goes where the sum over labels is least (ties: test, val, train). Groups of one size stand in
+    a seeded order. The choices depend on all earlier ones, so the driver makes them, on a table of counts by
+    group and label alone; more than MOST_GROUPS of its entries are refused.
     """
-    counts = rows.where(F.col(group).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))
+    if min(test, val, 1 - test - val) <= 0:
+        raise ValueError("test and val must be positive and leave something to train")
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group, F.col(label).cast("string").alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     found = counts.limit(MOST_GROUPS + 1).toArrow()
     if found.num_rows > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} pairs of group and label")
-    held: dict[str, dict] = {}
-    totals: dict = {}
-    for g, name, n in sorted(zip(*(found[c].to_pylist() for c in (group, label, "n")), strict=True), key=str):
-        held.setdefault(g, {})[name] = n
-        totals[name] = totals.get(name, 0) + n
-    share = {"test": test, "val": val, "train": 1 - test - val}
-    over = {s: {name: -share[s] * n for name, n in totals.items()} for s in SPLITS}
-    keys = sorted(held)
-    random.Random(seed).shuffle(keys)
-    chosen = []
-    for g in sorted(keys, key=lambda k: -sum(held[k].values())):
-        best = min(SPLITS, key=lambda s: sum(n * (2 * over[s][name] + n) for name, n in held[g].items()))
-        for name, n in held[g].items():
-            over[best][name] += n
-        chosen.append((g, best))
-    kind = rows.schema[group].dataType.simpleString()
-    return rows.sparkSession.createDataFrame(chosen, f"`{group}` {kind}, split string")
+    groups, labels = (pc.fill_null(found[c].cast(pa.string()), "").combine_chunks().dictionary_encode() for c in (group, "_label"))
+    size = np.zeros(len(groups.dictionary), dtype=np.int64)
+    at, column, n = groups.indices.to_numpy(), labels.indices.to_numpy(), found["_n"].to_numpy()
+    np.add.at(size, at, n)
+    order = sorted(range(len(size)), key=groups.dictionary.to_pylist().__getitem__)
+    random.Random(seed).shuffle(order)
+    order = np.array(order, dtype=np.int64)[np.argsort(-size[order], kind="stable")]
+    by_group = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[by_group], np.arange(len(size) + 1))
+    share = np.array([test, val, 1 - test - val])
+    over = -share[:, None] * np.bincount(column, weights=n, minlength=len(labels.dictionary))[None, :]
+    chosen = np.empty(len(size), dtype=np.int64)
+    for g in order.tolist():
+        entries = by_group[first[g] : first[g + 1]]
+        of, many = column[entries], n[entries]
+        best = int(np.argmin((many * (2 * over[:, of] + many)).sum(axis=1)))
+        over[best, of] += many
+        chosen[g] = best
+    table = pa.table({group: groups.dictionary, "split": pa.array(SPLITS).take(pa.array(chosen))})
+    return rows.sparkSession.createDataFrame(table, f"`{group}` string, split string").withColumn(group, F.col(group).cast(rows.schema[group].dataType))
