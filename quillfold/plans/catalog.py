@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quillfold.functions import columns as C
 from quillfold.operators import relational as R
+from quillfold.operators.relational import cut_lineage
+from quillfold.operators.similarity import hashed, similar_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,11 +36,6 @@ def f02_f03_html_year(spark, d):
     return read(spark, d, "pages", "page_id", "url", "html").select("page_id", F.regexp_extract("url", r"(\d{4})", 1).alias("y"), C.strip_html(F.col("html")).alias("body"))
 
 
-@query("SELECT o_orderpriority, CASE WHEN lower(o_orderpriority) LIKE '%lead%' THEN 0 WHEN lower(o_orderpriority) LIKE '%combined%' THEN 1 WHEN lower(o_orderpriority) LIKE '%concur%' OR lower(o_orderpriority) LIKE '%dissent%' OR lower(o_orderpriority) LIKE '%addendum%' THEN 3 ELSE 2 END AS prio, count(*) AS n FROM orders GROUP BY ALL")
-def f04_type_priority(spark, d):
-    return read(spark, d, "orders", "o_orderpriority").groupBy("o_orderpriority", C.type_priority(F.col("o_orderpriority")).alias("prio")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0B]+'), lambda w: w <> '')) AS INTEGER) AS n_words FROM documents")
 def f07_word_count(spark, d):
     return read(spark, d, "documents", "doc_id", "text").select("doc_id", C.word_count(F.col("text")).alias("n_words"))
@@ -53,8 +50,8 @@ def f08_norm_names(spark, d):
 SELECT s_suppkey, a = '' OR b = '' OR (a[1] = b[1] AND (length(a) < 2 OR length(b) < 2 OR a[2] = b[2])) OR (length(a) = 1 AND length(b) >= 2 AND a = b[2]) AS ok,
 a <> '' AND b <> '' AND NOT list_has_any(string_split(a, ''), string_split(b, '')) AS conflict FROM s""")
 def f14_f16_initials(spark, d):
-    n = read(spark, d, "supplier", "s_suppkey", "s_nationkey").join(F.broadcast(read(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")), F.col("s_nationkey") == F.col("n_nationkey"))
-    n = n.join(F.broadcast(read(spark, d, "region", "r_regionkey", "r_name")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = read(spark, d, "supplier", "s_suppkey", "s_nationkey").join(R.small(read(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")), F.col("s_nationkey") == F.col("n_nationkey"))
+    n = n.join(R.small(read(spark, d, "region", "r_regionkey", "r_name")), F.col("n_regionkey") == F.col("r_regionkey"))
     a, b = C.parse_initials(F.substring("n_name", 1, 2)), C.parse_initials(F.substring("r_name", 1, 2))
     return n.select("s_suppkey", C.initials_ok(a, b).alias("ok"), C.initials_conflict(a, b).alias("conflict"))
 
@@ -84,13 +81,11 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM g a JOIN g b ON a.source = b.source AND a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a, b, round(o / CAST(x.n + y.n - o AS DOUBLE), 6) AS similarity FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 2 * o >= x.n + y.n - o""")
 def j20_f35_blocked_similarity(spark, d):
-    """Pairs of one source with Jaccard >= 0.5, over an inverted index of hashed shingles."""
-    g = read(spark, d, "documents", "doc_id", "source", "text").select("doc_id", "source", C.text_shingles(F.col("text")).alias("g"))
-    n = g.select("doc_id", F.size("g").alias("n"))
-    s = g.select("doc_id", "source", F.explode("g").alias("s")).select("doc_id", "source", F.xxhash64("s").alias("s"))
-    p = s.select(F.col("doc_id").alias("a"), "source", "s").join(s.select(F.col("doc_id").alias("b"), "source", "s"), ["source", "s"]).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"))
-    p = p.join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("x")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("n").alias("y")), "b")
-    return p.where("2 * o >= x + y - o").select("a", "b", F.round(F.col("o") / (F.col("x") + F.col("y") - F.col("o")), 6).alias("similarity"))
+    """Pairs of one source with Jaccard >= 0.5, over an index of rare shingles."""
+    docs = read(spark, d, "documents", "doc_id", "source", "text").withColumnRenamed("doc_id", "id")
+    sets = cut_lineage(docs.select("id", "source", hashed(C.text_shingles(F.col("text"))).alias("s")).where("size(s) > 0"))
+    pairs = similar_pairs(sets.select("id", "s"), sets.select("id", "source", F.lit(0.5).alias("least")), ["source"])
+    return pairs.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 10000 THEN text ELSE substr(text, 1, 8000) || chr(10) || '[...]' || chr(10) || right(text, 2000) END AS body FROM documents")
@@ -104,13 +99,6 @@ def f39_f40_f57_clean(spark, d):
     return e.select("event_id", C.clamp_enum(F.col("event_type"), ["click", "view"], "other").alias("clamped"), C.tolerant_json(F.concat(F.lit("say: "), F.col("props"), F.lit(" end")), "k long")["k"].alias("k"), C.numeric_id(F.col("event_type")).alias("num"))
 
 
-@query("SELECT o_orderkey, coalesce(nullif(lower(trim(CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END)), ''), nullif(lower(trim(CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE o_orderstatus END)), ''), 'case:' || o_orderkey) AS k FROM orders")
-def f41_author_key(spark, d):
-    a = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderpriority"))
-    j = F.when(F.col("o_orderkey") % 2 == 0, " ").otherwise(F.col("o_orderstatus"))
-    return read(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").select("o_orderkey", C.author_key(a, j, F.col("o_orderkey")).alias("k"))
-
-
 @query("""WITH s AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS sys FROM conversations WHERE role = 'system' GROUP BY 1),
 m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations WHERE role <> 'system')
 SELECT m.conv_id, string_agg(role || ': ' || CASE WHEN role = 'user' AND r = 1 AND sys IS NOT NULL THEN sys || chr(10) || chr(10) || text ELSE text END, chr(10) ORDER BY turn) AS chat FROM m LEFT JOIN s USING (conv_id) GROUP BY 1""")
@@ -122,10 +110,10 @@ def f45_c11_a19_chat_records(spark, d):
 
 @query("""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z'']+') AS w, greatest(1, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(s, ' ') <> ''))) AS s FROM documents),
 c AS (SELECT doc_id, w, s, list_sum(list_transform(w, lambda x: CASE WHEN regexp_replace(lower(x), '[^a-z]', '', 'g') = '' THEN 0 ELSE greatest(1, len(regexp_extract_all(regexp_replace(lower(x), '[^a-z]', '', 'g'), '[aeiouy]+'))) END)) AS y FROM w)
-SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, CASE WHEN len(w) > 0 THEN round(len(w) / CAST(s AS DOUBLE), 6) END AS sentence_words, CASE WHEN len(w) > 0 THEN round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / CAST(len(w) AS DOUBLE), 6) END AS ttr FROM c""")
+SELECT doc_id, CAST(len(w) AS INTEGER) AS n_words, CASE WHEN len(w) > 0 THEN round(len(w) / CAST(s AS DOUBLE), 6) END AS sentence_words, CASE WHEN len(w) > 0 THEN round(len(list_distinct(list_transform(w, lambda x: lower(x)))) / CAST(len(w) AS DOUBLE), 6) END AS ttr, CASE WHEN len(w) > 0 THEN round(0.39::DOUBLE * len(w) / s + 11.8::DOUBLE * y / len(w) - 15.59::DOUBLE, 6) END AS grade FROM c""")
 def f46_f47_text_stats(spark, d):
     t = read(spark, d, "documents", "doc_id", "text").select("doc_id", C.text_stats(F.col("text")).alias("s"))
-    return t.select("doc_id", "s.n_words", F.round("s.sentence_words", 6).alias("sentence_words"), F.round("s.ttr", 6).alias("ttr"))
+    return t.select("doc_id", "s.n_words", F.round("s.sentence_words", 6).alias("sentence_words"), F.round("s.ttr", 6).alias("ttr"), F.round("s.grade", 6).alias("grade"))
 
 
 @query("SELECT event_id, greatest(1, least(5, CAST(round_even(value, 0) AS INTEGER))) AS axis FROM events")
@@ -133,11 +121,14 @@ def f48_clamp(spark, d):
     return read(spark, d, "events", "event_id", "value").select("event_id", C.clamp_axis(F.col("value").cast("string")).alias("axis"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:14], lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings)
-SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS label, round(1.0 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) AS confidence FROM e""")
+@query("""WITH e AS (SELECT vec_id, list_transform(range(0, 14), lambda i: list_sum(list_transform(list_filter(range(1, 65), lambda j: (j - 1) % 14 = i), lambda j: CAST(embedding[j] AS DOUBLE)))) AS l FROM embeddings)
+SELECT vec_id, CAST(list_position(l, list_max(l)) - 1 AS BIGINT) AS label, round(1.0 / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 3) AS confidence FROM e""")
 def f54_softmax(spark, d):
-    e = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", C.softmax_best(F.slice(F.col("embedding").cast("array<double>"), 1, 14)).alias("s"))
-    return e.select("vec_id", F.col("s.label").cast("long").alias("label"), F.round("s.confidence", 6).alias("confidence"))
+    """All components, summed to fourteen logits."""
+    x = F.col("embedding").cast("array<double>")
+    logits = F.transform(F.sequence(F.lit(0), F.lit(13)), lambda i: F.aggregate(F.filter(x, lambda v, j: j % 14 == i), F.lit(0.0), lambda a, v: a + v))
+    e = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", C.softmax_best(logits).alias("s"))
+    return e.select("vec_id", F.col("s.label").cast("long").alias("label"), F.round("s.confidence", 3).alias("confidence"))
 
 
 @query("""WITH kept AS (SELECT o_orderkey, n_name, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey IN (1, 2) AND year(o_orderdate) BETWEEN 1996 AND 1999
@@ -148,7 +139,7 @@ SELECT n_name, o_orderkey, l_linenumber, l_quantity FROM best WHERE l_returnflag
 def c01_bulk_filter(spark, d):
     """Dimension joins, year range, newest k for each court, best text of a case, then the filters that follow that choice."""
     nations = read(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey").where(F.col("n_regionkey").isin(1, 2))
-    customers = read(spark, d, "customer", "c_custkey", "c_nationkey").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    customers = read(spark, d, "customer", "c_custkey", "c_nationkey").join(R.small(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     cases = read(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderdate").where(F.year("o_orderdate").between(1996, 1999)).join(customers, F.col("o_custkey") == F.col("c_custkey"))
     cases = R.top_k(cases, ["n_name"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 60).select("o_orderkey", "n_name")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]

@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillfold.plans import catalog, steps
+from quillfold.functions.columns import word_count
+from quillfold.plans import cases, catalog, dedup, enrich, files, literals, steps
+
+MODULES = (catalog, literals, enrich, cases, dedup, files, steps)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of at least 20 words, latest of each identical text, counted by source."""
+    """Documents of at least 20 words, latest of each identical text, counted by source.
+
+    Identical texts meet by a digest: the texts themselves are not shuffled.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    long = docs.where(F.size(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")) >= 20)
-    latest = Window.partitionBy("text").orderBy(F.col("doc_id").desc())
-    kept = long.withColumn("rn", F.row_number().over(latest)).where("rn = 1")
-    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
+    long = docs.where(word_count(F.col("text")) >= 20).select("source", "doc_id", F.sha2("text", 256).alias("digest"))
+    latest = long.groupBy("digest").agg(F.max_by("source", "doc_id").alias("source"))
+    return latest.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 FLAGSHIP = """
@@ -29,8 +33,8 @@ WITH kept AS (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship_sources": flagship, **catalog.QUERIES, **steps.QUERIES}
+    return {"flagship_sources": flagship} | {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {"flagship_sources": FLAGSHIP, **catalog.ORACLES, **steps.ORACLES}
+    return {"flagship_sources": FLAGSHIP} | {k: v for m in MODULES for k, v in m.ORACLES.items()}

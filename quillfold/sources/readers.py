@@ -8,37 +8,78 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+#: Bytes of a file that are looked at to tell its encoding.
+PROBE_BYTES = 1 << 20
+
 
 def text_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, backslash: bool = False, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file with header, compressed or not by its suffix; quotes are doubled, or with `backslash` escaped."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("maxCharsPerColumn", -1).option("encoding", encoding)
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Asked through Spark, so that it works wherever Spark reads."""
+    files, target = _file_system(spark, path)
+    return files.exists(target)
+
+
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if the file's beginning is that, else Latin-1; the driver reads PROBE_BYTES at most."""
+    files, target = _file_system(spark, path)
+    stream = files.open(target)
+    try:
+        data = bytes(stream.readNBytes(min(PROBE_BYTES, files.getFileStatus(target).getLen())))
+    finally:
+        stream.close()
+    try:
+        data[: data.rfind(b"\n") + 1 or len(data)].decode("utf-8")
+        return "UTF-8"
+    except UnicodeDecodeError:
+        return "ISO-8859-1"
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, backslash: bool = False, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
+    """A CSV file, compressed or not by its suffix; quotes are doubled, or with `backslash` escaped.
+
+    Fields may be of any length and hold line breaks; a missing field is an empty one; a byte order mark is dropped.
+    """
+    reader = spark.read.option("header", header).option("multiLine", True).option("maxCharsPerColumn", -1).option("encoding", encoding)
     reader = reader.option("quote", '"').option("escape", "\\" if backslash else '"')
     df = (reader.schema(text_schema(columns)) if columns else reader).csv(path)
-    return df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in df.columns])
+    names = [c.removeprefix("﻿") for c in df.columns]
+    return df.toDF(*names).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
+
+
+def read_any_encoding(spark: SparkSession, path: str, **options) -> DataFrame:
+    return read_csv(spark, path, encoding=encoding_of(spark, path), **options)
 
 
 def read_optional(spark: SparkSession, path: str, columns: Sequence[str], **options) -> DataFrame:
-    """An empty table where the file is missing; the file system is asked through Spark."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    return read_csv(spark, path, columns, **options) if there else spark.createDataFrame([], text_schema(columns))
+    """An empty table where the file is missing."""
+    return read_csv(spark, path, columns, **options) if exists(spark, path) else spark.createDataFrame([], text_schema(columns))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int = 0) -> DataFrame:
+    """One JSON document for each line; blank lines are no rows."""
     df = spark.read.schema(schema).json(path)
     return df.limit(limit) if limit else df
 
 
 def read_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """One JSON document for each file of a folder, named by it; unreadable ones are skipped."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder).withColumn("name", name)
 
 
+def numbered(df: DataFrame, name: str = "_ord") -> DataFrame:
+    """Rows with a number that rises in the order of the file, for the rules by which the first or last row wins."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def unpivot_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[int], fields: Sequence[str]) -> DataFrame:
     """Wide slots `field (k)` to one row for each filled slot."""
     entry = lambda k: F.struct(F.lit(k).alias("slot"), *[F.col(f"`{f} ({k})`").alias(f) for f in fields])
@@ -46,8 +87,25 @@ def unpivot_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[int], fiel
     return rows.where(F.coalesce(*[F.when(F.trim(F.col(f"`{f}`")) != "", F.lit(True)) for f in fields], F.lit(False)))
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
-    df.select(*columns).write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], mode: str = "errorifexists") -> None:
+    """Only the named columns, in that order; quotes are doubled."""
+    df.select(*columns).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
+def write_stage(df: DataFrame, folder: str, stage: str) -> DataFrame:
+    """A stage's rows as Parquet in a folder of its own, read back: no stage writes over what it reads, and a rerun replaces its own output whole."""
+    path = f"{folder.rstrip('/')}/stage={stage}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append_cache(df: DataFrame, path: str) -> None:
+    """Append answers as they come; each task's file is committed whole or not at all."""
+    df.write.mode("append").json(path)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_splits(df: DataFrame, path: str) -> None:

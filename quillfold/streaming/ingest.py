@@ -5,22 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillfold.operators.relational import upsert
+from quillfold.sources.readers import exists
+
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Events and value by window and type, with a watermark for late rows."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    """Events and value by window and type, with a watermark for late rows; batch frames count alike."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def ingest_once(spark: SparkSession, folder: str, out: str, checkpoint: str, key: str) -> None:
-    """Read what a folder holds now, once each, and append the rows whose key is new."""
+def _run(spark: SparkSession, folder: str, checkpoint: str, step) -> None:
+    """What the folder holds now, each file once, batch by batch; a restart goes on where the last run ended."""
     schema = spark.read.parquet(folder).schema
+    source = spark.readStream.schema(schema).parquet(folder)
+    source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates([key])
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+def ingest_once(spark: SparkSession, folder: str, out: str, checkpoint: str, key: str) -> None:
+    """Append the rows whose key is new; one row of each key, whatever arrives again."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if exists(spark, out):
             rows = rows.join(spark.read.parquet(out).select(key), key, "left_anti")
         rows.write.mode("append").parquet(out)
 
-    query = spark.readStream.schema(schema).parquet(folder).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
-    query.awaitTermination()
+    _run(spark, folder, checkpoint, append)
+
+
+def accumulate_log(spark: SparkSession, folder: str, out: str, checkpoint: str, key: str) -> None:
+    """Upsert each batch into a log; versions of the log stand side by side, the last complete one counts."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*[c for c in batch.columns if c != key])).alias("r")).select(key, "r.*")
+        old = read_log(spark, out, before=number)
+        (new if old is None else upsert(old, new, key)).write.mode("overwrite").parquet(f"{out}/version={number}")
+
+    _run(spark, folder, checkpoint, merge)
+
+
+def read_log(spark: SparkSession, out: str, before: int | None = None) -> DataFrame | None:
+    """The latest version of an accumulated log (older than `before`, where that is given); null without one."""
+    if not exists(spark, out):
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in files.listStatus(path) if exists(spark, f"{s.getPath()}/_SUCCESS")]
+    found = sorted(n for n in (int(p.getName().removeprefix("version=")) for p in done) if before is None or n < before)
+    return spark.read.parquet(f"{out}/version={found[-1]}") if found else None

@@ -39,7 +39,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith(LLM) and n != "pipeline"))
-def test_runs(spark, sf_dir, name):
-    got = entry.queries()[name](spark, sf_dir)
-    assert got.columns and len(got.collect()) >= 0
+def test_reasons_all_occur(spark):
+    """The stand-in for deduplication holds every reason to drop a row."""
+    found = entry.queries()["c08_j18_j19_j20_p11_w04_w09_dedup"](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()
+    assert {r["reason"] for r in found} == {"compare_page_copy", "junk", "wrong_court", "separate_writing", "embedded_separate_writing", "exact_duplicate", "amended_earlier_version", "revised_marker", "near_duplicate"}
+
+
+def test_split_without_sql(spark, sf_dir):
+    got = entry.queries()["c09_a20_group_split"](spark, sf_dir).collect()
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey").distinct().count()
+    assert len(got) == orders and {r["split"] for r in got} == {"train", "val", "test"}
