@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,12 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share, which the session names in spark.checkpoint.dir.
+
+    A session on one machine that names none gets one in its working directory; a cluster without one is refused.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="quillfold-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or os.path.abspath("spark-checkpoints")).rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -48,6 +51,12 @@ def discard(df: DataFrame) -> None:
 
 def crc32_mod(column, modulus: int):
     """crc32 of an id written as text, modulo a number of folds."""
-    from pyspark.sql import functions as F
-
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of these is, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,17 +1,20 @@
 """Approximate nearest neighbours: inverted lists of coarse centroids with product-quantised residuals.
 
-Coarse centroids and codebooks are fitted at the driver on at most TRAIN_ROWS rows (a documented bound, the
-first by a hash of the id); every row is indexed. A row goes to its nearest centroid's list and its
-residual is coded by the nearest codeword in each of dim / SUB subspaces. A query visits the lists of its nearest
-centroids. In each it ranks the codes by its asymmetric distance table (query residual against
-codewords), and the best `rerank` rows are ranked again by the exact distance of the original vectors, in double precision.
-
-Lists of more than LIST_ROWS rows (such as those of one very common vector) are dealt in parts by a hash of the
-id; parts meet queries by co-grouping, queries in blocks of at most about BLOCK_QUERIES. Only the
-centroids and codebooks are broadcast. Equal code distances and equal exact distances go by the smaller id.
-
-Defined results: see `vectors.usable` (zero vectors take no part); fewer candidates than k give fewer rows;
-an empty table gives none; further columns are ignored.
+Coarse centroids and codebooks are fitted at the driver on at most TRAIN_ROWS rows (a documented bound, the first by a hash);
+every row is indexed. A row stands in the lists of its SPILL nearest centroids; in each, its residual is coded by the
+nearest codeword in each of dim / SUB subspaces. The index holds ids and codes, no vectors.
+
+A query visits the lists of its nearest centroids, a share of all. There its asymmetric distance table (query residual
+against codewords) ranks the codes, and the best `per_list` go on. Over all lists the `rerank` nearest by code are
+fetched by id and ranked again by the exact distance of the original vectors, in double precision.
+
+Lists of more than LIST_ROWS codes (such as those of one very common vector) are dealt in parts by a hash of the row;
+parts meet queries by co-grouping, queries in blocks of about BLOCK_QUERIES. Only centroids and codebooks are broadcast.
+Equal code distances and equal exact distances go by the smaller id.
+
+Defined results: see `vectors.usable` (zero vectors take no part, rows that repeat an id are rows of their own); components are
+scaled by a power of two for the index alone, so that huge ones do not overflow there, while a score beyond double is
+infinite; fewer candidates than k give fewer rows; an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ from quillfold.llm.vectors import matrix, sample, squared_distances, usable
 
 TRAIN_ROWS = 20_000
 MAX_LISTS = 1024
-LEAST_LISTS = 20
-LIST_ROWS = 8192
-BLOCK_QUERIES = 2048
+LEAST_LISTS = 12
+SPILL = 4
+LIST_ROWS = 16_384
+BLOCK_QUERIES = 16_384
 SUB = 4
 WORDS = 256
 
@@ -59,43 +63,51 @@ class Index:
     centres: np.ndarray
     books: list[np.ndarray]
     cuts: list[tuple[int, int]]
+    scale: float
+
+    def nearest_lists(self, x: np.ndarray, n: int) -> np.ndarray:
+        d = squared_distances(x * self.scale, self.centres)
+        return np.argsort(d, axis=1, kind="stable")[:, :n]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes of each row."""
-        near = squared_distances(x, self.centres).argmin(1)
-        rest = x - self.centres[near]
+    def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
+        """Codes of each row's residual in the list given for it."""
+        rest = x * self.scale - self.centres[lists]
         codes = [squared_distances(rest[:, a:b], book).argmin(1) for (a, b), book in zip(self.cuts, self.books, strict=True)]
-        return near, np.stack(codes, axis=1).astype(np.uint8)
+        return np.stack(codes, axis=1).astype(np.uint8)
 
-    def table(self, q: np.ndarray, which: int) -> np.ndarray:
-        """Squared distances of the query's residual to every codeword."""
-        rest = q - self.centres[which]
-        out = np.zeros((len(self.cuts), WORDS))
+    def tables(self, q: np.ndarray, which: int) -> np.ndarray:
+        """Squared distances of each query's residual to every codeword: (queries, subspaces, words)."""
+        rest = q * self.scale - self.centres[which]
+        out = np.zeros((len(q), len(self.cuts), WORDS))
         for m, ((a, b), book) in enumerate(zip(self.cuts, self.books, strict=True)):
-            out[m, : len(book)] = ((book - rest[a:b]) ** 2).sum(1)
+            out[:, m, : len(book)] = squared_distances(rest[:, a:b], book)
         return out
 
 
 def train(x: np.ndarray, lists: int) -> Index:
+    most = float(np.abs(x).max())
+    scale = float(2.0 ** -np.floor(np.log2(most))) if most > 0 else 1.0
+    x = x * scale
     centres = kmeans(x, lists)
     rest = x - centres[squared_distances(x, centres).argmin(1)]
     cuts = [(a, min(a + SUB, x.shape[1])) for a in range(0, x.shape[1], SUB)]
-    return Index(centres, [kmeans(rest[:, a:b], WORDS, rounds=6) for a, b in cuts], cuts)
+    return Index(centres, [kmeans(rest[:, a:b], WORDS, rounds=6) for a, b in cuts], cuts, scale)
 
 
-def search_list(index: Index, which: int, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, q: np.ndarray, own_id: int, k: int, rerank: int) -> list[tuple[int, float]]:
-    """The k best (id, distance) of one list: code distances first, then exact ones. ids are sorted."""
-    table = index.table(q, which)
-    rough = table[np.arange(len(index.cuts))[None, :], codes].sum(1)
-    rough[ids == own_id] = np.inf
-    best = np.argsort(rough, kind="stable")[: rerank + 1]
-    best = best[ids[best] != own_id]
-    exact = np.sqrt(((x[best] - q) ** 2).sum(1))
-    order = np.lexsort((ids[best], exact))[:k]
-    return list(zip(ids[best][order].tolist(), exact[order].tolist(), strict=True))
+def search_list(index: Index, which: int, rows: np.ndarray, codes: np.ndarray, q: np.ndarray, own: np.ndarray, per_list: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query rows, candidate rows, code distances) of the nearest codes of one list, for a few queries at a time."""
+    flat = codes.astype(np.int64) + np.arange(len(index.cuts)) * WORDS
+    for start in range(0, len(q), 64):
+        tables = index.tables(q[start : start + 64], which).reshape(-1, len(index.cuts) * WORDS)
+        for table, query in zip(tables, own[start : start + 64], strict=True):
+            rough = table[flat].sum(1)
+            rough[rows == query] = np.inf
+            best = np.argpartition(rough, per_list)[:per_list] if len(rough) > per_list else np.arange(len(rough))
+            best = best[np.isfinite(rough[best])]
+            yield np.full(len(best), query), rows[best], rough[best]
 
 
-def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, probe: float = 0.6, rerank: int = 64) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, probe: float = 0.2, per_list: int = 64, rerank: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with an id divisible by `every`, the k nearest found.
 
     probe: the share of the lists that a query visits, at least LEAST_LISTS lists.
@@ -113,10 +125,12 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, probe: float =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if part.num_rows:
-                near, codes = shared.value.encode(matrix(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vec", "list", "code"])
+                x = matrix(part.column(1).to_pylist())
+                for lists_ in shared.value.nearest_lists(x, min(SPILL, lists)).T:
+                    codes = shared.value.encode(x, lists_)
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists_.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "list", "code"])
 
-    coded = materialise(vectors.mapInArrow(encode, "vec_id long, vec binary, list int, code binary"))
+    coded = materialise(vectors.select("row", "vec").mapInArrow(encode, "row long, list int, code binary"))
     sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_LISTS rows at most
     parts = [max(1, -(-sizes.get(i, 0) // LIST_ROWS)) for i in range(lists)]
     of_list = F.broadcast(spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "list int, parts int"))
@@ -126,27 +140,39 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, probe: float =
         for part in batches:
             if not part.num_rows:
                 continue
-            near = np.argsort(squared_distances(matrix(part.column(1).to_pylist()), shared.value.centres), axis=1, kind="stable")[:, :probes]
+            near = shared.value.nearest_lists(matrix(part.column(1).to_pylist()), probes)
             for i in range(part.num_rows):
                 goes = [(int(w), p) for w in near[i] for p in range(parts[w]) if sizes.get(int(w))]
                 take = pa.array(np.full(len(goes), i, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array([w for w, _ in goes], pa.int32()), pa.array([p for _, p in goes], pa.int32())], names=["query_id", "query", "list", "part"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array([w for w, _ in goes], pa.int32()), pa.array([p for _, p in goes], pa.int32())], names=["query", "vec", "list", "part"])
 
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
-    queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(visit, "query_id long, query binary, list int, part int").select("*", block)
-    rows = coded.join(of_list, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = asked.select("row", "vec").mapInArrow(visit, "query long, vec binary, list int, part int").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    codes = coded.join(of_list, "list").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+    codes = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = []
         if len(left) and len(right):
-            left = left.sort_values("vec_id")
-            ids, codes, x = left["vec_id"].to_numpy(), matrix(left["code"], np.uint8), matrix(left["vec"])
-            for query_id, q in zip(right["query_id"], matrix(right["query"]), strict=True):
-                out += [(query_id, *f) for f in search_list(shared.value, int(key[0]), ids, codes, x, q, query_id, k, rerank)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            found = list(search_list(shared.value, int(key[0]), left["row"].to_numpy(), matrix(left["code"], np.uint8), matrix(right["vec"]), right["query"].to_numpy(), per_list))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, dtype=np.int64)] * 2 + [np.empty(0)]
+        return pd.DataFrame(dict(zip(("query", "row", "rough"), columns, strict=True)))
 
     keys = ["list", "part", "block"]
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rough = codes.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, "query long, row long, rough double")
+    # A row that several lists hold counts once, by its best code; dealt by the query, both steps need one shuffle.
+    once = rough.repartition("query").groupBy("query", "row").agg(F.min("rough").alias("rough"))
+    at = F.row_number().over(Window.partitionBy("query").orderBy("rough", "row"))
+    finalists = once.withColumn("at", at).where(F.col("at") <= rerank).select("query", "row")
+    pairs = finalists.join(vectors, "row").join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                with np.errstate(over="ignore"):
+                    far = np.sqrt(((matrix(part.column(4).to_pylist()) - matrix(part.column(5).to_pylist())) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(far)], names=["query", "query_id", "row", "vec_id", "score"])
+
+    scored = pairs.select("query", "query_id", "row", "vec_id", "vec", "q").mapInArrow(exact, "query long, query_id long, row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
