@@ -11,13 +11,17 @@ computing the distance to a routing object or an object at all. Bounds have a sm
 rounding, and only strictly worse pages are cut, so ties are always decided by the id.
 
 Over the cluster: rows are dealt to regions, that of the nearest of at most MAX_REGIONS pivots, and a region of more than
-TREE_ROWS rows (such as one of copies of one vector) is dealt further by a hash of the id; a tree is built for each part.
-Each query first searches one tree of its own region, which gives it a score to beat, then only those
-trees whose region can hold a better row. Queries go in blocks of at most about BLOCK_QUERIES for each tree. Only pivots and
-their radii are broadcast.
+TREE_ROWS rows (such as one of copies of one vector) is dealt further by a hash of the row; a tree is built for each part.
+Each query first searches one tree of its own region, which gives it a score to beat, then only those trees whose
+region can hold a better row. Trees stand together in batches, one task each: a query is sent once to each batch
+that has a tree for it, with the numbers of these trees, and streams past the batch's trees, so queries are never held. Batches are
+repeated only for each BLOCK_QUERIES queries. Only pivots and their radii are broadcast.
 
-Defined results: see `vectors.usable` for which rows take part; fewer candidates than k give fewer
-rows; an empty table gives none; further columns are ignored.
+Integers are kept as doubles where these are exact; where a sum of products could leave 2^53, products are of Python integers, and a
+score beyond 64 bits stands at the bound of the type.
+
+Defined results: see `vectors.usable` for which rows take part (rows that repeat an id are rows of their own, and candidates
+of each other); fewer candidates than k give fewer rows; an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,6 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +41,27 @@ PAGE = 256
 FANOUT = 16
 TREE_ROWS = 4096
 MAX_REGIONS = 1024
-BLOCK_QUERIES = 2048
-SLACK = 1e-6
+#: Trees of one task: at most TREES, and fewer while there are not LEAST_TASKS tasks.
+TREES, LEAST_TASKS = 8, 48
+BLOCK_QUERIES = 65_536
+#: Bounds are widened by this and by SLACK_SHARE of the longest vector, for rounding.
+SLACK, SLACK_SHARE = 1e-6, 1e-7
+EXACT = float(2**53)
+BOUND = 2**63
 
 
 def to_integers(x: np.ndarray, scale: float = 256.0) -> np.ndarray:
-    return np.floor(x * scale).astype(np.int64)
+    """Whole numbers, as doubles: scaling by a power of two and the floor are exact."""
+    return np.floor(np.clip(x, -1e300, 1e300) * scale)
+
+
+def dot(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of whole numbers, within 64 bits."""
+    if not len(rows) or float(np.abs(rows).max(initial=0.0)) * float(np.abs(q).max(initial=0.0)) * max(1, len(q)) < EXACT:
+        return rows @ q
+    whole = [int(v) for v in q.tolist()]
+    sums = (sum(int(a) * b for a, b in zip(r, whole, strict=True)) for r in rows.tolist())
+    return np.array([min(max(s, -BOUND), BOUND - 1) for s in sums], dtype=object)
 
 
 class Page:
@@ -56,17 +74,18 @@ class Page:
 
 
 class MTree:
-    """x: integer rows; ids: of the rows."""
+    """x: whole numbers, one row for each of rows; ids: of the rows."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.x, self.ids = x[order], ids[order]
+    def __init__(self, x: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None):
+        rows = ids if rows is None else rows
+        order = np.lexsort((rows, ids))
+        self.x, self.ids, self.rows = x[order], ids[order], rows[order]
         squares = (self.x * self.x).sum(1)
-        self.most = int(squares.max())
-        self.lift = np.sqrt((self.most - squares).astype(np.float64))
+        self.most = float(squares.max())
+        self.lift = np.sqrt(self.most - squares)
         self.computed = 0
         self.root = self._build(np.arange(len(ids)), None)
-        # Pages stand side by side, and products are of doubles where these are exact.
+        # Pages stand side by side.
         leaves, stack = [], [self.root]
         while stack:
             page = stack.pop()
@@ -76,8 +95,7 @@ class MTree:
         order = np.concatenate([p.members for p in leaves])
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
-        self.x, self.ids, self.lift = self.x[order], self.ids[order], self.lift[order]
-        self.exact = self.x.astype(np.float64) if self.most < 2**50 else self.x
+        self.x, self.ids, self.rows, self.lift = self.x[order], self.ids[order], self.rows[order], self.lift[order]
         start, stack = 0, [self.root]
         while stack:
             page = stack.pop()
@@ -118,102 +136,122 @@ class MTree:
         page.far = np.array([[c.to_parent, c.radius, c.route] for c in page.children])
         return page
 
-    def search(self, q: np.ndarray, k: int, own_id: int, at_least: int | None = None) -> list[tuple[int, int]]:
-        """The best (score, id), best first; only those with a score of at_least, where it is given."""
-        qq = int((q * q).sum())
-        q = q.astype(self.exact.dtype) if qq < 2**50 else q
-        x = self.exact if q.dtype == self.exact.dtype else self.x
-        to = lambda score: np.sqrt(np.maximum(qq + self.most - 2.0 * score, 0.0))
-        limit = np.inf if at_least is None else float(to(at_least)) + SLACK
-        best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
+    def search(self, q: np.ndarray, k: int, own: int, at_least: int | None = None) -> list[tuple[int, int, int]]:
+        """The best (score, id, row), best first, without the row `own`; only those with a score of at_least, where it is given."""
+        qq = float((q * q).sum())
+        slack = SLACK + SLACK_SHARE * float(np.sqrt(qq + self.most))
+        to = lambda score: np.sqrt(np.maximum(qq + self.most - 2.0 * np.asarray(score, dtype=np.float64), 0.0))
+        limit = np.inf if at_least is None or abs(at_least) >= BOUND - 1 else float(to(at_least)) + slack
+        best: list[tuple[int, int, int]] = []  # a heap of (score, -id, -row): the worst first
         self.computed += 1
-        queue = [(0.0, 0, self.root, float(to(float(x[self.root.route] @ q))))]
+        queue = [(0.0, 0, self.root, float(to(dot(self.x[self.root.route][None, :], q)[0])))]
         serial = 0
         while queue:
             bound, _, page, d = heapq.heappop(queue)
             if bound > limit:
                 break
             if page.members is not None:
-                first, last = page.members
-                near = np.abs(d - page.to_route) <= limit
-                rows, ids = (x[first:last], self.ids[first:last]) if near.all() else (x[first:last][near], self.ids[first:last][near])
-                self.computed += len(rows)
-                scores = rows @ q
+                near = np.arange(*page.members)[np.abs(d - page.to_route) <= limit]
+                self.computed += len(near)
+                scores = dot(self.x[near], q)
                 least = max(best[0][0] if len(best) == k else -np.inf, -np.inf if at_least is None else at_least)
-                good = scores >= least
-                for score, i in zip(scores[good].tolist(), ids[good].tolist(), strict=True):
-                    if i == own_id:
+                good = (scores >= least).astype(bool)
+                for score, i, row in zip(scores[good].tolist(), self.ids[near][good].tolist(), self.rows[near][good].tolist(), strict=True):
+                    if row == own:
                         continue
                     if len(best) < k:
-                        heapq.heappush(best, (int(score), -i))
-                    elif (score, -i) > best[0]:
-                        heapq.heapreplace(best, (int(score), -i))
-                if len(best) == k:
-                    limit = min(limit, float(to(best[0][0])) + SLACK)
+                        heapq.heappush(best, (int(score), -i, -row))
+                    elif (score, -i, -row) > best[0]:
+                        heapq.heapreplace(best, (int(score), -i, -row))
+                if len(best) == k and abs(best[0][0]) < BOUND - 1:
+                    limit = min(limit, float(to(best[0][0])) + slack)
                 continue
             stored = page.far
             open_ = np.abs(d - stored[:, 0]) - stored[:, 1] <= limit
             routes = stored[open_, 2].astype(np.int64)
             self.computed += len(routes)
-            exact = to((x[routes] @ q).astype(np.float64))
+            exact = to(dot(self.x[routes], q))
             for j, dist, radius in zip(np.flatnonzero(open_).tolist(), exact.tolist(), stored[open_, 1].tolist(), strict=True):
                 if dist - radius <= limit:
                     serial += 1
                     heapq.heappush(queue, (max(0.0, dist - radius), serial, page.children[j], dist))
-        return sorted(((s, -i) for s, i in best), key=lambda b: (-b[0], b[1]))
+        return sorted(((s, -i, -row) for s, i, row in best), key=lambda b: (-b[0], b[1], b[2]))
 
 
-def _search_pairs(rows: DataFrame, pairs: DataFrame, blocks: int, k: int, scale: float) -> DataFrame:
-    """rows: tree, vec_id, vec; pairs: tree, query_id, query, at_least. Returns query_id, vec_id, score."""
+def _search_batches(rows: DataFrame, asked: DataFrame, together: int, blocks: int, k: int, scale: float) -> DataFrame:
+    """rows: tree, row, vec_id, vec; asked: batch, trees, query, vec, at_least. Returns query, row, vec_id, score.
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            tree = MTree(to_integers(matrix(left["vec"]), scale), left["vec_id"].to_numpy())
-            for query_id, q, least in zip(right["query_id"], to_integers(matrix(right["query"]), scale), right["at_least"], strict=True):
-                out += [(query_id, i, s) for s, i in tree.search(q, k, query_id, None if pd.isna(least) else int(least))]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    A batch's rows come first and become trees; its queries stream by after them.
+    """
+    number = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    held = rows.withColumn("batch", F.floor(F.col("tree") / together).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = held.select("batch", "block", "tree", "row", "vec_id", "vec", number("trees", "array<int>"), number("at_least", "long"))
+    block = F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")
+    streamed = asked.select("batch", block, F.lit(2**31 - 1).alias("tree"), F.col("query").alias("row"), number("vec_id", "long"), "vec", "trees", "at_least")
 
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = pairs.withColumn("block", block).groupBy("tree", "block")
-    return rows.groupBy("tree", "block").cogroup(right).applyInPandas(run, "query_id long, vec_id long, score long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, waiting, trees = None, {}, {}
+        for part in batches:
+            key = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+            tree, row, vec_id = (part.column(i).to_pylist() for i in (2, 3, 4))
+            x = to_integers(matrix(part.column(5).to_pylist()), scale)
+            out = []
+            for i in range(part.num_rows):
+                if key[i] != now:
+                    now, waiting, trees = key[i], {}, {}
+                if vec_id[i] is not None:
+                    waiting.setdefault(tree[i], []).append((row[i], vec_id[i], x[i]))
+                    continue
+                for t in part.column(6)[i].as_py():
+                    if t not in trees and t in waiting:
+                        members = waiting.pop(t)
+                        trees[t] = MTree(np.stack([m[2] for m in members]), np.array([m[1] for m in members]), np.array([m[0] for m in members]))
+                    if t in trees:
+                        out += [(row[i], r, v, s) for s, v, r in trees[t].search(x[i], k, row[i], part.column(7)[i].as_py())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query", "row", "vec_id", "score"])
+
+    dealt = held.unionByName(streamed).repartition("batch", "block").sortWithinPartitions("batch", "block", "tree", "row")
+    return dealt.mapInArrow(run, "query long, row long, vec_id long, score long")
 
 
 def top_inner_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: for each row with an id divisible by `every`, the k best other rows."""
     vectors = usable(embeddings)
     n = vectors.count()
-    pivots = to_integers(sample(vectors, min(MAX_REGIONS, max(1, n // TREE_ROWS))), scale) if n else np.zeros((1, 1), dtype=np.int64)
-    shared = vectors.sparkSession.sparkContext.broadcast(pivots.astype(np.float64))
+    if not n:
+        return vectors.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "vec_id AS score").limit(0)
+    pivots = to_integers(sample(vectors, min(MAX_REGIONS, max(1, n // TREE_ROWS))), scale)
+    spark = vectors.sparkSession
+    shared = spark.sparkContext.broadcast(pivots)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            x = to_integers(matrix(part.column(1).to_pylist()), scale).astype(np.float64)
-            d = squared_distances(x, shared.value) if len(x) else np.empty((0, 1))
-            near = d.argmin(1) if len(x) else np.empty(0, dtype=np.int64)
-            far = np.sqrt(d[np.arange(len(x)), near])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near.astype(np.int32)), pa.array(far), pa.array((x * x).sum(1))], names=["vec_id", "vec", "region", "far", "square"])
-
-    dealt = materialise(vectors.mapInArrow(deal, "vec_id long, vec binary, region int, far double, square double"))
-    regions = dealt.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"), F.max("square").alias("square")).collect()  # MAX_REGIONS rows at most
+            if not part.num_rows:
+                continue
+            x = to_integers(matrix(part.column(2).to_pylist()), scale)
+            d = squared_distances(x, shared.value)
+            near = d.argmin(1)
+            far = np.sqrt(((x - shared.value[near]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(near.astype(np.int32)), pa.array(far)], names=["row", "vec_id", "vec", "region", "far"])
+
+    dealt = materialise(vectors.mapInArrow(deal, "row long, vec_id long, vec binary, region int, far double"))
+    regions = dealt.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()  # MAX_REGIONS rows at most
     parts = {r["region"]: -(-r["n"] // TREE_ROWS) for r in regions}
     number, trees = {}, []
     for r in sorted(regions, key=lambda r: r["region"]):
         number[r["region"]] = len(trees)
         trees += [r["region"]] * parts[r["region"]]
-    if not trees:
-        return vectors.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "vec_id AS score").limit(0)
-    spark = vectors.sparkSession
     of_region = F.broadcast(spark.createDataFrame([(r, number[r], parts[r]) for r in number], "region int, first int, parts int"))
-    part = lambda c: F.col("first") + F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
-    rows = dealt.join(of_region, "region").select(part("vec_id").alias("tree"), "vec_id", "vec")
-    queries = dealt.where(F.pmod("vec_id", F.lit(every)) == 0).join(of_region, "region").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), part("vec_id").alias("home"))
+    tree = (F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).alias("tree")
+    rows = dealt.join(of_region, "region").select(tree, "row", "vec_id", "vec")
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "vec", F.col("tree").alias("home"))
     blocks = max(1, -(-n // (every * BLOCK_QUERIES)))
+    together = max(1, min(TREES, len(trees) // LEAST_TASKS))
 
-    first = queries.select(F.col("home").alias("tree"), "query_id", "query", F.lit(None).cast("long").alias("at_least"))
-    found = materialise(_search_pairs(rows, first, blocks, k, scale))
-    reached = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("at_least"))
+    first = queries.select(F.floor(F.col("home") / together).cast("int").alias("batch"), F.array("home").alias("trees"), "query", "vec", F.lit(None).cast("long").alias("at_least"))
+    found = materialise(_search_batches(rows, first, together, blocks, k, scale))
+    reached = found.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("at_least"))
 
     # What a tree can score at best follows from its region: q.x <= q.c + |q| r for rows within r of the pivot c.
     bounds = {r["region"]: float(r["far"]) for r in regions}
@@ -222,21 +260,28 @@ def top_inner_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale
         of_tree = np.array(trees)
         radius = np.array([bounds[t] for t in trees])
         for piece in batches:
-            q = to_integers(matrix(piece.column(1).to_pylist()), scale).astype(np.float64)
+            q = to_integers(matrix(piece.column(1).to_pylist()), scale)
             if not len(q):
                 continue
-            best = q @ shared.value[of_tree].T + np.sqrt((q * q).sum(1))[:, None] * radius[None, :] + 1.0
+            size = np.sqrt((q * q).sum(1))[:, None]
+            reach = q @ shared.value[of_tree].T + size * radius[None, :]
+            best = reach + 1.0 + 1e-9 * size * (radius + np.sqrt((shared.value[of_tree] ** 2).sum(1)))[None, :]
             least = np.array([-np.inf if v is None else v for v in piece.column(3).to_pylist()], dtype=np.float64)
-            may = best >= least[:, None]
+            may = best >= np.where(least >= BOUND - 1024, -np.inf, least)[:, None]
             may[np.arange(len(q)), np.array(piece.column(2).to_pylist())] = False
+            at, goes, of = [], [], []
             for i in range(len(q)):
-                at = np.flatnonzero(may[i])
-                one = piece.slice(i, 1)
-                take = pa.array(np.zeros(len(at), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(one.column(c).take(take) for c in (0, 1, 3))], names=["tree", "query_id", "query", "at_least"])
-
-    second = queries.join(reached, "query_id", "left").select("query_id", "query", "home", "at_least")
-    pairs = second.mapInArrow(choose, "tree int, query_id long, query binary, at_least long")
-    every_found = found.unionByName(_search_pairs(rows, pairs, blocks, k, scale))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return every_found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                mine = np.flatnonzero(may[i])
+                for batch in np.unique(mine // together).tolist():
+                    at.append(batch)
+                    goes.append(mine[mine // together == batch].tolist())
+                    of.append(i)
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(goes, pa.list_(pa.int32())), *(piece.column(c).take(take) for c in (0, 1, 3))], names=["batch", "trees", "query", "vec", "at_least"])
+
+    second = queries.join(reached, "query", "left").select("query", "vec", "home", "at_least")
+    asked = second.mapInArrow(choose, "batch int, trees array<int>, query long, vec binary, at_least long")
+    every_found = found.unionByName(_search_batches(rows, asked, together, blocks, k, scale))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    best = every_found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")
