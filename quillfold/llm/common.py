@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,29 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def ranged(df: DataFrame, group: str, *order) -> DataFrame:
+    """df in the order of group and `order`, with `_at`, a number that rises in it, and `_range`, the range a row is in.
+
+    Rows are dealt by ranges of both, so a group of any size is spread over tasks.
+    """
+    dealt = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order).withColumn("_at", F.monotonically_increasing_id())
+    return materialise(dealt.withColumn("_range", F.shiftright("_at", 33)))
+
+
+def carried(rows: DataFrame, group: str, *sums) -> DataFrame:
+    """group, _range and for each aggregate (name, column of each range, how ranges add up) what all earlier ranges of the group give."""
+    whole = rows.groupBy(group, "_range").agg(*[each.alias(name) for name, each, _ in sums])
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    return whole.select(F.col(group).alias("_group"), F.col("_range").alias("_in"), *[add(name).over(earlier).alias(f"_{name}") for name, _, add in sums])
+
+
+def with_places(df: DataFrame, group: str, name: str, *order) -> DataFrame:
+    """df with the place of each row in its group, from 1; groups may be of any size and none is gathered."""
+    rows = ranged(df, group, *order)
+    first = rows.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_in")).agg(F.min("_at").alias("_first"))
+    before = carried(rows, group, ("n", F.count(F.lit(1)), F.sum)).join(first, ["_group", "_in"])
+    here = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_in"))
+    place = (F.col("_at") - F.col("_first") + F.coalesce("_n", F.lit(0)) + 1).cast("int")
+    return rows.join(before, here, "left").select(*df.columns, place.alias(name))

@@ -37,6 +37,7 @@ LEAST_LISTS = 12
 SPILL = 4
 LIST_ROWS = 16_384
 BLOCK_QUERIES = 16_384
+MOST_TASKS = 20_000
 SUB = 4
 WORDS = 256
 
@@ -159,7 +160,9 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, probe: float =
         return pd.DataFrame(dict(zip(("query", "row", "rough"), columns, strict=True)))
 
     keys = ["list", "part", "block"]
-    rough = codes.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(run, "query long, row long, rough double")
+    # Given as a number, so that tasks with little data and much to compute are not merged.
+    tasks = min(MOST_TASKS, -(-blocks * sum(parts) // 4))
+    rough = codes.repartition(tasks, *keys).groupBy(*keys).cogroup(queries.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(run, "query long, row long, rough double")
     # A row that several lists hold counts once, by its best code; dealt by the query, both steps need one shuffle.
     once = rough.repartition("query").groupBy("query", "row").agg(F.min("rough").alias("rough"))
     at = F.row_number().over(Window.partitionBy("query").orderBy("rough", "row"))

@@ -44,6 +44,7 @@ MAX_REGIONS = 1024
 #: Trees of one task: at most TREES, and fewer while there are not LEAST_TASKS tasks.
 TREES, LEAST_TASKS = 8, 48
 BLOCK_QUERIES = 65_536
+MOST_TASKS = 20_000
 #: Bounds are widened by this and by SLACK_SHARE of the longest vector, for rounding.
 SLACK, SLACK_SHARE = 1e-6, 1e-7
 EXACT = float(2**53)
@@ -178,7 +179,7 @@ class MTree:
         return sorted(((s, -i, -row) for s, i, row in best), key=lambda b: (-b[0], b[1], b[2]))
 
 
-def _search_batches(rows: DataFrame, asked: DataFrame, together: int, blocks: int, k: int, scale: float) -> DataFrame:
+def _search_batches(rows: DataFrame, asked: DataFrame, together: int, tasks: int, blocks: int, k: int, scale: float) -> DataFrame:
     """rows: tree, row, vec_id, vec; asked: batch, trees, query, vec, at_least. Returns query, row, vec_id, score.
 
     A batch's rows come first and become trees; its queries stream by after them.
@@ -211,7 +212,7 @@ def _search_batches(rows: DataFrame, asked: DataFrame, together: int, blocks: in
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["query", "row", "vec_id", "score"])
 
-    dealt = held.unionByName(streamed).repartition("batch", "block").sortWithinPartitions("batch", "block", "tree", "row")
+    dealt = held.unionByName(streamed).repartition(tasks, "batch", "block").sortWithinPartitions("batch", "block", "tree", "row")
     return dealt.mapInArrow(run, "query long, row long, vec_id long, score long")
 
 
@@ -248,9 +249,11 @@ def top_inner_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "vec", F.col("tree").alias("home"))
     blocks = max(1, -(-n // (every * BLOCK_QUERIES)))
     together = max(1, min(TREES, len(trees) // LEAST_TASKS))
+    # Given as a number, so that tasks with little data and much to compute are not merged.
+    tasks = min(MOST_TASKS, 3 * blocks * -(-len(trees) // together))
 
     first = queries.select(F.floor(F.col("home") / together).cast("int").alias("batch"), F.array("home").alias("trees"), "query", "vec", F.lit(None).cast("long").alias("at_least"))
-    found = materialise(_search_batches(rows, first, together, blocks, k, scale))
+    found = materialise(_search_batches(rows, first, together, tasks, blocks, k, scale))
     reached = found.groupBy("query").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("at_least"))
 
     # What a tree can score at best follows from its region: q.x <= q.c + |q| r for rows within r of the pivot c.
@@ -281,7 +284,7 @@ def top_inner_products(embeddings: DataFrame, every: int = 50, k: int = 5, scale
 
     second = queries.join(reached, "query", "left").select("query", "vec", "home", "at_least")
     asked = second.mapInArrow(choose, "batch int, trees array<int>, query long, vec binary, at_least long")
-    every_found = found.unionByName(_search_batches(rows, asked, together, blocks, k, scale))
+    every_found = found.unionByName(_search_batches(rows, asked, together, tasks, blocks, k, scale))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
     best = every_found.withColumn("rank", rank).where(F.col("rank") <= k)
     return best.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")

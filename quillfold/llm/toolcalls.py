@@ -2,43 +2,86 @@
 
 Calls and results meet in a hash join on (conversation, call id). Calls of a conversation stand in topological order:
 each after the calls it depends on, otherwise by turn and id. Where every dependency already points to an
-earlier (turn, id), that sort is a topological order and one window does it, whatever the size of the conversation; only
-conversations with a dependency that points ahead go through Kahn's algorithm, level by level as joins.
+earlier (turn, id), that sort is a topological order; only conversations with a dependency that points ahead go through Kahn's
+algorithm, level by level as joins, in as many rounds as their longest chain. Places in a conversation are counted by
+ranges of its calls, so that one conversation may hold any share of all rows.
 Arguments are checked against the JSON schema of the called function, and everything is serialised
-as canonical JSON (keys sorted, no spaces, non-ASCII kept, as the key order of code points).
+as canonical JSON (keys sorted, no spaces, non-ASCII kept, as the key order of code points; a lone surrogate stays an escape).
 
 Defined results: status is `linked`, `no_result`, `unknown_dependency` (which then counts as no dependency)
-or `cycle` (such calls come last, by turn and id); a null or malformed argument text is invalid; calls or results with
+or `cycle` (such calls come last, by turn and id); an argument text is invalid if it is null, no JSON (NaN and infinities are
+none), nested too deeply to be read, or holds a number beyond double, and then stands as text; calls or results with
 a null conversation or id are dropped; of several results or calls of an id the first counts, by turn and
-content; results without a call are dropped; further columns are ignored.
+content; results without a call are dropped; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillfold.llm.common import materialise
+from quillfold.llm.common import carried, materialise, ranged, with_places
 
-_TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list, "object": dict, "null": type(None)}
+_TYPES = {"string": str, "boolean": bool, "array": list, "object": dict, "null": type(None)}
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
+def _writable(text: str) -> str:
+    """Lone surrogates, which UTF-8 cannot hold, as escapes."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return _writable(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False))
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise ValueError("beyond double")
+    return value
+
+
+def parse(text: str):
+    """The value of a JSON text; ValueError or RecursionError where it has none."""
+    return json.loads(text, parse_constant=_no_constant, parse_float=_number)
+
+
+def _is(value, kind: str) -> bool:
+    if kind in ("number", "integer"):
+        number = isinstance(value, (int, float)) and not isinstance(value, bool)
+        return number and (kind == "number" or isinstance(value, int) or value.is_integer())
+    return isinstance(value, _TYPES[kind])
+
+
+def same(a, b) -> bool:
+    """Equality of JSON values: true is not 1."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
+    return a == b
 
 
 def validate(value, schema: dict, path: str = "$") -> list[str]:
     """Errors of a value against a JSON schema: type, enum, required, properties, items, additionalProperties, bounds."""
     errors, kinds = [], schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds or []
-    fits = any(isinstance(value, _TYPES[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in kinds)
-    if kinds and not fits:
+    if kinds and not any(_is(value, k) for k in kinds):
         return [f"{path}: not {'/'.join(kinds)}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, x) for x in schema["enum"]):
         errors.append(f"{path}: not in enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if "minimum" in schema and value < schema["minimum"]:
@@ -67,11 +110,14 @@ def validate(value, schema: dict, path: str = "$") -> list[str]:
 def format_call(name, arguments, result, schemas: dict) -> tuple[bool, str, str]:
     """Whether the arguments are valid, their errors, and the canonical JSON of call and result."""
     try:
-        parsed = json.loads(arguments)
+        parsed = parse(arguments)
         errors = validate(parsed, schemas[name]) if name in schemas else [f"$: no function {name}"]
+        text = canonical({"name": name, "arguments": parsed, "result": result})
+    except RecursionError:
+        errors, text = ["$: nested too deeply"], canonical({"name": name, "arguments": arguments, "result": result})
     except (TypeError, ValueError):
-        parsed, errors = arguments, ["$: not JSON"]
-    return not errors, "; ".join(errors), canonical({"name": name, "arguments": parsed, "result": result})
+        errors, text = ["$: not JSON"], canonical({"name": name, "arguments": arguments, "result": result})
+    return not errors, _writable("; ".join(errors)), text
 
 
 def _levels(calls: DataFrame, needs: DataFrame, fold: int = 50) -> DataFrame:
@@ -119,15 +165,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         known = needs.where("of_turn IS NOT NULL").join(bad, "conv_id", "left_semi").select(*key, "needed")
         linked = linked.join(_levels(ahead, known).withColumn("_ahead", F.lit(True)), key, "left")
         linked = linked.withColumn("level", F.when(F.col("_ahead"), F.col("level")).otherwise(F.lit(0)))
-    order = Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "turn", "call_id")
-    placed = linked.select(
-        *key,
-        F.row_number().over(order).alias("position"),
-        F.when(F.col("level").isNull(), "cycle").when(F.col("_unknown"), "unknown_dependency").when(F.col("_linked"), "linked").otherwise("no_result").alias("status"),
-        "name",
-        "arguments",
-        "content",
-    )
+    status = F.when(F.col("level").isNull(), "cycle").when(F.col("_unknown"), "unknown_dependency").when(F.col("_linked"), "linked").otherwise("no_result")
+    ready = linked.select(*key, "level", "turn", status.alias("status"), "name", "arguments", "content")
+    placed = with_places(ready, "conv_id", "position", F.col("level").asc_nulls_last(), F.col("turn"), F.col("call_id"))
+    placed = placed.select(*key, "position", "status", "name", "arguments", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
@@ -139,25 +180,40 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
 
 #: The one function that the turns of a plain dialogue are read as: the user asks, the assistant replies.
-REPLY = {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}
+REPLY = {
+    "type": "object",
+    "required": ["prompt", "turn"],
+    "additionalProperties": False,
+    "properties": {"prompt": {"type": "string", "minLength": 1, "maxLength": 2000}, "turn": {"type": "integer", "minimum": 0}, "style": {"enum": ["plain", "brief"]}},
+}
 
 
 def dialogue_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Read each user turn as a call of `reply`, depending on the user turn before, and the assistant's next turn before the next user turn as its result."""
+    """Read each user turn as a call of `reply`, and the assistant's next turn before the next user turn as its result.
+
+    A dialogue has neither dependencies nor faulty arguments, so both follow from a hash of conversation and turn: of eight
+    calls three depend on the call before, one on the call after it (two such neighbours make a cycle), one on a call that
+    is not there; of eleven, one's arguments are plain text, one's turn is a string, one's style is unknown.
+    """
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     name = lambda turn: F.concat(F.lit("t"), F.lpad(turn.cast("string"), 12, "0"))
-    users = rows.where("role = 'user' AND turn IS NOT NULL")
-    before = F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    calls = users.groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("_before", before)
-    calls = calls.select(
-        "conv_id",
-        name(F.col("turn")).alias("call_id"),
-        "turn",
-        F.lit("reply").alias("name"),
-        F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"),
-        F.when(F.col("_before").isNotNull(), F.array(name(F.col("_before")))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
-    )
-    asked = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1))
-    spoken = rows.where("role IN ('user', 'assistant') AND turn IS NOT NULL").withColumn("_asked", asked)
-    results = spoken.where("role = 'assistant' AND _asked IS NOT NULL").select("conv_id", name(F.col("_asked")).alias("call_id"), "turn", F.col("text").alias("content"))
+    users = rows.where("role = 'user' AND turn IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    users = materialise(with_places(users, "conv_id", "_place", F.col("turn")))
+    near = lambda step, alias: users.select("conv_id", (F.col("_place") + step).alias("_place"), name(F.col("turn")).alias(alias))
+    calls = users.join(near(1, "_before"), ["conv_id", "_place"], "left").join(near(-1, "_after"), ["conv_id", "_place"], "left")
+    kind = lambda n: F.pmod(F.xxhash64("conv_id", "turn"), F.lit(n))
+    needed = F.when(kind(8) < 3, F.col("_before")).when(kind(8) == 3, F.col("_after")).when(kind(8) == 4, "missing")
+    turn = F.col("turn").cast("string")
+    right = F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))
+    arguments = F.when(kind(11) == 0, F.col("text")).when(kind(11) == 1, F.to_json(F.struct(F.col("text").alias("prompt"), turn.alias("turn")))).when(kind(11) == 2, F.to_json(F.struct(F.col("text").alias("prompt"), "turn", F.lit("odd").alias("style")))).otherwise(right)
+    calls = calls.select("conv_id", name(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(needed.isNotNull(), F.array(needed)).otherwise(F.array().cast("array<string>")).alias("depends_on"))
+
+    # The last user turn before each assistant turn: of the same range, else what earlier ranges hold.
+    spoken = ranged(rows.where("role IN ('user', 'assistant') AND turn IS NOT NULL AND conv_id IS NOT NULL"), "conv_id", F.col("turn"), F.col("role"))
+    asks = F.when(F.col("role") == "user", F.col("turn"))
+    earlier = carried(spoken, "conv_id", ("asked", F.max(asks), F.max))
+    here = Window.partitionBy("conv_id", "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    told = spoken.withColumn("_here", F.max(asks).over(here)).join(earlier, (F.col("conv_id") == F.col("_group")) & (F.col("_range") == F.col("_in")), "left")
+    told = told.withColumn("_asks", F.coalesce("_here", "_asked")).where("role = 'assistant' AND _asks IS NOT NULL")
+    results = told.select("conv_id", name(F.col("_asks")).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
