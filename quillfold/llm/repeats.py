@@ -7,21 +7,27 @@ Anchors spread the work. In each window of LENGTH bytes, the GRAM-byte gram with
 windows have equal anchors at equal places, wherever they stand. What an anchor can serve is its
 context: the bytes from LENGTH - GRAM before it to LENGTH after its start. So:
 
-1. Every anchor goes, with a hash of its context, to a list by the hash of its gram. In sorted lists, each occurrence but the
-   first of one context is repeated whole. Only lists with two or more contexts go on, one occurrence of each.
+1. Every anchor goes, with a hash of its context, to a list by the hash of its gram. Occurrences that repeat a context of the same slice
+   of the input are told apart before the shuffle and dealt by document, so a passage in very many texts costs a list one
+   row for each slice. In sorted lists, each occurrence but the first of one context (128 bits of hash) is repeated
+   whole. Only lists with two or more contexts go on, one occurrence of each.
 2. Their contexts are fetched, and each list gets its suffix array: the suffixes at its anchors, sorted, with common
    prefixes. A stack scan walks the tree of common-prefix intervals; inside each interval the bytes to the left, sorted alike, give a
    second tree, which tests left-extension diversity: an interval whose members agree to the left is only output
    with that extension. What comes out are the maximal repeats of LENGTH bytes or more, each
-   with all its occurrences; all but the earliest are removed.
+   with all its occurrences; all but the earliest are removed. (Lists of two have one interval; they are compared all at once.)
 3. A list of more than MAX_LIST contexts (at the edge of a passage in very many documents) is not gathered: each
    of its windows becomes a row by itself, under a 128-bit hash, and step 1 finds the repeated ones by streaming.
 
+`repeat_groups` gives the groups themselves, with every occurrence. A repeat longer than a context stands in several groups,
+one for each of its anchors.
+
 All lists are streams over sorted partitions that hold at most MAX_LIST contexts in memory. Nothing is collected at the driver.
 
 Defined results: a null or empty text has 0 bytes, and so nothing removed; texts under LENGTH bytes never
-lose any; rows with a null id are left as they are and match nothing; repeated rows of one id count as one document and are
-treated alike; an empty table gives an empty result; further columns are ignored.
+lose any; rows with a null id are left as they are and match nothing; repeated rows of one id and text count as one document
+and are treated alike; several texts of one id are documents of their own, in the order of their bytes; an empty table
+gives an empty result; further columns are kept, whatever their names, but for those that the result replaces.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillfold.llm.common import discard, materialise
 from quillfold.llm.text_arrays import SLICE_BYTES, mix, text_slices
@@ -103,7 +110,33 @@ def _long_anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
+def combine(h: np.ndarray, c: np.ndarray, doc_id: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """The rows, of which those that repeat an earlier one's h and c are marked by a negative place (~place) and dealt by document.
+
+    A row that stands twice counts once.
+    """
+    order = np.argsort(h ^ mix(c), kind="stable")
+    key = (h ^ mix(c))[order]
+    same = np.zeros(len(order), dtype=bool)
+    same[1:] = key[1:] == key[:-1]
+    same[:-1] |= same[1:]
+    at = order[same]
+    if not len(at):
+        return [h.view(np.int64), c.view(np.int64), doc_id, place]
+    at = at[np.lexsort((place[at], doc_id[at], c[at], h[at]))]
+    first = np.concatenate(([True], (h[at][1:] != h[at][:-1]) | (c[at][1:] != c[at][:-1])))
+    of = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+    later = at[~first]
+    twice = later[(doc_id[later] == doc_id[of[~first]]) & (place[later] == place[of[~first]])]
+    h, c, place = h.copy(), c.copy(), place.copy()
+    h[later], c[later] = mix(doc_id[later].view(np.uint64) + np.uint64(1)), mix(place[later].view(np.uint64))
+    place[later] = ~place[later]
+    keep = np.ones(len(h), dtype=bool)
+    keep[twice] = False
+    return [x[keep] for x in (h.view(np.int64), c.view(np.int64), doc_id, place)]
+
+
+def anchor_rows(docs: DataFrame, combined: bool = True) -> DataFrame:
     """h, c, doc_id, place for every anchor; place packs the position and the bytes before and after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +145,8 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             for first, data, offsets in text_slices(part.column(1)):
                 found = _long_anchors(data) if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES else anchors(data, offsets)
                 text, at, h, c, before, after = found
-                arrays = [h.view(np.int64), c.view(np.int64), ids[first + text], at << 16 | before << 8 | after]
+                rows = (h, c, ids[first + text], at << 16 | before << 8 | after)
+                arrays = combine(*rows) if combined else [rows[0].view(np.int64), rows[1].view(np.int64), *rows[2:]]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["h", "c", "doc_id", "place"])
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "h long, c long, doc_id long, place long")
@@ -121,11 +155,12 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 REPEATED, OPEN, CROWDED = 0, 1, 2
 
 
-def scan_lists(rows: DataFrame, only_repeated: bool = False) -> DataFrame:
+def scan_lists(rows: DataFrame, only_repeated: bool = False, all_occurrences: bool = False) -> DataFrame:
     """Sort rows into lists by h and read them as a stream.
 
     Returns kind, h, doc_id and place: REPEATED, an occurrence whose context c occurs earlier; OPEN, the first of each
-    context in a list that has several; CROWDED, the same in lists of over MAX_LIST contexts.
+    context in a list that has several; CROWDED, the same in lists of over MAX_LIST contexts. With `all_occurrences`
+    every occurrence counts as a context of its own, so none is REPEATED.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +183,16 @@ def scan_lists(rows: DataFrame, only_repeated: bool = False) -> DataFrame:
             now = [part.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if not len(now[0]):
                 continue
+            known = now[3] < 0
+            if known.any():
+                yield out(REPEATED, now[0][known], now[2][known], ~now[3][known])
+                now = [x[~known] for x in now]
             h, c, doc_id, place = (np.concatenate(x) for x in zip(held, now, strict=True))
+            if not len(h):
+                continue
             first = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
+            if all_occurrences:
+                first[1:] |= (doc_id[1:] != doc_id[:-1]) | (place[1:] != place[:-1])
             of = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
             again = ~first & ((doc_id != doc_id[of]) | (place != place[of]))  # a repeated row is no earlier occurrence
             if again.any():
@@ -183,11 +226,19 @@ def fetch_contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         names = ["kind", "h", "c", "doc_id", "place", "context"]
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            open_ = [r for r in rows if r[0] == OPEN]
+            windows = np.array([r[1:5] for r in rows if r[0] == CROWDED], dtype=np.int64).reshape(-1, 4)
+            h, c, doc_id, place = combine(windows[:, 0].copy().view(np.uint64), windows[:, 1].copy().view(np.uint64), windows[:, 2].copy(), windows[:, 3].copy())
+            columns = list(zip(*open_, strict=True)) if open_ else [()] * 6
+            joined = [np.full(len(h), CROWDED), h, c, doc_id, place, [None] * len(h)]
+            return pa.RecordBatch.from_arrays([pa.array([*a, *(b.tolist() if isinstance(b, np.ndarray) else b)], t) for a, b, t in zip(columns, joined, kinds, strict=True)], names=names)
+
         for part in batches:
             rows = []
             for doc_id, text, found in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
-                data = text.as_py().encode()
+                data = (text.as_py() or "").encode()
                 for f in found.as_py():
                     at, before, after = f["place"] >> 16, f["place"] >> 8 & 255, f["place"] & 255
                     if f["kind"] == OPEN:
@@ -284,12 +335,11 @@ def list_spans(h: np.ndarray, doc_id: np.ndarray, place: np.ndarray, contexts: l
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, dtype=np.int64),) * 3
 
 
-def repeat_spans(contexts: DataFrame) -> DataFrame:
-    """doc_id, start, end to remove, from the lists of h, doc_id, place, context."""
+def _whole_lists(contexts: DataFrame, use, schema: str) -> DataFrame:
+    """use(h, doc_id, place, contexts) over runs of whole lists, sorted by h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = [np.empty(0, dtype=np.int64)] * 3 + [[]]
-        out = lambda spans: pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in spans], names=["doc_id", "start", "end"])
         for part in batches:
             if not part.num_rows:
                 continue
@@ -298,12 +348,18 @@ def repeat_spans(contexts: DataFrame) -> DataFrame:
             data = held[3] + part.column(3).to_pylist()
             last = int(np.searchsorted(h, h[-1], "left"))
             if last:
-                yield out(list_spans(h[:last], doc_id[:last], place[:last], data[:last]))
+                yield use(h[:last], doc_id[:last], place[:last], data[:last])
             held = [h[last:], doc_id[last:], place[last:], data[last:]]
         if len(held[0]):
-            yield out(list_spans(*held))
+            yield use(*held)
+
+    return contexts.select("h", "doc_id", "place", "context").repartition("h").sortWithinPartitions("h").mapInArrow(run, schema)
 
-    return contexts.select("h", "doc_id", "place", "context").repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc_id long, start long, end long")
+
+def repeat_spans(contexts: DataFrame) -> DataFrame:
+    """doc_id, start, end to remove, from the lists of h, doc_id, place, context."""
+    out = lambda *lists: pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in list_spans(*lists)], names=["doc_id", "start", "end"])
+    return _whole_lists(contexts, out, "doc_id long, start long, end long")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -330,37 +386,74 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return spans
 
 
+def repeat_groups(docs: DataFrame) -> DataFrame:
+    """h, group_no, doc_id, start, end: the maximal repeats of LENGTH bytes or more around each anchor, one row for each occurrence.
+
+    All occurrences of a gram stand in its list, equal contexts too; the interval tree groups them. Windows of lists of more than
+    MAX_LIST occurrences are not grouped here: `remove_repeats` finds what they repeat.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scanned = scan_lists(anchor_rows(plain, combined=False), all_occurrences=True).where(F.col("kind") == OPEN)
+    contexts = fetch_contexts(plain, scanned).where(F.col("kind") == OPEN)
+
+    def groups(h: np.ndarray, doc_id: np.ndarray, place: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        out = []
+        starts = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            found = maximal_repeats(data[s:e], (place[s:e] >> 8 & 255).tolist())
+            for n, (left, right, members) in enumerate(found):
+                at = place[s:e][members] >> 16
+                out += [(int(h[s]), n, int(d), int(a) - left, int(a) + right) for d, a in zip(doc_id[s:e][members], at, strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], names=["h", "group_no", "doc_id", "start", "end"])
+
+    return _whole_lists(contexts, groups, "h long, group_no int, doc_id long, start long, end long")
+
+
+def _numbered(plain: DataFrame) -> DataFrame | None:
+    """doc_id, text and a number that rises with both, where an id has several texts; null where none has."""
+    named = plain.where("doc_id IS NOT NULL")
+    hashes = F.xxhash64(F.coalesce("text", F.lit("")))
+    if named.groupBy("doc_id").agg(F.min(hashes).alias("a"), F.max(hashes).alias("b")).where("a <> b").isEmpty():
+        return None
+    pairs = named.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    return materialise(pairs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("number", F.monotonically_increasing_id()))
+
+
 def remove_repeats(docs: DataFrame, digests: bool = False, as_text: bool = False) -> DataFrame:
     """All columns of docs, with n_bytes, n_removed, n_spans, and the spans (start, end) and kept bytes.
 
     An input column of one of these names is replaced. With `as_text` kept_text instead of the bytes; a character of which a part was removed goes.
     With `digests` only doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the kept bytes.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = find_spans(plain).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_found"))
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(spans, "doc_id", "left")
+    id_, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    plain = docs.select(id_.alias("doc_id"), text.alias("text"))
+    numbers = _numbered(plain)
+    spans = find_spans(plain if numbers is None else numbers.select(F.col("number").alias("doc_id"), "text")).groupBy("doc_id").agg(F.collect_list(F.array("start", "end")).alias("found"))
     own = ["doc_id"] if digests else [c for c in docs.columns if c.lower() not in OUTPUTS]
+    rows = docs.withColumn("doc_id", id_).select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"), id_.alias("i"), F.coalesce(text, F.lit("")).alias("t"))
+    if numbers is not None:
+        digest = numbers.select(F.col("doc_id").alias("i"), F.sha2("text", 256).alias("s"), "number")
+        rows = rows.withColumn("s", F.sha2("t", 256)).join(digest, ["i", "s"], "left").select("d", F.col("number").alias("i"), "t")
+    rows = rows.join(spans.withColumnRenamed("doc_id", "i"), "i", "left").select("d", "t", "found")
     made = "n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digests else "spans array<struct<start:long,end:long>>, " + ("kept_text string" if as_text else "kept binary"))
-    rows = rows.select(*own, F.coalesce("text", F.lit("")).alias("_text"), F.transform("_found", lambda s: F.array(s["start"], s["end"])).alias("_found"))
     pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     kinds = (pa.int64(), pa.int64(), pa.int64(), *((pa.string(),) if digests else (pair, pa.string() if as_text else pa.binary())))
-    names = [*own, *(c.split(" ")[0] for c in made.split(", "))]
+    names = [c.split(" ")[0] for c in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out = []
-            for text, found in zip(part.column(len(own)), part.column(len(own) + 1), strict=True):
+            for text, found in zip(part.column(1), part.column(2), strict=True):
                 data, gone = text.as_py().encode(), merge_spans([tuple(s) for s in found.as_py() or ()])
                 cuts = [0, *(x for s in gone for x in s), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
                 last = (hashlib.sha256(kept).hexdigest(),) if digests else ([{"start": s, "end": e} for s, e in gone], kept.decode("utf-8", "ignore") if as_text else kept)
                 out.append((len(data), len(data) - len(kept), len(gone), *last))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(own))), *columns], names=names)
-
-    schema = rows.select(*own).schema
-    from pyspark.sql.types import StructType
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["d", *names])
 
+    schema = rows.select("d").schema
     for field in StructType.fromDDL(made).fields:
         schema = schema.add(field)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("d.*", *names)
