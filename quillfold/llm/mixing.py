@@ -5,13 +5,14 @@ number of copies inverts a Poisson distribution with that mean at a uniform numb
 seed and the id, so any engine and any retry draws the same copies. Rates over MAX_RATE are drawn as a
 sum of independent Poisson numbers, since exp(-rate) would underflow.
 
-The only wide data movement is the global shuffle of the copies by a hash key that is unique to each
-copy: no key is hot. The per-source table is broadcast only if it has at most BROADCAST_SOURCES rows;
+The only wide data movement is the global shuffle of the copies by a hash of the shuffle key and of the row's number in the scan, so that
+not even many identical rows meet in one task. The per-source table is broadcast only if it has at most BROADCAST_SOURCES rows;
 beyond that, it joins salted, so that a source with a third of all rows is dealt over SALTS tasks.
 
 Defined results: a null source is a source of its own; a null or empty text counts as one character;
-a source that the weights leave out gets rate 0; a null id draws like any other; repeated rows are
-repeated alike; an empty table gives an empty result; further columns of the input are kept as they are.
+a source that the weights leave out gets rate 0; a row with a null id draws by a digest of its text; repeated rows are
+repeated alike; an empty table gives an empty result; further columns of the input are kept as they are, whatever
+their names, but for columns named copy_no or shuffle_key, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -74,26 +75,31 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, budge
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, seed: int = SEED) -> DataFrame:
     """The columns of docs, and copy_no (from 1) and shuffle_key, in a globally random order.
 
-    Partitions are dealt by shuffle_key and sorted by it.
+    Partitions are dealt by shuffle_key and the row's number, and sorted by shuffle_key.
     """
-    rates = source_rates(docs, weights, budget).selectExpr("source AS _source", "parts AS _parts", "cdf AS _cdf").persist()
-    match = F.col("source").cast("string").eqNullSafe(F.col("_source"))
+    own = [c for c in docs.columns if c.lower() not in ("copy_no", "shuffle_key")]
+    plain = F.struct(*[F.col(f"`{c}`") for c in own])
+    rows = docs.select(plain.alias("d"), F.col("source").cast("string").alias("s"), _draws_by().alias("id"), F.monotonically_increasing_id().alias("row"))
+    rates = source_rates(docs, weights, budget).selectExpr("source AS of_source", "parts", "cdf").persist()
+    match = F.col("s").eqNullSafe(F.col("of_source"))
     if rates.count() <= BROADCAST_SOURCES:
-        joined = docs.join(F.broadcast(rates), match)
+        joined = rows.join(F.broadcast(rates), match)
     else:
-        salted = rates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.withColumn("_deal", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        joined = joined.join(salted, match & (F.col("_deal") == F.col("_salt"))).drop("_salt", "_deal")
-    draws = F.transform(F.sequence(F.lit(1), F.col("_parts")), lambda m: uniform(seed, F.col("doc_id").cast("string"), m.cast("string")))
-    counts = F.transform(draws, lambda u: F.size(F.filter(F.col("_cdf"), lambda c: c <= u)))
-    copies = (
-        joined.withColumn("_n", F.aggregate(counts, F.lit(0), lambda a, n: a + n))
-        .where("_n > 0")
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-        .withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(f"{seed}s"), F.col("doc_id").cast("string"), F.col("copy_no").cast("string")).cast("binary")))
-        .drop("_source", "_parts", "_cdf", "_n")
-    )
-    return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("deal", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, match & (F.col("deal") == F.col("salt")))
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda m: uniform(seed, F.col("id"), m.cast("string")))
+    counts = F.transform(draws, lambda u: F.size(F.filter(F.col("cdf"), lambda c: c <= u)))
+    copies = joined.select("d", "id", "row", F.aggregate(counts, F.lit(0), lambda a, n: a + n).alias("n")).where("n > 0")
+    copies = copies.select("d", "id", "row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy_no"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}s"), "id", F.col("copy_no").cast("string")).cast("binary"))
+    dealt = copies.select("d", "row", "copy_no", key.alias("shuffle_key")).repartition("shuffle_key", "row").sortWithinPartitions("shuffle_key", "row")
+    return dealt.select("d.*", "copy_no", "shuffle_key")
+
+
+def _draws_by() -> Column:
+    """The id as text; a row without one goes by its text."""
+    text = F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return F.coalesce(F.col("doc_id").cast("string"), text)
 
 
 ORACLE = f"""
