@@ -21,8 +21,8 @@ shuffle join takes their place beyond). Texts move only for documents that are p
 
 Defined results: a document without words, or with a null text, has n_shingles 0 and is its own component; one
 with fewer than five words has one shingle; a null id gets a null component and links with
-nothing; repeated rows come back as often as they occur; ids are expected to name one text; an
-empty table gives an empty result; further columns are ignored.
+nothing; repeated rows come back as often as they occur; several texts of one id each have their own n_shingles, and
+what one of them links with the id links with; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ COMMON_IN_TASK = 2
 #: Hashes held while common shingles are counted.
 HELD_HASHES = 1 << 21
 LONG_LIST = 64
-HELD_SETS, STREAMED_SETS = 256, 4096
+HELD_SETS, STREAMED_SETS = 128, 256
 
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -353,6 +353,23 @@ def _member_links(docs: DataFrame, unsure: DataFrame, members: DataFrame) -> Dat
 def join_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _join(docs)
+    # Rows that share an id are documents of their own until their components are known.
+    rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()))
+    found = materialise(_join(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text")).where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "row"))
+    named = found.join(rows.select("row", "doc_id"), "row")
+    # All rows of an id are one node: what one of them links with, the id links with.
+    first = materialise(named.groupBy("component_id").agg(F.min("doc_id").alias("least")))
+    edges = named.join(first, "component_id").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    nodes = components(materialise(edges.where("a <> b").distinct()))
+    named = named.select("doc_id", "n_shingles").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    nameless = signatures(rows.where("doc_id IS NULL").select("doc_id", "text")).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return named.unionByName(nameless)
+
+
+def _join(docs: DataFrame) -> DataFrame:
+    """The join over ids that name one row each; null ids may repeat."""
     signed = materialise(signatures(docs))
     classes = materialise(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")))
 

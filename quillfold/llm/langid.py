@@ -7,7 +7,7 @@ as the full length. The nearest language wins, ties to the smaller name.
 
 The language profiles come from at most about `per_language` documents for each language (a documented bound,
 chosen by a hash of the id). Counting them is a distributed sum over n-grams. Only the profiles, `length`
-n-grams for each language, are broadcast. Prediction is one map over whole texts, without a shuffle.
+n-grams for each language, are broadcast; more than MOST_LANGUAGES of them are refused. Prediction is one map over whole texts, without a shuffle.
 
 Defined results: `und` and score 0 for a null text, a text without letters, or where nothing was learned;
 a document's repeated rows are predicted alike; further columns are ignored. The score is the runner-up's
@@ -20,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillfold.llm.common import crc32_mod
 
 LENGTH = 300
 UNKNOWN = "und"
+#: Languages that a model may have: every worker holds their profiles.
+MOST_LANGUAGES = 10_000
 #: Rows of the table of languages up to which it is broadcast.
 BROADCAST_LANGUAGES = 10_000
 _LETTERS: list[np.ndarray] = []
@@ -109,8 +111,15 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0, per_language: int =
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "code", "n"])
 
     counts = sample.mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    best = counts.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "code"))), 1, length)["code"].alias("codes"))
-    return Profiles({r["lang"]: np.array(r["codes"], dtype=np.int64) for r in best.collect() if r["codes"]}, length)  # `length` codes for each language
+    # Each task keeps its `length` best of a language before they are dealt, so no language's n-grams are gathered.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")).alias("place")
+    best = counts.select("lang", "code", place).where(F.col("place") <= length).limit(length * MOST_LANGUAGES + 1).toArrow()
+    if best.num_rows > length * MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    codes, place = best["code"].to_numpy(), best["place"].to_numpy()
+    lang = np.array(best["lang"].to_pylist(), dtype=object)
+    found = {name: np.flatnonzero(lang == name) for name in set(lang.tolist())}
+    return Profiles({name: codes[at[np.argsort(place[at])]] for name, at in found.items()}, length)
 
 
 def predict_documents(docs: DataFrame, profiles: Profiles, folds: int = 5, held_out: int = 0) -> DataFrame:

@@ -1,6 +1,6 @@
 """Packing token ids into fixed rows by best-fit decreasing, with lossless splitting.
 
-Documents are encoded, dealt by a hash of the id to shards of about SHARD_BYTES of text, and each shard is packed
+Documents are encoded, dealt by a hash of the id and the text to shards of about SHARD_BYTES of text, and each shard is packed
 on its own in one task, so memory follows the shard and not the corpus. Within a shard a document longer
 than a row is split into full rows and a rest; the segments, longest first, each go to the open row with the least room
 that still holds them. That row is found in a segment tree over the remaining capacities, in O(log row) steps.
@@ -114,7 +114,7 @@ def pack_documents(docs: DataFrame, rank_file: bytes, pattern: str, row_tokens:
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    dealt = docs.where("length(text) > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    dealt = docs.where("length(text) > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(run, schema)
 
 
