@@ -30,8 +30,10 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each linked group: the smallest id. Rows of one id, or without one, are documents of their own and link by their texts."""
     rows = _numbered(docs)
-    gone = jaccard.join_documents(rows.select(F.col("_row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = materialise(jaccard.join_documents(rows.select(F.col("_row").alias("doc_id"), "text")).where("doc_id <> component_id").select(F.col("doc_id").alias("_row")))
+    # Ids alone decide, so texts stay where they are as long as the ids fit a broadcast.
+    side = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_IDS else gone
+    return rows.join(side, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
