@@ -79,6 +79,9 @@ def test_packing_is_lossless_and_tight(spark):
             want += 1
     assert len(bins) == want and sorted(i for b in bins for i in b) == list(range(300))
     assert packing.pack_documents(frame(spark, []), ranks, pattern).count() == 0
+    again = packing.pack_documents(frame(spark, [(1, "one two"), (1, "one two"), (None, "three"), (None, "four"), (2, "x" * 100_000)]), ranks, pattern, row_tokens=64).collect()
+    held = collections.Counter(d for r in again for d, p in zip(r.doc_ids, r.parts, strict=True) if p == 0)
+    assert held == {1: 2, None: 2, 2: 1}
 
 
 def test_packing_query_returns_the_matrices(spark, sf_dir, tmp_path):
@@ -154,6 +157,13 @@ def test_jaccard_edges(spark):
     assert jaccard.join_documents(frame(spark, [])).count() == 0
 
 
+def test_several_texts_of_one_id(spark):
+    rng = random.Random(11)
+    a, b = prose(rng, 60), prose(rng, 60)
+    got = jaccard.join_documents(frame(spark, [(9, a), (9, b), (4, a), (5, b), (6, "alone here"), (None, a)])).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in got) == [("4", 4), ("5", 4), ("6", 6), ("9", 4), ("9", 4), ("None", None)]
+
+
 def test_long_lists_lose_no_pair(monkeypatch):
     rng = np.random.default_rng(0)
     n = rng.integers(4, 40, 300)
@@ -202,6 +212,36 @@ def test_repeats_edges(spark):
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_with_any_names_and_texts(spark):
+    rng = random.Random(9)
+    long, other = prose(rng, 60), prose(rng, 50)
+    names = "doc_id long, text string, _found int, _text string, d int, t int, found string, kept string, n_bytes string"
+    rows = [(2, long, 1, "a", 2, 3, "f", "k", "n"), (1, "x" + long + "y", 1, "a", 2, 3, "f", "k", "n"), (3, other, 1, "b", 2, 3, "f", "k", "n"), (3, long, 1, "c", 2, 3, "f", "k", "n"), (3, other + " tail", 1, "d", 2, 3, "f", "k", "n"), (None, long, 1, "e", 2, 3, "f", "k", "n")]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, names))
+    assert got.columns == ["doc_id", "text", "_found", "_text", "d", "t", "found", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+    cut = {(r.doc_id, r.text): r.n_removed for r in got.collect()}
+    both = sorted([other, other + " tail"])
+    assert cut == {(1, "x" + long + "y"): 0, (2, long): len(long), (3, long): len(long), (3, both[0]): 0, (3, both[1]): len(other), (None, long): 0}
+
+
+def test_repeat_groups_hold_all_occurrences(spark):
+    rng = random.Random(10)
+    passage, texts = prose(rng, 40), []
+    for i in range(6):
+        texts.append((i, prose(rng, 20) + (passage if i != 4 else "") + prose(rng, 20)))
+    data = {i: t.encode() for i, t in texts}
+    found = collections.defaultdict(list)
+    for r in repeats.repeat_groups(frame(spark, texts)).collect():
+        found[r.h, r.group_no].append((r.doc_id, r.start, r.end))
+    assert found
+    for places in found.values():
+        pieces = {data[d][a:b] for d, a, b in places}
+        assert len(pieces) == 1 and len(places) >= 2 and len(next(iter(pieces))) >= 100
+        piece = next(iter(pieces))
+        assert len({(d, a) for d, a, _ in places}) == sum(1 for t in data.values() for s in range(len(t)) if t.startswith(piece, s))
+    assert any({d for d, _, _ in p} == {0, 1, 2, 3, 5} for p in found.values())
+
+
 def test_long_texts_have_the_same_anchors(monkeypatch):
     data = np.frombuffer(prose(random.Random(2), 4000).encode(), dtype=np.uint8)
     whole = repeats.anchors(data, np.array([0, len(data)]))
@@ -223,7 +263,7 @@ def test_mtree_is_exact(spark, monkeypatch):
     monkeypatch.setattr(mtree, "PAGE", 4)
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(size=(150, 6)), np.tile(rng.normal(size=(1, 6)), (80, 1)), np.zeros((5, 6))]).astype(np.float32)
-    got = mtree.top_inner_products(vectors(spark, x, BAD), every=10, k=5).collect()
+    got = mtree.top_inner_products(vectors(spark, x, BAD[:-1]), every=10, k=5).collect()
     ints = np.floor(x.astype(np.float64) * 256).astype(np.int64)
     want = set()
     for q in range(0, len(x), 10):
@@ -235,9 +275,28 @@ def test_mtree_is_exact(spark, monkeypatch):
     assert mtree.top_inner_products(vectors(spark, x[:3]), every=50).count() == 2
 
 
+def test_vectors_of_any_kind(spark):
+    """Short vectors are padded, repeated ids are rows of their own, huge components are exact and stand at the bounds of a long."""
+    rows = [(0, [1.0, 2.0]), (1, [1.0]), (2, []), (50, [0.5, 0.5]), (50, [3.0, -1.0]), (3, [1e30, 1.0]), (4, [-1e30, 0.0]), (5, [3e15, 7.0])]
+    df = spark.createDataFrame([(i, [float(v) for v in e], 1) for i, e in rows], "vec_id long, embedding array<double>, label int")
+    whole = [[int(np.floor(v * 256)) for v in [*e, 0.0, 0.0][:2]] for _, e in rows]
+    clamp = lambda v: min(max(v, -(2**63)), 2**63 - 1)
+    want = collections.Counter()
+    for q, (i, _) in enumerate(rows):
+        if i % 50 == 0:
+            scores = sorted((-clamp(sum(a * b for a, b in zip(whole[q], whole[j], strict=True))), rows[j][0], j) for j in range(len(rows)) if j != q)[:5]
+            want.update((i, r, v, -s) for r, (s, v, _) in enumerate(scores, 1))
+    assert collections.Counter(tuple(r) for r in mtree.top_inner_products(df).collect()) == want
+    near = ivfpq.nearest(df, every=50).collect()
+    assert len(near) == 3 * 6 and not any(r.vec_id == 2 for r in near)  # the empty vector is zero
+    assert {r.vec_id: r.score for r in near if r.query_id == 0}[1] == 2.0
+    huge = spark.createDataFrame([(0, [1e308], 1), (1, [-1e308], 1), (2, [1e308], 1)], "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.score) for r in ivfpq.nearest(huge).collect()) == [(1, float("inf")), (2, 0.0)]
+
+
 def test_mtree_saves_computations():
     rng = np.random.default_rng(1)
-    x = np.floor(np.vstack([rng.normal(c, 0.1, size=(200, 3)) for c in rng.normal(size=(10, 3)) * 5]) * 256).astype(np.int64)
+    x = np.floor(np.vstack([rng.normal(c, 0.1, size=(200, 3)) for c in rng.normal(size=(10, 3)) * 5]) * 256)
     tree = mtree.MTree(x, np.arange(len(x)))
     before = tree.computed
     tree.search(x[0], 5, 0)
@@ -260,9 +319,28 @@ def test_ivfpq_recall_and_exact_scores(spark):
         assert sorted(found[q]) == list(range(1, 11))
         hits += len(set(want) & set(found[q].values()))
     assert hits / (50 * 10) >= 0.9
+    one = ivfpq.nearest(vectors(spark, x[:5]), every=50).collect()
+    assert len(one) == 4  # all candidates, if fewer
     assert ivfpq.nearest(vectors(spark, []), every=10).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ivfpq_recall_on_the_table(spark, sf):
+    """A fifth of the lists, codes only, against brute force over the whole table."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = table.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    found = collections.defaultdict(set)
+    for r in ivfpq.nearest(table).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = []
+    for q in np.flatnonzero(ids % 100 == 0):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(set(ids[np.lexsort((ids, d))[:10]].tolist()) & found[int(ids[q])]))
+    assert sum(hits) / (10 * len(hits)) >= 0.9
+
+
 def test_poisson_mixing(spark):
     texts = [(i, "word " * 10) for i in range(3000)]
     sources = {i: None if i < 10 else "hot" if i < 2000 else "cold" for i in range(3000)}
@@ -278,6 +356,98 @@ def test_poisson_mixing(spark):
     assert all(abs(r["count"] - 2000) < 400 for r in one)  # rates over MAX_RATE are drawn in parts
 
 
+def poisson(u, rate):
+    """The inverse of the distribution function, summed up term by term."""
+    n, p = 0, float(np.exp(-rate))
+    c = p
+    while c <= u:
+        n += 1
+        p *= rate / n
+        c += p
+    return n
+
+
+def test_mixing_against_single_draws(spark):
+    """Every row's copies follow from its own draw; rows without an id draw by their text, and no name of a column is in the way."""
+    rows = [(i if i % 7 else None, f"text {i} " * (1 + i % 5), "hot" if i % 3 else "cold") for i in range(400)]
+    df = spark.createDataFrame([(*r, 1, "x", 2, 3, 4, 5) for r in rows], "doc_id long, text string, source string, _n int, d string, _parts int, _cdf int, row int, copy_no int")
+    got = mixing.replicate(df)
+    assert got.columns == ["doc_id", "text", "source", "_n", "d", "_parts", "_cdf", "row", "copy_no", "shuffle_key"]
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(t)
+    rate = {s: 0.5 * sum(size.values()) / n for s, n in size.items()}
+    want = {}
+    for i, t, s in rows:
+        key = str(i) if i is not None else "text:" + hashlib.md5(t.encode()).hexdigest()
+        u = int(hashlib.md5(f"{mixing.SEED}:{key}:1".encode()).hexdigest()[:13], 16) / 2**52
+        want[i, t] = poisson(u, rate[s])
+    counts = collections.Counter((r.doc_id, r.text) for r in got.collect())
+    assert {k: n for k, n in want.items() if n} == dict(counts)
+    nameless = [t for (i, t), n in want.items() if i is None]
+    assert len({want[None, t] for t in nameless}) > 1
+
+
+def direct_scores(docs, labels, steps=200, rate=0.1, decay=2e-4):
+    """The model once more with a dense matrix and plain counts."""
+    import zlib
+
+    seen = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 != 1
+    truth = {}
+    for i, _, y in labels:
+        if seen(i) and y is not None:
+            truth[i] = max(truth.get(i, 0), y)
+    texts = dict(sorted(((i, t or "") for i, t in docs if seen(i)), reverse=True))
+    prior = min(max(sum(truth.values()) / len(truth), 1e-4), 0.9)
+    feats = {i: toxicity.features(t) for i, t in texts.items()}
+    pos, unl = [i for i in sorted(texts) if truth.get(i) == 1], sorted(texts)
+    count = lambda ids: collections.Counter(f for i in ids for f in feats[i])
+    a, b = count(pos), count(unl)
+    words = sorted(f for f, n in a.items() if n >= max(3, len(pos) // 200) and n >= 2.0 * len(pos) / len(unl) * b[f])
+    row = lambda f: np.array([float(w in f) for w in words] + [1.0])
+    p, u = (np.array([row(feats[i]) for i in ids]) for ids in (pos, unl))
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def parts(w):
+        return prior * loss(p @ w).mean(), loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean()
+
+    w = np.zeros(len(words) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m = v = np.zeros_like(w)
+    checked = 0
+    for t in range(1, steps + 1):
+        of_p = -prior * (sigmoid(-(p @ w)) @ p) / len(p)
+        of_c = (sigmoid(u @ w) @ u) / len(u) - prior * (sigmoid(p @ w) @ p) / len(p)
+        if t in (1, 50):  # both gradients against differences
+            for j in (0, len(w) - 1):
+                e = np.zeros_like(w)
+                e[j] = 1e-5
+                slope = [(x - y) / 2e-5 for x, y in zip(parts(w + e), parts(w - e), strict=True)]
+                assert slope == pytest.approx([of_p[j], of_c[j]], abs=1e-6)
+                checked += 1
+        g = (of_p + of_c if parts(w)[1] >= 0 else -of_c) + np.append(np.full(len(words), decay), 0.0) * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert checked == 4
+    return lambda text: float(sigmoid(row(toxicity.features(text)) @ np.where(np.abs(w) > 1e-4, w, np.where(np.arange(len(w)) == len(w) - 1, w, 0.0))))
+
+
+def test_toxicity_equals_direct_training(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        rows.append((i, prose(rng, 25) + (" zorgish vile" if bad else "") + (" zorging" if i % 3 == 0 and bad else "")))
+        labels.append((i, 1, int(bad)))
+    rows += [(500, "vile " * 200_000), (501, None)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    score = direct_scores(rows, labels)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, table)).collect()}
+    assert got == pytest.approx({i: score(t) for i, t in rows}, abs=1e-6)
+
+
 def test_toxicity_learns_from_positive_and_unlabelled(spark):
     rng = random.Random(0)
     rows, labels = [], []
@@ -316,6 +486,52 @@ def test_language_profiles(spark):
     assert {r.lang_pred for r in langid.predict_documents(docs, empty).collect()} == {"und"}
 
 
+def direct_languages(rows, langs, length):
+    """Profiles and distances by plain dictionaries."""
+    import zlib
+
+    def grams(text):
+        found = collections.Counter()
+        clean = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        padded = re.sub(" +", " ", f" {clean} ")
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                g = padded[i : i + n]
+                if g.strip() and (n < 3 or g[1] != " "):
+                    found[g] += 1
+        return found
+
+    top = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], sum(ord(ch) << 21 * (len(x[0]) - 1 - k) for k, ch in enumerate(x[0]))))[:length]]
+    learnt = collections.defaultdict(collections.Counter)
+    for i, t in rows:
+        if i is not None and langs.get(i) and t is not None and zlib.crc32(str(i).encode()) % 5 != 0:
+            learnt[langs[i]].update(grams(t))
+    profiles = {name: {g: r for r, g in enumerate(top(c))} for name, c in learnt.items()}
+
+    def predict(text):
+        own = top(grams(text))
+        if not own:
+            return "und", 0.0
+        far = sorted((sum(abs(p[g] - r) if g in p else length for r, g in enumerate(own)), name) for name, p in profiles.items())
+        return far[0][1], far[1][0] / (far[0][0] + far[1][0])
+
+    return predict
+
+
+def test_languages_equal_direct_distances(spark):
+    rng = random.Random(2)
+    make = {"xx": "ka ku ki kamu kira él".split(), "yy": "lon ler lom zerl olz él".split(), "zz": "mi ma mu kal lor".split()}
+    langs = {i: rng.choice("xyz") * 2 for i in range(150)}
+    rows = [(i, " ".join(rng.choice(make[rng.choice([langs[i], langs[i], "xx"])]) + rng.choice(["", ",", "9"]) for _ in range(rng.randint(1, 40)))) for i in range(150)]
+    rows += [(200, "ka lon mi " * 50_000), (201, "é"), (202, "…"), (3, rows[3][1])]
+    docs = frame(spark, rows, langs)
+    got = langid.predict_documents(docs, langid.fit(docs, length=40)).collect()
+    predict = direct_languages(rows, langs, 40)
+    want = {i: predict(t) for i, t in rows}
+    assert {r.doc_id: r.lang_pred for r in got} == {i: name for i, (name, _) in want.items()}
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: s for i, (_, s) in want.items()})
+
+
 def test_tool_calls(spark):
     schema = {"add": {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "integer", "minimum": 0}}}}
     calls = [(1, "c1", 1, "add", '{"a": 2}', ["c3"]), (1, "c2", 2, "add", '{"a": -1}', ["c9"]), (1, "c3", 3, "add", '{"b": 1}', []), (2, "x", 1, "add", "no", ["y"]), (2, "y", 2, "add", '{"a": true}', ["x"]), (2, "z", 3, "none", "{}", None), (None, "q", 1, "add", "{}", None), (3, "u", 1, "add", '{"a": 1}', []), (3, "u", 1, "add", '{"a": 1}', [])]
@@ -334,6 +550,58 @@ def test_tool_calls(spark):
     assert json.loads(rows[2, "x"].json)["arguments"] == "no"
 
 
+def test_arguments_of_any_kind(spark):
+    schema = {"f": {"type": "object", "properties": {"n": {"type": "integer"}, "e": {"enum": [1, "a", [True]]}}}}
+    texts = ['{"n": 1.0}', '{"n": 1.5}', '{"n": NaN}', '{"n": 1e999}', '{"e": true}', '{"e": 1}', '{"e": [true]}', '{"e": [1]}', "[" * 200_000, '{"a": ' * 100_000 + "1" + "}" * 100_000, '{"k\\ud800": "\\udfff x"}', '{"n": ' + "9" * 5_000 + "}", None, "", "nul", '{"b": 1, "a": "é"}']
+    assert [toolcalls.format_call("f", t, None, schema)[0] for t in texts] == [True, False, False, False, False, True, True, False, False, False, True, False, False, False, False, True]
+    calls = spark.createDataFrame([(1, f"c{i:02d}", i, "f", t, None) for i, t in enumerate(texts)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    rows = sorted(toolcalls.link_calls(calls, results, schema).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(1, len(texts) + 1))
+    assert rows[8].errors in ("$: nested too deeply", "$: not JSON") and json.loads(rows[8].json)["arguments"] == texts[8]
+    assert rows[10].json == '{"arguments":{"k\\ud800":"\\udfff x"},"name":"f","result":null}'
+    assert rows[15].json == '{"arguments":{"a":"é","b":1},"name":"f","result":null}'
+    assert toolcalls.link_calls(calls.limit(0), results, schema).count() == 0
+
+
+def direct_order(calls, results):
+    """Kahn's algorithm, a level at a time, and the states, of one table of unique calls."""
+    out = {}
+    for conv in {c[0] for c in calls}:
+        mine = {c[1]: c for c in calls if c[0] == conv}
+        needs = {k: {d for d in c[5] or () if d in mine} for k, c in mine.items()}
+        ahead = any((mine[d][2], d) >= (c[2], k) for k, c in mine.items() for d in needs[k])
+        level, left, n = {}, set(mine), 0
+        while ahead and (free := {k for k in left if not needs[k] & left}):
+            level |= dict.fromkeys(free, n)
+            left -= free
+            n += 1
+        order = sorted(mine, key=lambda k: (level.get(k, 10**9) if ahead else 0, mine[k][2], k))
+        for place, k in enumerate(order, 1):
+            state = "cycle" if ahead and k in left else "unknown_dependency" if set(mine[k][5] or ()) - mine.keys() else "linked" if (conv, k) in results else "no_result"
+            out[conv, k] = (place, state)
+    return out
+
+
+def test_tool_call_query_against_direct_order(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    hot = table.selectExpr("conv_id % 3 AS conv_id", "turn + 100 * conv_id AS turn", "role", "text")  # a few long conversations
+    calls, results = toolcalls.dialogue_calls(hot)
+    given = [tuple(r) for r in calls.collect()]
+    turns = [tuple(r) for r in hot.select("conv_id", "turn", "role", "text").collect()]
+    users = sorted({(c, t) for c, t, role, _ in turns if role == "user"})
+    told = {}
+    for c, t, role, text in turns:
+        asked = [u for cc, u in users if cc == c and u < t]
+        if role == "assistant" and asked:
+            key = (c, f"t{max(asked):012d}")
+            told[key] = min(told.get(key, (t, text)), (t, text))
+    rows = toolcalls.link_calls(calls, results, {"reply": toolcalls.REPLY}).collect()
+    assert len(given) == len(users) and {(r.conv_id, r.call_id): (r.position, r.status) for r in rows} == direct_order(given, told)
+    assert all(json.loads(r.json)["result"] == (told[r.conv_id, r.call_id][1] if (r.conv_id, r.call_id) in told else None) for r in rows)
+    assert {r.status for r in rows} == {"linked", "no_result", "unknown_dependency", "cycle"} and {r.valid for r in rows} == {True, False}
+
+
 def test_long_chains_are_no_cycles(spark):
     calls = spark.createDataFrame([(1, f"c{i}") for i in range(8)] + [(1, "x"), (1, "y")], "conv_id long, call_id string")
     needs = spark.createDataFrame([(1, f"c{i}", f"c{i + 1}") for i in range(7)] + [(1, "x", "y"), (1, "y", "x")], "conv_id long, call_id string, needed string")
