@@ -83,6 +83,7 @@ class MTree:
         self.x, self.ids, self.rows = x[order], ids[order], rows[order]
         squares = (self.x * self.x).sum(1)
         self.most = float(squares.max())
+        self.peak = float(np.abs(self.x).max(initial=0.0))
         self.lift = np.sqrt(self.most - squares)
         self.computed = 0
         self.root = self._build(np.arange(len(ids)), None)
@@ -141,20 +142,23 @@ class MTree:
         """The best (score, id, row), best first, without the row `own`; only those with a score of at_least, where it is given."""
         qq = float((q * q).sum())
         slack = SLACK + SLACK_SHARE * float(np.sqrt(qq + self.most))
+        plain = self.peak * float(np.abs(q).max(initial=0.0)) * len(q) < EXACT  # no sum of products leaves what doubles hold
+        times = (lambda rows: rows @ q) if plain else (lambda rows: dot(rows, q))
         to = lambda score: np.sqrt(np.maximum(qq + self.most - 2.0 * np.asarray(score, dtype=np.float64), 0.0))
         limit = np.inf if at_least is None or abs(at_least) >= BOUND - 1 else float(to(at_least)) + slack
         best: list[tuple[int, int, int]] = []  # a heap of (score, -id, -row): the worst first
         self.computed += 1
-        queue = [(0.0, 0, self.root, float(to(dot(self.x[self.root.route][None, :], q)[0])))]
+        queue = [(0.0, 0, self.root, float(to(times(self.x[self.root.route][None, :])[0])))]
         serial = 0
         while queue:
             bound, _, page, d = heapq.heappop(queue)
             if bound > limit:
                 break
             if page.members is not None:
-                near = np.arange(*page.members)[np.abs(d - page.to_route) <= limit]
-                self.computed += len(near)
-                scores = dot(self.x[near], q)
+                close = np.abs(d - page.to_route) <= limit
+                near = slice(*page.members) if close.all() else np.arange(*page.members)[close]
+                scores = times(self.x[near])
+                self.computed += len(scores)
                 least = max(best[0][0] if len(best) == k else -np.inf, -np.inf if at_least is None else at_least)
                 good = (scores >= least).astype(bool)
                 for score, i, row in zip(scores[good].tolist(), self.ids[near][good].tolist(), self.rows[near][good].tolist(), strict=True):
@@ -171,7 +175,7 @@ class MTree:
             open_ = np.abs(d - stored[:, 0]) - stored[:, 1] <= limit
             routes = stored[open_, 2].astype(np.int64)
             self.computed += len(routes)
-            exact = to(dot(self.x[routes], q))
+            exact = to(times(self.x[routes]))
             for j, dist, radius in zip(np.flatnonzero(open_).tolist(), exact.tolist(), stored[open_, 1].tolist(), strict=True):
                 if dist - radius <= limit:
                     serial += 1
