@@ -44,7 +44,7 @@ BROADCAST_IDS = 1_000_000
 #: In how many unrelated documents of one task a shingle must occur to be reported as common.
 COMMON_IN_TASK = 2
 #: Hashes held while common shingles are counted.
-HELD_HASHES = 1 << 21
+HELD_HASHES = 1 << 20
 LONG_LIST = 64
 HELD_SETS, STREAMED_SETS = 128, 256
 

@@ -51,7 +51,7 @@ BEFORE = LENGTH - GRAM
 MAX_LIST = 1 << 15
 OUTPUTS = {"n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_text"}
 #: Context bytes sent on in one output batch.
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 2 << 20
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 _LEVELS = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
