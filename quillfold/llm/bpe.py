@@ -9,6 +9,10 @@ white space and the next one is. No alternative of the split pattern can match a
 (white space inside a match is either its first character or the whole match), so the pieces encode
 exactly as the whole does.
 
+The library's regex overflows its stack on a run of about a million white-space characters. Of a run of PIECE_CHARS or more, the
+pattern makes one match: all of it at the end of the text, else all but its last character, which goes with what
+follows. That match is found here and merged by the library as one piece, so runs of any length have ids.
+
 Defined results: a null text counts as empty (no ids); ids and repeated rows pass through one for
 one; further columns of the input are ignored.
 """
@@ -30,6 +34,9 @@ PIECE_CHARS = 1 << 16
 FLUSH_BYTES = 8 << 20
 
 _SAFE = re.compile(r"(?<=\S)(?=[ \n])")
+# White space as the library's regex has it (Python's has \x1c to \x1f besides).
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LONG_RUN = re.compile(f"(?<![{_SPACE}])[{_SPACE}]{{{PIECE_CHARS},}}")
 _ENCODERS: dict = {}
 
 
@@ -65,7 +72,14 @@ def encode_text(enc, text: str | None) -> np.ndarray:
         return np.empty(0, dtype="<u4")
     if len(text) <= PIECE_CHARS:
         return np.array(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(piece), dtype="<u4") for piece in safe_pieces(text)])
+    ids, start = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        ids += [enc.encode_ordinary(piece) for piece in safe_pieces(text[start : run.start()])]
+        ids.append(enc._encode_single_piece(text[run.start() : end]))
+        start = end
+    ids += [enc.encode_ordinary(piece) for piece in safe_pieces(text[start:])]
+    return np.concatenate([np.array(i, dtype="<u4") for i in ids])
 
 
 def decode_ids(enc, ids: np.ndarray) -> bytes:

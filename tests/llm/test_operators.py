@@ -54,6 +54,20 @@ def test_safe_pieces_change_nothing(size):
         assert sum((enc.encode_ordinary(p) for p in bpe.safe_pieces(text, size)), []) == enc.encode_ordinary(text)
 
 
+def test_long_runs_of_white_space():
+    """As the library encodes them where it can; beyond, what it merges of the run alone, and an exact round trip."""
+    ranks, pattern = public_ranks()
+    enc = bpe.encoder(ranks, pattern)
+    long = bpe.PIECE_CHARS
+    for space in (" ", "\n", "\u3000", "\t \n"):
+        for n in (long - 1, long, long + 1, 2 * long):
+            run = (space * n)[:n]
+            for text in (run, f"a{run}", f"{run}a", f"a!{run}'s b{run}\x1c{run} 1"):
+                assert bpe.encode_text(enc, text).tolist() == enc.encode_ordinary(text)
+    for text in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", " \n" * 1_000_000 + " end"):
+        assert bpe.decode_ids(enc, bpe.encode_text(enc, text)) == text.encode()
+
+
 def test_packing_is_lossless_and_tight(spark):
     ranks, pattern = public_ranks()
     enc = bpe.encoder(ranks, pattern)
