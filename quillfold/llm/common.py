@@ -78,11 +78,11 @@ def carried(rows: DataFrame, group: str, *sums) -> DataFrame:
     return whole.select(F.col(group).alias("_group"), F.col("_range").alias("_in"), *[add(name).over(earlier).alias(f"_{name}") for name, _, add in sums])
 
 
-def with_places(df: DataFrame, group: str, name: str, *order) -> DataFrame:
+def with_places(df: DataFrame, group: str, name: str, *order, kind: str = "int") -> DataFrame:
     """df with the place of each row in its group, from 1; groups may be of any size and none is gathered."""
     rows = ranged(df, group, *order)
     first = rows.groupBy(F.col(group).alias("_group"), F.col("_range").alias("_in")).agg(F.min("_at").alias("_first"))
     before = carried(rows, group, ("n", F.count(F.lit(1)), F.sum)).join(first, ["_group", "_in"])
     here = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_in"))
-    place = (F.col("_at") - F.col("_first") + F.coalesce("_n", F.lit(0)) + 1).cast("int")
+    place = (F.col("_at") - F.col("_first") + F.coalesce("_n", F.lit(0)) + 1).cast(kind)
     return rows.join(before, here, "left").select(*df.columns, place.alias(name))

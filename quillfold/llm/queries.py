@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillfold.llm import bpe, ivfpq, jaccard, langid, mixing, mtree, packing, repeats, toolcalls, toxicity
+from quillfold.llm import bpe, ivfpq, jaccard, langid, lines, merkle, mixing, mtree, packing, prefix_trie, repeats, toolcalls, toxicity
 from quillfold.llm.common import table
 
 
@@ -61,6 +62,19 @@ def op10_rank_order_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(docs, langid.fit(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_common_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_toxicity_nnpu": op1_toxicity_nnpu,
     "op2_mtree_topk": op2_mtree_topk,
@@ -72,8 +86,14 @@ QUERIES = {
     "op7_bfd_packing": op7_bfd_packing,
     "op9_tool_calls": op9_tool_calls,
     "op8_byte_bpe": op8_byte_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op6_poisson_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_line_dedup": lines.ORACLE,
 }
