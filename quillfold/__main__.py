@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillfold.functions import opinions as O
 from quillfold.operators import corpus, dedup, enrichment, evaluation, extraction, judges, records, reports
 from quillfold.sources import readers
+from quillfold.sources.bulk import read_bulk_csv
 
 COMMANDS: dict[str, tuple[Callable, list[tuple[str, dict]]]] = {}
 NEEDED = {"required": True}
@@ -29,11 +30,11 @@ def command(*flags):
 
 
 def _bulk(spark: SparkSession, path: str) -> DataFrame:
-    return readers.numbered(readers.read_csv(spark, path, backslash=True))
+    return read_bulk_csv(spark, path, backslash=True, order="_ord")
 
 
 def _cases(spark: SparkSession, a) -> DataFrame:
-    return readers.numbered(readers.read_csv(spark, a.input))
+    return readers.read_csv(spark, a.input, order="_ord")
 
 
 def _write(df: DataFrame, path: str, report: str | None = None, sections: dict[str, DataFrame] | None = None) -> None:
@@ -81,8 +82,8 @@ def clean_headers(spark, a):
 
 @command(("input", NEEDED), ("output", NEEDED), ("overrides", {}))
 def enrich_authors(spark, a):
-    fixes = readers.read_optional(spark, a.overrides, ["cluster_id", "author_str", "author_initials", "note"]) if a.overrides else None
-    _write(enrichment.with_authors(_cases(spark, a), None if fixes is None else readers.numbered(fixes), [F.col("_ord")]), a.output)
+    fixes = readers.read_optional(spark, a.overrides, ["cluster_id", "author_str", "author_initials", "note"], order="_ord") if a.overrides else None
+    _write(enrichment.with_authors(_cases(spark, a), fixes, [F.col("_ord")]), a.output)
 
 
 @command(("input", NEEDED), ("output", NEEDED), ("report", {}))
@@ -97,7 +98,7 @@ def enrich_scdb(spark, a):
     supreme = rows.where("jurisdiction = 'SCOTUS'")
     numbers = enrichment.docket_numbers(supreme, _bulk(spark, a.clusters), _bulk(spark, a.dockets))
     cites = enrichment.first_citations(supreme, _bulk(spark, a.citations), "_ord") if a.citations else spark.createDataFrame([], "cluster_id string, cite string")
-    database = readers.numbered(readers.read_csv(spark, a.database, encoding="ISO-8859-1"))
+    database = readers.read_csv(spark, a.database, encoding="ISO-8859-1", order="_ord")
     matched = enrichment.match_database(supreme, numbers, cites, database, "_ord")
     out = enrichment.enrich_supreme(rows, matched, readers.read_csv(spark, a.scores))
     _write(out, a.output, a.report, {"Methods": matched.groupBy("method").count(), "Agreement": matched.groupBy("agrees").count(), "Coverage": reports.filled_before_and_after(rows, out, enrichment.DATABASE_FIELDS)})

@@ -13,9 +13,22 @@ AXES = ["coherence", "terminology", "institutional_fit", "faithfulness"]
 IDEOLOGIES = ["Liberal", "Conservative", "Moderate"]
 COLLAPSED = {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 5, 7: 5, 8: 5, 12: 5, 9: 6, 10: 6, 11: 6, 13: 6, 14: 6}
 TOPICS = {
-    **{1: "Criminal Procedure", 2: "Civil Rights", 3: "First Amendment", 4: "Due Process", 5: "Privacy", 6: "Attorneys", 7: "Unions"},
-    **{8: "Economic Activity", 9: "Judicial Power", 10: "Federalism", 11: "Interstate Relations", 12: "Federal Taxation", 13: "Miscellaneous", 14: "Private Action"},
+    1: "Criminal Procedure",
+    2: "Civil Rights",
+    3: "First Amendment",
+    4: "Due Process",
+    5: "Privacy",
+    6: "Attorneys",
+    7: "Unions",
+    8: "Economic Activity",
+    9: "Judicial Power",
+    10: "Federalism",
+    11: "Interstate Relations",
+    12: "Federal Taxation",
+    13: "Miscellaneous",
+    14: "Private Action",
 }
+OUTCOME_GROUPS = {"affirmed": "affirmed", "reversed": "reversed", "vacated": "reversed", "remanded": "reversed", "mixed": "mixed", "affirmed_in_part": "mixed", "denied": "procedural", "dismissed": "procedural", "granted": "procedural"}
 GATE = 0.85
 CITATION_CHARS = 50_000
 
@@ -33,6 +46,20 @@ def outcome_metrics(preds: DataFrame) -> DataFrame:
     return beside(courts, counts.agg(F.avg(f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"))).select("n", "accuracy", "macro_f1", "accuracy_by_court")
 
 
+def class_report(preds: DataFrame, gold: str, predicted: str) -> DataFrame:
+    """label, support, predicted, precision, recall and f1 of each label seen, and the row `weighted`: f1 by support."""
+    counts = class_counts(preds, gold, predicted).where("label IS NOT NULL")
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    each = counts.select("label", (tp + fn).alias("support"), (tp + fp).alias("predicted"), F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"), f1(tp, fp, fn).alias("f1"))
+    means = [F.try_divide(F.sum(F.coalesce(c, F.lit(0.0)) * F.col("support")), F.sum("support")).alias(c) for c in ("precision", "recall", "f1")]
+    return each.unionByName(each.agg(F.lit("weighted").alias("label"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), *means))
+
+
+def outcome_group(disposition: Column) -> Column:
+    """Eleven outcomes to five groups."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in OUTCOME_GROUPS.items() for x in p]), F.lower(F.trim(disposition))), F.lit("other"))
+
+
 def style_means(texts: DataFrame, text: str) -> DataFrame:
     """Means of words, sentence_words, ttr and grade; a text without words counts for the first alone."""
     s = texts.select(C.text_stats(F.coalesce(F.col(text), F.lit(""))).alias("s")).select("s.*")

@@ -13,6 +13,7 @@ from quillfold.operators import corpus, evaluation, extraction
 from quillfold.operators.records import write_records
 from quillfold.operators.relational import shared_folder
 from quillfold.sources import readers
+from quillfold.sources.bulk import read_bulk_csv
 from quillfold.streaming import ingest
 
 QUERIES: dict = {}
@@ -77,18 +78,50 @@ def s02_backslash_csv(spark, d):
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, 'José ' || c_name AS name, 'ISO-8859-1' AS encoding FROM customer UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'José ' || c_name, 'UTF-8' FROM customer")
 def s06_s07_encodings(spark, d):
-    """The same rows in Latin-1 and in UTF-8: the encoding is told by looking at the file."""
-    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("José "), "c_name").alias("name")).coalesce(1)
-    out = None
+    """The same rows in Latin-1 and in UTF-8, and read together: executors tell the encoding of each file."""
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("José "), "c_name").alias("name"), "c_custkey").orderBy(F.desc("c_custkey")).drop("c_custkey").coalesce(1)
+    path = scratch(spark)
     for encoding in ("ISO-8859-1", "UTF-8"):
-        path = scratch(spark)
-        rows.write.option("header", True).option("encoding", encoding).csv(path)
-        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        names = [s.getPath().toString() for s in files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(files) if s.getPath().getName().endswith(".csv")]
-        for name in names:
-            part = readers.read_any_encoding(spark, name).withColumn("encoding", F.lit(readers.encoding_of(spark, name)))
-            out = part if out is None else out.unionByName(part)
-    return out
+        rows.withColumn("encoding", F.lit(encoding)).write.option("header", True).option("encoding", encoding).csv(f"{path}/{encoding}")
+    return readers.read_any_encoding(spark, [f"{path}/ISO-8859-1", f"{path}/UTF-8"])
+
+
+def _fine_splits(spark: SparkSession) -> SparkSession:
+    """A session whose scans take 64 KB at a time, so that records of small tables cross splits as those of large ones do."""
+    fine = spark.newSession()
+    fine.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 16))
+    return fine
+
+
+@query(_AWKWARD)
+def s01_s03_s04_split_scan(spark, d):
+    """One file of doubled quotes in bzip2, with line breaks inside fields, read by a task for each compressed block."""
+    path = scratch(spark)
+    _text_of(spark, d).select("doc_id", "text", "lang").coalesce(1).write.option("header", True).option("escape", '"').option("compression", "bzip2").csv(path)
+    return read_bulk_csv(_fine_splits(spark), path)
+
+
+@query(_AWKWARD)
+def s02_s05_split_backslash_scan(spark, d):
+    """One file of the bulk dialect, every quote and backslash escaped, read by a task for each 64 KB."""
+    path = scratch(spark)
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+    rows = _text_of(spark, d).select(F.concat_ws(",", quoted("doc_id"), "lang", quoted("text")).alias("value"))
+    rows.coalesce(1).write.text(path)
+    return read_bulk_csv(_fine_splits(spark), path, ["doc_id", "lang", "text"], backslash=True, header=False).select("doc_id", "text", "lang")
+
+
+@query("SELECT c_mktsegment AS k, CAST(min(c_custkey) AS VARCHAR) AS first_id, CAST(max(c_custkey) AS VARCHAR) AS last_id FROM customer GROUP BY 1")
+def j07_j08_first_and_last_of_files(spark, d):
+    """Three files of different sizes, ascending by name: the first and the last row of each key are those of the files' order."""
+    path = scratch(spark)
+    rows = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("n"), F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("k"))
+    edges = rows.agg(F.min("n").alias("lo"), F.max("n").alias("hi")).head()
+    cuts = [edges["lo"], edges["lo"] + (edges["hi"] - edges["lo"]) // 20, edges["lo"] + (edges["hi"] - edges["lo"]) // 3, edges["hi"] + 1]
+    for k in range(3):
+        readers.write_csv(rows.where(F.col("n").between(cuts[k], cuts[k + 1] - 1)).orderBy("n").coalesce(1), f"{path}/{k}", ["id", "k"])
+    back = readers.read_csv(spark, [f"{path}/{k}" for k in range(3)], order="_ord")
+    return back.groupBy("k").agg(F.min_by("id", "_ord").alias("first_id"), F.max_by("id", "_ord").alias("last_id"))
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS cluster_id, CAST(turn AS VARCHAR) AS id, role AS type, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE conv_id % 3 = 0 AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''")

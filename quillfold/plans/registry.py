@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillfold.functions.columns import word_count
-from quillfold.plans import cases, catalog, dedup, enrich, files, literals, steps
+from quillfold.plans import cases, catalog, dedup, enrich, files, literals, metrics, steps
 
-MODULES = (catalog, literals, enrich, cases, dedup, files, steps)
+MODULES = (catalog, literals, enrich, cases, dedup, files, steps, metrics)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

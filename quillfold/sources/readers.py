@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: Bytes of a file that are looked at to tell its encoding.
-PROBE_BYTES = 1 << 20
-
-
 def text_schema(columns: Sequence[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
@@ -27,40 +24,49 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if the file's beginning is that, else Latin-1; the driver reads PROBE_BYTES at most."""
-    files, target = _file_system(spark, path)
-    stream = files.open(target)
-    try:
-        data = bytes(stream.readNBytes(min(PROBE_BYTES, files.getFileStatus(target).getLen())))
-    finally:
-        stream.close()
-    try:
-        data[: data.rfind(b"\n") + 1 or len(data)].decode("utf-8")
-        return "UTF-8"
-    except UnicodeDecodeError:
-        return "ISO-8859-1"
-
-
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, backslash: bool = False, encoding: str = "UTF-8", header: bool = True) -> DataFrame:
-    """A CSV file, compressed or not by its suffix; quotes are doubled, or with `backslash` escaped.
-
-    Fields may be of any length and hold line breaks; a missing field is an empty one; a byte order mark is dropped.
+def encodings(spark: SparkSession, path: str | list[str]) -> dict[str, str]:
+    """For each file UTF-8 if all of it is that, else Latin-1. Executors look at whole files, split where they can be; a row for each file comes back."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    by_file = lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    return {unquote(r["file"]): "UTF-8" if r["valid"] else "ISO-8859-1" for r in by_file.collect()}
+
+
+def file_order() -> Column:
+    """Of rows as they are read: a value that rises in the order of the file, for the rules by which the first or last row wins.
+
+    Rows of a file's split lie in one task in their order; which task that is does not follow the files, so file and split come first.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+
+
+def read_csv(spark: SparkSession, path: str | list[str], columns: Sequence[str] | None = None, backslash: bool = False, encoding: str = "UTF-8", header: bool = True, order: str | None = None) -> DataFrame:
+    """A CSV file, compressed or not by its suffix; quotes are doubled, or with `backslash` escaped. `order` names a file_order column.
+
+    Fields may be of any length and hold line breaks; a missing field is an empty one; a byte order mark is dropped. Each file is
+    one task, so large ones are for bulk.read_bulk_csv.
     """
     reader = spark.read.option("header", header).option("multiLine", True).option("maxCharsPerColumn", -1).option("encoding", encoding)
     reader = reader.option("quote", '"').option("escape", "\\" if backslash else '"')
     df = (reader.schema(text_schema(columns)) if columns else reader).csv(path)
-    names = [c.removeprefix("﻿") for c in df.columns]
-    return df.toDF(*names).select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])
+    fields = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.removeprefix("﻿")) for c in df.columns]
+    return df.select(*fields, *([file_order().alias(order)] if order else []))
 
 
-def read_any_encoding(spark: SparkSession, path: str, **options) -> DataFrame:
-    return read_csv(spark, path, encoding=encoding_of(spark, path), **options)
+def read_any_encoding(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """Each file in its own encoding."""
+    found, out = encodings(spark, path), None
+    for encoding in sorted(set(found.values())) or ["UTF-8"]:
+        part = read_csv(spark, [f for f, e in found.items() if e == encoding] or path, encoding=encoding, **options)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def read_optional(spark: SparkSession, path: str, columns: Sequence[str], **options) -> DataFrame:
     """An empty table where the file is missing."""
-    return read_csv(spark, path, columns, **options) if exists(spark, path) else spark.createDataFrame([], text_schema(columns))
+    if exists(spark, path):
+        return read_csv(spark, path, columns, **options)
+    none = spark.createDataFrame([], text_schema(columns))
+    return none.withColumn(options["order"], F.lit(None)) if options.get("order") else none
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, limit: int = 0) -> DataFrame:
@@ -75,11 +81,6 @@ def read_results(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder).withColumn("name", name)
 
 
-def numbered(df: DataFrame, name: str = "_ord") -> DataFrame:
-    """Rows with a number that rises in the order of the file, for the rules by which the first or last row wins."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
 def unpivot_slots(df: DataFrame, keys: Sequence[str], slots: Sequence[int], fields: Sequence[str]) -> DataFrame:
     """Wide slots `field (k)` to one row for each filled slot."""
     entry = lambda k: F.struct(F.lit(k).alias("slot"), *[F.col(f"`{f} ({k})`").alias(f) for f in fields])
@@ -106,8 +107,3 @@ def append_cache(df: DataFrame, path: str) -> None:
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
-
-
-def write_splits(df: DataFrame, path: str) -> None:
-    """JSON lines in one folder for each split."""
-    df.write.mode("errorifexists").partitionBy("split").json(path)
