@@ -14,7 +14,7 @@ from quillfold.functions.columns import blank_to_null, circuit_key, classify_sco
 from quillfold.functions.names import first_token, fold, initials_of_name, last_keys, surname_variants
 from quillfold.functions.opinions import author as author_of
 from quillfold.functions.opinions import signed_as_district
-from quillfold.operators.relational import active_open, latest_of, override, small
+from quillfold.operators.relational import active_pairs, latest_of, override, small
 
 # The columns that the Supreme Court step clears and fills, and how parties are told.
 DATABASE_FIELDS = ["scdb_id", "issue_area", "issue_area_source", "decision_direction", "ideology_score", "ideology_source"]
@@ -167,7 +167,9 @@ def roster_matches(cases: DataFrame, roster: DataFrame, people: DataFrame) -> Da
     held = roster.select("last", "full_name", "score", F.col("court").alias("r_court"), F.col("initials").alias("r_initials"), circuit_key(F.col("court")).alias("r_circuit")).dropDuplicates(["full_name", "r_court"])
     fits_court = (F.col("circuit") == "") | (F.col("r_circuit") == "") | (F.col("circuit") == F.col("r_circuit"))
     candidates = asked.join(small(held), "last").where(fits_court).dropDuplicates(["row_id", "full_name", "r_court"])
-    active = asked.withColumnRenamed("last", "surname").join(small(people.withColumnRenamed("initials", "p_initials")), ["circuit", "surname"]).where(active_open(F.col("date"), F.col("start"), F.col("end")))
+    sought, held_by = asked.withColumnRenamed("last", "surname"), people.withColumnRenamed("initials", "p_initials")
+    undated = sought.where("date IS NULL").join(small(held_by), ["circuit", "surname"])
+    active = active_pairs(sought, held_by, ["circuit", "surname"]).unionByName(undated)
     persons = active.groupBy("row_id", "person").agg(F.max("initials").alias("initials"), F.max_by("p_initials", F.struct("start", "p_initials")).alias("p_initials"))
     fit = (F.col("initials") != "") & initials_ok(F.col("initials"), F.col("p_initials"))
     there = persons.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(fit).alias("n_fit"), F.min("p_initials").alias("one"), F.min(F.when(fit, F.col("p_initials"))).alias("fit"))

@@ -1,4 +1,4 @@
-"""Ranks over a whole table, by ranges of the values: no window without a partition, no value's rows in one place."""
+"""Ranks over a whole table and places in groups of any size, by ranges: no window without a partition, no group's rows in one place."""
 
 from __future__ import annotations
 
@@ -26,3 +26,15 @@ def tie_ranks(df: DataFrame, value: str, **more: Column) -> DataFrame:
 def with_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the rank of its value; null values have none."""
     return df.join(tie_ranks(df, value).select(value, F.col("rank").alias(name)), value, "left")
+
+
+def with_places(df: DataFrame, group: str, name: str, *order: Column) -> DataFrame:
+    """df with the place of each row in its group, from 1, in an order that tells its rows apart. Rows are dealt by ranges of both, so a group may hold any share of them."""
+    dealt = cut_lineage(df.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id()))
+    totals = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_in_range"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    # One group at most goes on in each range.
+    before = totals.select(F.col(group).alias("_group"), F.col("_range").alias("_in"), F.sum("_in_range").over(earlier).alias("_before")).where("_before IS NOT NULL")
+    here = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))
+    joined = dealt.withColumn("_here", here).join(F.broadcast(before), (F.col(group) == F.col("_group")) & (F.col("_range") == F.col("_in")), "left")
+    return joined.select(*df.columns, (F.col("_here") + F.coalesce("_before", F.lit(0))).alias(name))

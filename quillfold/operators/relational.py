@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a looked-up table is broadcast.
 BROADCAST_ROWS = 200_000
+#: Days of a bin in which rows meet the spans that hold their dates.
+BIN_DAYS = 365
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -46,11 +48,28 @@ def active_started(date: Column, start: Column, end: Column) -> Column:
     return start.isNotNull() & (start <= date) & (end.isNull() | (end >= date))
 
 
+def active_pairs(rows: DataFrame, spans: DataFrame, keys: Sequence[str], date: str = "date", start: str = "start", end: str = "end", opened: bool = True, days: int = BIN_DAYS) -> DataFrame:
+    """rows joined with the spans of their keys that hold their date, for rows with a date.
+
+    Spans are cut into bins of some days, within what the rows' dates reach, so that a row meets only the spans of its bin: a key
+    with any number of spans costs what is near the date. opened: a missing start passes.
+    """
+    bin_of = lambda c: F.floor(F.date_diff(c, F.lit("1970-01-01").cast("date")) / days).cast("int")
+    dated = rows.where(F.col(date).isNotNull()).withColumn("_bin", bin_of(F.col(date)))
+    reach = dated.agg(F.min("_bin").alias("_lo"), F.max("_bin").alias("_hi"))
+    first = F.greatest(F.coalesce(bin_of(F.col(start)), F.col("_lo")), F.col("_lo"))
+    last = F.least(F.coalesce(bin_of(F.col(end)), F.col("_hi")), F.col("_hi"))
+    cut = beside(spans if opened else spans.where(F.col(start).isNotNull()), reach).where(first <= last).withColumn("_bin", F.explode(F.sequence(first, last))).drop("_lo", "_hi")
+    return dated.join(small(cut), [*keys, "_bin"]).where(active_open(F.col(date), F.col(start), F.col(end))).drop("_bin")
+
+
 def interval_decision(rows: DataFrame, spans: DataFrame, row_id: str, key: str, date: str) -> DataFrame:
-    """Number of persons of spans (key, person, start, end) active at each row, and the person if there is just one."""
-    hit = rows.join(spans, key, "left").where(F.col("person").isNull() | active_open(F.col(date), F.col("start"), F.col("end")))
+    """Number of persons of spans (key, person, start, end) active at each row, and the person if there is just one; without a date all of the key are."""
+    hit = active_pairs(rows.select(row_id, key, date), spans, [key], date)
     found = hit.groupBy(row_id).agg(F.count_distinct("person").alias("n_active"), F.min("person").alias("person"))
-    return rows.select(row_id).join(found, row_id, "left").select(row_id, F.coalesce("n_active", F.lit(0)).alias("n_active"), F.when(F.col("n_active") == 1, F.col("person")).alias("person"))
+    whole = spans.groupBy(key).agg(F.count_distinct("person").alias("n_active"), F.min("person").alias("person"))
+    undated = rows.where(F.col(date).isNull()).select(row_id, key).join(whole, key).select(row_id, "n_active", "person")
+    return rows.select(row_id).join(found.unionByName(undated), row_id, "left").select(row_id, F.coalesce("n_active", F.lit(0)).alias("n_active"), F.when(F.col("n_active") == 1, F.col("person")).alias("person"))
 
 
 def cascade(rows: DataFrame, row_id: str, lookups: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:

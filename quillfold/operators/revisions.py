@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import random
+import json
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.functions.columns import window_shingles
 from quillfold.functions.opinions import has_revision_marker
-from quillfold.operators.relational import cut_lineage
+from quillfold.operators.ranks import with_places
+from quillfold.operators.relational import cut_lineage, small
 from quillfold.operators.similarity import hashed, similar_pairs
 
 # Limits that decide the results.
 GAP_DAYS, SAME, SAME_IF_MARKED = 400, 0.5, 0.05
 SPLITS = ["test", "val", "train"]
 
-#: Rows of the histogram of groups that the driver may hold.
-MOST_GROUPS = 2_000_000
+#: Different counts by label that the driver may hold.
+MOST_CLASSES = 1_000_000
 
 
 def _later(a: str, b: str) -> Column:
@@ -67,37 +65,68 @@ def drop_superseded(pairs: DataFrame) -> DataFrame:
     return kept.groupBy("older").agg(best).select("older", "best.newer", "best.similarity", "best.reason")
 
 
+def runs_of(costs: list[int], step: int, many: int) -> list[int]:
+    """How often each of some choices is taken when the cheapest (of equal ones the first) is taken `many` times over, and each time costs `step` more."""
+
+    def upto(most: int) -> list[int]:
+        return [max(0, (most - c) // step + 1) for c in costs]
+
+    low, high = min(costs), min(costs) + step * many
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if sum(upto(middle)) >= many else (middle + 1, high)
+    taken, left = upto(low - 1), many - sum(upto(low - 1))
+    for k, c in enumerate(costs):
+        if left and c <= low and (low - c) % step == 0:
+            taken[k], left = taken[k] + 1, left - 1
+    return taken
+
+
+def split_classes(classes: list[tuple[dict[str, int], int]], shares: dict[str, int]) -> list[list[int]]:
+    """For each class (its groups' counts by label, how many groups) how many of its groups go to each split; shares are whole parts of their sum.
+
+    All in whole numbers: what a split has beyond its target is held times the sum of the shares.
+    """
+    whole, total = sum(shares.values()), {}
+    for counts, many in classes:
+        for label, n in counts.items():
+            total[label] = total.get(label, 0) + n * many
+    over = [{label: -part * n for label, n in total.items()} for part in shares.values()]
+    out = []
+    for counts, many in classes:
+        costs = [sum(n * (2 * side[label] + n * whole) for label, n in counts.items()) for side in over]
+        taken = runs_of(costs, 2 * whole * sum(n * n for n in counts.values()), many)
+        for side, times in zip(over, taken, strict=True):
+            for label, n in counts.items():
+                side[label] += times * n * whole
+        out.append(taken)
+    return out
+
+
 def group_split(rows: DataFrame, group: str, label: str, test: float = 0.1, val: float = 0.1, seed: int = 42) -> DataFrame:
     """group, split: whole groups, largest first, each to the split that it leaves nearest to its targets.
 
     Putting g rows of a label where `over` is what the split has beyond its target changes the squared error by
-    g (2 over + g); a group goes where the sum over labels is least (ties: test, val, train). Groups of one size stand in
-    a seeded order. The choices depend on all earlier ones, so the driver makes them, on a table of counts by
-    group and label alone; more than MOST_GROUPS of its entries are refused.
+    g (2 over + g); a group goes where the sum over labels is least (ties: test, val, train). Groups with equal counts by label are
+    interchangeable: of one size, such classes stand in a seeded order, and how a class is dealt out follows at once, as every
+    group makes its split dearer by the same amount. So the driver holds the distinct classes alone (MOST_CLASSES at most; more are
+    refused), and the groups of a class take their splits by their places in a seeded order. Rows without a group take no part.
     """
-    if min(test, val, 1 - test - val) <= 0:
+    shares = dict(zip(SPLITS, (round(s * 1_000_000) for s in (test, val, 1 - test - val)), strict=True))
+    if min(shares.values()) <= 0:
         raise ValueError("test and val must be positive and leave something to train")
-    counts = rows.where(F.col(group).isNotNull()).groupBy(group, F.col(label).cast("string").alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
-    found = counts.limit(MOST_GROUPS + 1).toArrow()
-    if found.num_rows > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} pairs of group and label")
-    groups, labels = (pc.fill_null(found[c].cast(pa.string()), "").combine_chunks().dictionary_encode() for c in (group, "_label"))
-    size = np.zeros(len(groups.dictionary), dtype=np.int64)
-    at, column, n = groups.indices.to_numpy(), labels.indices.to_numpy(), found["_n"].to_numpy()
-    np.add.at(size, at, n)
-    order = sorted(range(len(size)), key=groups.dictionary.to_pylist().__getitem__)
-    random.Random(seed).shuffle(order)
-    order = np.array(order, dtype=np.int64)[np.argsort(-size[order], kind="stable")]
-    by_group = np.argsort(at, kind="stable")
-    first = np.searchsorted(at[by_group], np.arange(len(size) + 1))
-    share = np.array([test, val, 1 - test - val])
-    over = -share[:, None] * np.bincount(column, weights=n, minlength=len(labels.dictionary))[None, :]
-    chosen = np.empty(len(size), dtype=np.int64)
-    for g in order.tolist():
-        entries = by_group[first[g] : first[g + 1]]
-        of, many = column[entries], n[entries]
-        best = int(np.argmin((many * (2 * over[:, of] + many)).sum(axis=1)))
-        over[best, of] += many
-        chosen[g] = best
-    table = pa.table({group: groups.dictionary, "split": pa.array(SPLITS).take(pa.array(chosen))})
-    return rows.sparkSession.createDataFrame(table, f"`{group}` string, split string").withColumn(group, F.col(group).cast(rows.schema[group].dataType))
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group, F.coalesce(F.col(label).cast("string"), F.lit("")).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
+    groups = counts.groupBy(group).agg(F.sum("_n").alias("_size"), F.to_json(F.array_sort(F.collect_list(F.struct(F.col("_label").alias("l"), F.col("_n").alias("n"))))).alias("_class"))
+    groups = cut_lineage(groups)
+    seeded = lambda c: F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
+    classes = groups.groupBy("_size", "_class").agg(F.count(F.lit(1)).alias("_many")).withColumn("_at", seeded(F.col("_class")))
+    found = classes.limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} different counts by label")
+    found.sort(key=lambda r: (-r["_size"], r["_at"], r["_class"]))
+    dealt = split_classes([({x["l"]: x["n"] for x in json.loads(r["_class"])}, r["_many"]) for r in found], shares)
+    edges = [(r["_class"], t, t + v) for r, (t, v, _) in zip(found, dealt, strict=True)]
+    table = small(rows.sparkSession.createDataFrame(edges, "_class string, _test long, _val long"))
+    placed = with_places(groups, "_class", "_place", seeded(F.col(group)), F.col(group)).join(table, "_class")
+    split = F.when(F.col("_place") <= F.col("_test"), "test").when(F.col("_place") <= F.col("_val"), "val").otherwise("train")
+    return placed.select(group, split.alias("split"))

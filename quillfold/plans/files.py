@@ -229,4 +229,4 @@ def t04_accumulated_log(spark, d):
     for note, rows in (("old", ids), ("new", ids.where(numeric_id(F.col("cluster_id")) % 2 == 0))):
         rows.withColumn("note", F.lit(note)).coalesce(1).write.mode("append").parquet(f"{path}/in")
         ingest.accumulate_log(spark, f"{path}/in", f"{path}/log", f"{path}/state", "cluster_id")
-    return ingest.read_log(spark, f"{path}/log")
+    return ingest.read_log(spark, f"{path}/log", "cluster_id")

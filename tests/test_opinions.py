@@ -105,22 +105,26 @@ def test_amended_chain(spark):
     assert got == greedy(rows) and len(got) > 3
 
 
-def greedy_splits(rows, share=(("test", 0.1), ("val", 0.1), ("train", 0.8))):
-    """One group after the other, by the squared error that each choice would leave."""
-    import random
-    from collections import Counter
-
-    total, sizes = Counter(x for _, x in rows), Counter(g for g, _ in rows)
-    have = {s: Counter() for s, _ in share}
-    order = sorted(sizes)
-    random.Random(42).shuffle(order)
-    out = {}
-    for g in sorted(order, key=lambda g: -sizes[g]):
-        mine = Counter(x for h, x in rows if h == g)
-        error = {s: sum((have[s][x] + mine[x] - f * total[x]) ** 2 - (have[s][x] - f * total[x]) ** 2 for x in mine) for s, f in share}
-        out[g] = min(error, key=lambda s: round(error[s], 6))
-        have[out[g]] += mine
-    return out
+def greedy_splits(rows, shares=(("test", 1), ("val", 1), ("train", 8))):
+    """One group after the other, by the squared error that each choice would leave; of a class of equal counts the first groups get the first split."""
+    import hashlib
+    import json
+    from collections import Counter, defaultdict
+
+    seeded = lambda x: hashlib.md5(f"42:{x}".encode()).hexdigest()
+    mine = defaultdict(Counter)
+    for g, x in rows:
+        mine[g][x] += 1
+    total, have = Counter(x for _, x in rows), {s: Counter() for s, _ in shares}
+    kind = {g: json.dumps([{"l": x, "n": n} for x, n in sorted(c.items())], separators=(",", ":")) for g, c in mine.items()}
+    taken = defaultdict(Counter)
+    order = sorted(mine, key=lambda g: (-sum(mine[g].values()), seeded(kind[g]), kind[g], seeded(g), g))
+    for g in order:
+        error = {s: sum((10 * (have[s][x] + n) - f * total[x]) ** 2 - (10 * have[s][x] - f * total[x]) ** 2 for x, n in mine[g].items()) for s, f in shares}
+        best = min(error, key=error.get)
+        have[best] += mine[g]
+        taken[kind[g]][best] += 1
+    return {g: next(taken_of for taken_of in [[s for s, _ in shares for _ in range(taken[kind[g]][s])]])[[h for h in order if kind[h] == kind[g]].index(g)] for g in order}
 
 
 def test_group_split(spark):
@@ -130,3 +134,29 @@ def test_group_split(spark):
     assert got == greedy_splits([r for r in rows if r[0]])
     assert got["big"] == "train" and len(got) == 18 and set(got.values()) == {"train", "val", "test"}
     assert got == {r["g"]: r["split"] for r in revisions.group_split(df.repartition(3), "g", "l").collect()}
+    assert revisions.group_split(df.limit(0), "g", "l").count() == 0
+    with pytest.raises(ValueError):
+        revisions.group_split(df, "g", "l", 0.5, 0.5)
+
+
+def test_group_split_of_many_like_groups(spark):
+    """A class of most groups, several small classes, and labels that only some groups have."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(g, "a") for g in range(3000)] + [(g, rng.choice("abc")) for g in range(3000, 3400) for _ in range(rng.randint(1, 4))] + [(9000, rng.choice("cd")) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g int, l string")
+    assert {r["g"]: r["split"] for r in revisions.group_split(df, "g", "l").collect()} == greedy_splits(rows)
+
+
+def test_runs_are_those_of_one_after_the_other():
+    import random
+
+    rng = random.Random(6)
+    for _ in range(300):
+        costs, step, many = [rng.randint(-50, 50) for _ in range(3)], rng.randint(1, 9), rng.randint(1, 40)
+        taken, now = [0, 0, 0], list(costs)
+        for _ in range(many):
+            k = now.index(min(now))
+            taken[k], now[k] = taken[k] + 1, now[k] + step
+        assert revisions.runs_of(costs, step, many) == taken
