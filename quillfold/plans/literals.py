@@ -1,4 +1,4 @@
-"""Scalar functions on literal rows that hold every branch; the SQL is written from the rule, not from the expression."""
+"""Scalar functions on values that hold every branch, spread over the keys of the tables; the SQL is written from the rule, not from the expression."""
 
 from __future__ import annotations
 
@@ -13,28 +13,81 @@ ORACLES: dict[str, str] = {}
 
 
 class Fixture:
-    """Literal rows for Spark, and the same as a SQL relation."""
+    """Values that hold every branch of a rule: as literal rows for tests, and spread over the keys of a given table, for Spark and as SQL.
 
-    def __init__(self, schema: str, rows: list[tuple]):
-        self.schema, self.rows = schema, rows
+    Over a table, each column takes its own distinct values in turn (`free`, so that all combinations occur), or whole rows are taken in turn.
+    {n} in a value is a number that follows from the key, {m} one of five digits. group: columns that rows of one id share; every fourth
+    key is then an id of its own, and three in a row share one.
+    """
+
+    def __init__(self, schema: str, rows: list[tuple], free: bool = False, table: str = "orders", key: str = "o_orderkey", group: tuple[str, ...] | None = None):
+        self.schema, self.rows, self.table, self.key, self.group = schema, rows, table, key, group
         self.names = [c.split()[0] for c in schema.split(", ")]
+        self.kinds = [c.split()[1] for c in schema.split(", ")]
+        columns = list(zip(*rows, strict=True))[1:]
+        self.values = [list(dict.fromkeys(c)) if free else list(c) for c in columns]
+        strides = [1]
+        for v in self.values:
+            strides.append(strides[-1] * (len(v) if free else 1))
+        self.strides = strides[: len(self.values)]
+
+    def _numbered(self, row: tuple) -> tuple:
+        return tuple(v.replace("{n}", str(row[0])).replace("{m}", f"1{row[0]:0>4}") if isinstance(v, str) else v for v in row)
 
     def df(self, spark):
-        return spark.createDataFrame(self.rows, self.schema)
+        return spark.createDataFrame([self._numbered(r) for r in self.rows], self.schema)
 
     @property
     def sql(self) -> str:
-        one = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-        values = ", ".join("(" + ", ".join(map(one, r)) + ")" for r in self.rows)
+        values = ", ".join("(" + ", ".join(map(_literal, self._numbered(r))) + ")" for r in self.rows)
         return f"(VALUES {values}) t({', '.join(self.names)})"
 
+    def spread(self, spark, d: str):
+        key = F.col(self.key)
+        of = key if self.group is None else F.when(key % 4 == 0, -key).otherwise(F.floor(key / 4))
+        out = [of.alias(self.names[0])]
+        for name, kind, values, stride in zip(self.names[1:], self.kinds[1:], self.values, self.strides, strict=True):
+            by = F.abs(of) if self.group and name in self.group else key
+            picked = F.get(F.array(*[F.lit(v).cast(kind) for v in values]), (F.floor(by / stride) % len(values)).cast("int"))
+            if kind == "string" and any("{" in v for v in values if v):
+                for mark, low, span in MARKS:
+                    picked = F.replace(picked, F.lit(mark), (key % span + low).cast("string"))
+            out.append(picked.alias(name))
+        return spark.read.parquet(f"{d}/{self.table}.parquet").select(*out)
+
+    @property
+    def spread_sql(self) -> str:
+        of = self.key if self.group is None else f"CASE WHEN {self.key} % 4 = 0 THEN -{self.key} ELSE {self.key} // 4 END"
+        out = [f"{of} AS {self.names[0]}"]
+        for name, kind, values, stride in zip(self.names[1:], self.kinds[1:], self.values, self.strides, strict=True):
+            by = f"abs({of})" if self.group and name in self.group else self.key
+            picked = f"CASE ({by} // {stride}) % {len(values)} " + " ".join(f"WHEN {k} THEN {_literal(v)}" for k, v in enumerate(values)) + " END"
+            if kind == "string" and any("{" in v for v in values if v):
+                for mark, low, span in MARKS:
+                    picked = f"replace({picked}, '{mark}', CAST({self.key} % {span} + {low} AS VARCHAR))"
+            out.append(f"{picked} AS {name}")
+        return f"(SELECT {', '.join(out)} FROM {self.table}) t"
+
+
+#: What stands for a number in a value: the mark, the least number and how many there are.
+MARKS = [("{n}", 0, 997), ("{m}", 10_000, 89_989)]
+
+
+def _literal(v) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+
+
+#: The same functions on the literal rows, with their SQL, for tests.
+LITERALS: dict[str, tuple] = {}
+
 
 def literal(fixture: Fixture, sql: str):
-    """Register a function of the fixture's frame; {t} in the SQL is the fixture."""
+    """Register a function of the fixture's frame over its table; {t} in the SQL is the fixture."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, d: f(fixture.df(spark))
-        ORACLES[f.__name__] = sql.replace("{t}", fixture.sql)
+        QUERIES[f.__name__] = lambda spark, d: f(fixture.spread(spark, d))
+        ORACLES[f.__name__] = sql.replace("{t}", fixture.spread_sql)
+        LITERALS[f.__name__] = (lambda spark: f(fixture.df(spark)), sql.replace("{t}", fixture.sql))
         return f
 
     return register
@@ -44,7 +97,7 @@ def ids(values: list) -> list[tuple]:
     return [(i, *(v if isinstance(v, tuple) else (v,))) for i, v in enumerate(values)]
 
 
-PAIRS = Fixture("id int, a string, b string", ids([("x", "y"), ("", "y"), (" ", "y"), (None, "y"), ("", ""), (None, None), ("x", None)]))
+PAIRS = Fixture("id int, a string, b string", ids([("x{n}", "y"), ("", "y"), (" ", "y{n}"), (None, "y"), ("", ""), (None, None), ("x", None)]), free=True)
 
 
 @literal(PAIRS, "SELECT id, coalesce(nullif(a, ''), nullif(b, ''), '') AS v FROM {t}")
@@ -52,7 +105,7 @@ def f01_first_non_empty(t):
     return t.select("id", C.first_non_empty(F.col("a"), F.col("b")).alias("v"))
 
 
-DATES = Fixture("id int, s string", ids(["2019-04-05", "4/15/2020", "12/1/1999 extra", "2021-07-08T10:00:00", "2019", "no", "", None, "in 12345"]))
+DATES = Fixture("id int, s string", ids(["2019-04-05", "4/15/2020", "12/1/1999 extra", "2021-07-08T10:00:00", "2019", "no {n}", "", None, "in 12345", "term {m} of court"]))
 
 
 @literal(DATES, r"""SELECT id, nullif(regexp_extract(s, '([0-9][0-9][0-9][0-9])', 1), '') AS y,
@@ -70,7 +123,7 @@ def f04_f06_type_and_truth(t):
     return t.select("id", C.type_priority(F.col("s")).alias("prio"), C.is_true(F.col("s")).alias("flag"))
 
 
-TEXTS = Fixture("id int, html string, plain_text string, xml_harvard string", ids([("<p>a  b</p>", "c", "d"), ("<br/> ", " c  c\n", "d"), ("", "", "<x>d</x> e"), (None, "  ", None), ("a &amp; b", None, None), (None, None, None)]))
+TEXTS = Fixture("id int, html string, plain_text string, xml_harvard string", ids([("<p>a{n}  b</p>", "c", "d"), ("<br/> ", " c  c{n}\n", "d"), ("", "", "<x>d</x> e{n}"), (None, "  ", None), ("a &amp; b", None, None), (None, None, None)]), free=True)
 
 
 @literal(TEXTS, r"SELECT id, coalesce(nullif(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), ''), nullif(regexp_replace(plain_text, '^\s+|\s+$', '', 'g'), ''), nullif(trim(regexp_replace(regexp_replace(xml_harvard, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), ''), '') AS v FROM {t}")
@@ -78,7 +131,7 @@ def f05_best_text(t):
     return t.select("id", corpus.best_text(t).alias("v"))
 
 
-CASE_NAMES = Fixture("id int, s string", ids(["Foo v. Bar", "Foo v. Bar Revision: 3/1/20", "FOO v. Bar   Revisions: 1 and 2", "Subrevisions: kept v. Roe", "  O'Hara & Co. v. 3M ", "", None, "the Secretary of State v. Acme-Widgets, Inc.", "United States v. Álvarez"]))
+CASE_NAMES = Fixture("id int, s string", ids(["Foo {n} v. Bar", "Foo v. Bar{n} Revision: 3/1/20", "FOO v. Bar {n}   Revisions: 1 and 2", "Subrevisions: kept v. Roe", "  O'Hara & Co. v. 3M ", "", None, "the Secretary of State v. Acme-Widgets, Inc.", "United States v. Álvarez"]))
 
 
 @literal(CASE_NAMES, r"""WITH r AS (SELECT id, regexp_replace(coalesce(s, ''), '(?i)\s+revisions?:.*$', '') AS s FROM {t})
@@ -94,7 +147,7 @@ def f37_caption_words(t):
     return t.select("id", F.array_join(N.caption_words(F.col("s")), ",").alias("words"))
 
 
-SURNAMES = Fixture("id int, s string, court string", ids([("O'Scannlain", "CA9"), ("D’Amato", "CA5"), ("García", "CA5"), ("Ikluta", "CA9"), ("OWEN", "CA5"), ("OWEN", "CA9"), ("Hunsaker", "CA9"), ("Carrillo-Ramirez", "CA5"), ("", "CA5"), (None, None), ("Mekeown", "CA9"), ("Ångström-Øst", "CA5"), ("Otis", "CA5")]))
+SURNAMES = Fixture("id int, s string, court string", ids([("O'Scannlain", "CA9"), ("D’Amato", "CA5"), ("García", "CA5"), ("Ikluta", "CA9"), ("OWEN", "CA5"), ("OWEN", "CA9"), ("Hunsaker", "CA9"), ("Carrillo-Ramirez", "CA5"), ("", "CA5"), (None, None), ("Mekeown", "CA9"), ("Ångström-Øst", "CA5"), ("Otis", "CA5")]), free=True)
 
 
 @literal(SURNAMES, r"""WITH n AS (SELECT id, court, s, regexp_replace(strip_accents(lower(coalesce(s, ''))), '[^a-z]', '', 'g') AS f FROM {t}),
@@ -108,7 +161,7 @@ def f09_f10_f12_surnames(t):
     return t.select("id", N.fold(s).alias("folded"), F.array_join(N.last_keys(s), ",").alias("keys"), F.array_join(N.surname_variants(s, F.col("court")), ",").alias("variants"))
 
 
-GIVEN = Fixture("id int, first string, middle string", ids([("Ryan", "Douglas"), ("N[orman]", "Randy"), ("Milan", None), ("J. R.", "Jr."), ("", ""), (None, None), ("W.", "Eugene III"), ("Éva", "2nd x"), ("Jr", "Ann")]))
+GIVEN = Fixture("id int, first string, middle string", ids([("Ryan", "Douglas"), ("N[orman]", "Randy"), ("Milan", None), ("J. R.", "Jr."), ("", ""), (None, None), ("W.", "Eugene III"), ("Éva", "2nd x"), ("Jr", "Ann")]), free=True)
 
 
 @literal(GIVEN, r"""WITH p AS (SELECT id, list_filter(regexp_split_to_array(replace(replace(coalesce(first, ''), '[', ''), ']', ''), '[\s.]+') || regexp_split_to_array(replace(replace(coalesce(middle, ''), '[', ''), ']', ''), '[\s.]+'), lambda x: regexp_matches(x, '^\p{L}') AND lower(x) NOT IN ('jr', 'sr', 'ii', 'iii', 'iv')) AS w,
@@ -118,7 +171,7 @@ def f11_f13_given_names(t):
     return t.select("id", N.initials_of_name(F.col("first"), F.col("middle")).alias("initials"), N.first_token(F.col("first")).alias("token"))
 
 
-LETTERS = Fixture("id int, a string, b string", ids([("R.D.", "RD"), ("R.", "RD"), ("D.", "RD"), ("R.X.", "RD"), ("", "RD"), ("R.D.", ""), ("Q.", "RD"), ("W.E.", "E"), ("m.d.", "MD"), (None, "A")]))
+LETTERS = Fixture("id int, a string, b string", ids([("R.D.", "RD"), ("R.", "RD"), ("D.", "RD"), ("R.X.", "RD"), ("", "RD"), ("R.D.", ""), ("Q.", "RD"), ("W.E.", "E"), ("m.d.", "MD"), (None, "A")]), free=True)
 
 
 @literal(LETTERS, """WITH p AS (SELECT id, regexp_replace(upper(coalesce(a, '')), '[^A-Z]', '', 'g') AS a, b FROM {t})
@@ -129,7 +182,7 @@ def f14_f15_f16_letters(t):
     return t.select("id", a.alias("a"), C.initials_ok(a, F.col("b")).alias("ok"), C.initials_conflict(a, F.col("b")).alias("conflict"))
 
 
-CANDIDATES = Fixture("id int, initials string, c string", [(1, "", "AB"), (1, "", "XY"), (2, "A", "AB"), (3, "Q", "AB"), (4, "A", "AB"), (4, "A", "AC"), (4, "A", "XY"), (5, "B", "AB"), (6, "X", "AB"), (6, "X", "CD")])
+CANDIDATES = Fixture("id int, initials string, c string", [(1, "", "AB"), (1, "", "XY"), (2, "A", "AB"), (3, "Q", "AB"), (4, "A", "AB"), (4, "A", "AC"), (4, "A", "XY"), (5, "B", "AB"), (6, "X", "AB"), (6, "X", "CD")], free=True, group=("initials",))
 
 
 @literal(CANDIDATES, """WITH n AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM {t}),
@@ -150,7 +203,7 @@ def f18_circuit_key(t):
     return t.select("id", C.circuit_key(F.col("s")).alias("k"))
 
 
-DOCKETS = Fixture("id int, s string", ids(["No. 20-1199, 21-707", "No. 16–658.", "141, Orig.", "22O141", "Nos. 19-1 and 19-2; 19-3", "20-1199 & 20-1199", "", None, "19−55/19-56", "ANDOVER 1", "no 14-556"]))
+DOCKETS = Fixture("id int, s string", ids(["No. 20-1199, 21-{n}", "No. 16–{m}.", "141, Orig.", "22O141", "Nos. 19-1 and 19-2; 19-3", "20-1199 & 20-1199", "", None, "19−55/19-56", "ANDOVER 1", "no 14-556"]))
 
 
 @literal(DOCKETS, r"""WITH u AS (SELECT id, regexp_replace(upper(coalesce(s, '')), '[\x{2010}-\x{2015}\x{2212}]', '-', 'g') AS s FROM {t}),
@@ -162,7 +215,7 @@ def f19_docket_tokens(t):
     return t.select("id", F.array_join(C.docket_tokens(F.col("s")), ",").alias("tokens"))
 
 
-CITES = Fixture("id int, volume string, page string", ids([("576", "644"), (" 576 ", " 644 "), ("576", "___"), ("576", ""), ("576", None), (None, "5"), ("5 76", "1 2")]))
+CITES = Fixture("id int, volume string, page string", ids([("{n}", "644"), (" 576 ", " {m} "), ("576", "___"), ("576", ""), ("576", None), (None, "5"), ("5 76", "1 2")]), free=True)
 
 
 @literal(CITES, "SELECT id, CASE WHEN trim(coalesce(page, '')) = '' OR contains(page, '_') THEN '' ELSE replace(coalesce(volume, '') || 'U.S.' || page, ' ', '') END AS cite FROM {t}")
@@ -178,7 +231,7 @@ def f21_bounds_are_moderate(t):
     return t.select("id", C.classify_score(F.col("s").cast("double")).alias("label"))
 
 
-OPENINGS = Fixture("id int, s string", ids(["x No. 19-12345, 19-12346 and 20-1 y", "Nos. 19-12345 & 19-222", "19-12345 alone", "No 20-55555 No. 18-333", "", None, "No. 1-2", "x" * 2490 + " No. 19-12345"]))
+OPENINGS = Fixture("id int, s string", ids(["x No. 19-{m}, 19-12346 and 20-1 y", "Nos. 19-12345 & 19-222", "19-12345 alone", "No 20-55555 No. 18-333", "", None, "No. 1-2", "x" * 2490 + " No. 19-12345"]))
 
 
 @literal(OPENINGS, r"""WITH l AS (SELECT id, unnest(regexp_extract_all(substr(coalesce(s, ''), 1, 2500), '\bNos?\.?\s*((?:\d{2}-\d{3,6})(?:\s*(?:,|and|&)\s*\d{2}-\d{3,6})*)')) AS l FROM {t}), d AS (SELECT DISTINCT id, unnest(regexp_extract_all(l, '\d{2}-\d{3,6}')) AS d FROM l)
@@ -187,7 +240,7 @@ def f36_dockets(t):
     return t.select("id", F.array_join(N.dockets(F.col("s")), ",").alias("numbers"))
 
 
-KEYS = Fixture("id int, court string, author string, judge string, outcome string, topic string", ids([("SCOTUS", "Roe", "Kagan", "affirmed", "1"), ("SCOTUS", "Roe", " ", "Vacated ", "2.0"), ("CA9", "Bea", "panel of three", "affirmed_in_part", "8"), ("CA9", "", "Bea", "granted", "13"), ("CA5", " Smith ", None, "mixed", ""), ("CA9", " Smith", None, "", None), ("CA5", None, None, None, "x"), ("SCOTUS", None, None, "odd", "8.0")]))
+KEYS = Fixture("id int, court string, author string, judge string, outcome string, topic string", ids([("SCOTUS", "Roe", "Kagan", "affirmed", "1"), ("SCOTUS", "Roe", " ", "Vacated ", "2.0"), ("CA9", "Bea", "panel of three", "affirmed_in_part", "8"), ("CA9", "", "Bea", "granted", "13"), ("CA5", " Smith ", None, "mixed", ""), ("CA9", " Smith", None, "", None), ("CA5", None, None, None, "x"), ("SCOTUS", None, None, "odd", "8.0")]), free=True)
 
 
 @literal(KEYS, """SELECT id, CASE WHEN court = 'SCOTUS' THEN 'scotus::' || coalesce(nullif(lower(trim(judge)), ''), '_unknown_' || id) ELSE lower(court) || '::' || coalesce(nullif(lower(trim(author)), ''), '_unknown_' || id) END AS author_key,
@@ -199,7 +252,7 @@ def f41_group_keys(t):
     return t.select("id", C.author_key(*keys).alias("author_key"), C.group_key(*keys).alias("group_key"), C.outcome_group(F.col("outcome")).alias("outcome_group"), C.issue_group(F.col("topic")).alias("issue_group"))
 
 
-ANSWERS = Fixture("id int, s string", ids(["text. Disposition: affirmed", "Disposition - affirmed_in_part", "disposition: what", "we affirmed_in_part and remanded", "REVERSED and remanded", "nothing", "", "Disposition: mixed", "disposition: unclear", "Disposition : Vacated.", "I think Liberal", "conservative, not liberal", "moderate", None]))
+ANSWERS = Fixture("id int, s string", ids(["text {n}. Disposition: affirmed", "Disposition - affirmed_in_part", "disposition: what", "we affirmed_in_part and remanded", "REVERSED and remanded", "nothing", "", "Disposition: mixed", "disposition: unclear", "Disposition : Vacated.", "I think Liberal", "conservative, not liberal", "moderate", None]))
 
 
 @literal(ANSWERS, r"""WITH l AS (SELECT * FROM (VALUES (1, 'affirmed_in_part'), (2, 'affirmed'), (3, 'reversed'), (4, 'vacated'), (5, 'remanded'), (6, 'dismissed'), (7, 'denied'), (8, 'granted'), (9, 'mixed'), (10, 'other'), (11, 'unclear')) l(n, name)),
@@ -219,7 +272,7 @@ def f50_f51_codes(t):
     return t.select("id", evaluation.collapse_topic(F.col("code")).alias("collapsed"), C.percent(F.col("n"), F.col("total")).alias("pct"), reports.bar(F.col("n"), F.col("total")).alias("bar"))
 
 
-BODIES = Fixture("id int, syllabus string, issue string, opinion string", ids([("s" * 600, "i" * 400, "o" * 4000), ("", " q ", "o"), (None, None, None), ("a b/c*d~é+%&=", "", "x"), ("\n s \n", "", "")]))
+BODIES = Fixture("id int, syllabus string, issue string, opinion string", ids([("s" * 600, "i" * 400, "o" * 4000), ("", " q ", "o"), (None, None, None), ("a b/c*d~é+%&={n}", "", "x"), ("\n s {n} \n", "", "")]), free=True, table="customer", key="c_custkey")
 _CHOICES = "\n".join(["A. Criminal Procedure", "B. Civil Rights", "C. First Amendment", "D. Due Process", "E. Privacy", "F. Attorneys", "G. Unions", "H. Economic Activity", "I. Judicial Power", "J. Federalism", "K. Interstate Relations", "L. Federal Taxation", "M. Miscellaneous", "N. Private Action"])
 
 
@@ -229,7 +282,7 @@ def f52_f53_requests(t):
     return t.select("id", evaluation.topic_prompt(F.col("syllabus"), F.col("issue"), F.col("opinion")).alias("prompt"), evaluation.citation_request(F.coalesce("syllabus", F.lit(""))).alias("request"))
 
 
-STARTS = Fixture("id int, before string, start string, body string", ids([("Counsel for x. ", "OPINION BEA, Circuit Judge:", " We affirm."), ("SYLLABUS y. ", "Chief Justice Roberts delivered the opinion", " of the Court."), ("head ", "SMITH, Circuit Judge:", " text"), ("No. 1 ", "PER CURIAM:", " text"), ("all of it", "", ""), ("PER CURIAM: first, then ", "Justice Kagan delivered the opinion", " z"), ("h" * 16_000 + " ", "", "PER CURIAM: too late"), ("", "", "")]))
+STARTS = Fixture("id int, before string, start string, body string", ids([("Counsel for x. ", "OPINION BEA, Circuit Judge:", " We affirm."), ("SYLLABUS y. ", "Chief Justice Roberts delivered the opinion", " of the Court."), ("head ", "SMITH, Circuit Judge:", " text"), ("No. 1 ", "PER CURIAM:", " text"), ("all of it", "", ""), ("PER CURIAM: first, then ", "Justice Kagan delivered the opinion", " z"), ("h" * 16_000 + " ", "", "PER CURIAM: too late"), ("", "", "")]), table="customer", key="c_custkey")
 
 
 @literal(STARTS, "SELECT id, CASE WHEN start <> '' THEN start || body ELSE before || body END AS body FROM {t}")
@@ -237,16 +290,16 @@ def f42_strip_header(t):
     return t.select("id", records.strip_header(F.concat("before", "start", "body")).alias("body"))
 
 
-WRITINGS = Fixture("cluster_id int, id string, text string", [(1, "10", "b"), (1, "9", "a"), (1, "x", "z"), (1, "11", ""), (2, "1", ""), (3, None, "n"), (3, "2", "m")])
+WRITINGS = Fixture("cluster_id int, id string, text string", [(1, "10", "b"), (1, "9", "a"), (1, "x", "z"), (1, "11", ""), (2, "1", ""), (3, None, "n"), (3, "2", "m")], free=True, group=())
 
 
-@literal(WRITINGS, "SELECT cluster_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY coalesce(try_cast(id AS BIGINT), 9223372036854775807)) FILTER (WHERE text <> ''), '') AS joined FROM {t} GROUP BY 1")
+@literal(WRITINGS, "SELECT cluster_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY coalesce(try_cast(id AS BIGINT), 9223372036854775807), text) FILTER (WHERE text <> ''), '') AS joined FROM {t} GROUP BY 1")
 def f29_f57_joined_texts(t):
     items = F.collect_list(F.struct(C.numeric_id(F.col("id")).alias("key"), "text"))
     return t.groupBy("cluster_id").agg(corpus.joined_texts(items).alias("joined"))
 
 
-ENUMS = Fixture("id int, d string, p string, v string", ids([("Affirmed", "appellant", "4.5"), ("weird", "nobody", "2.5"), ("", "", "9"), (None, None, "-3"), (" mixed ", "GOVERNMENT", "x"), ("unclear", "unclear", None)]))
+ENUMS = Fixture("id int, d string, p string, v string", ids([("Affirmed", "appellant", "4.5"), ("weird", "nobody", "2.5"), ("", "", "9"), (None, None, "-3"), (" mixed ", "GOVERNMENT", "x"), ("unclear", "unclear", None)]), free=True)
 
 
 @literal(ENUMS, """SELECT id, CASE WHEN trim(coalesce(d, '')) = '' THEN 'unclear' WHEN lower(trim(d)) IN ('affirmed', 'mixed', 'unclear') THEN lower(trim(d)) ELSE 'other' END AS d,
