@@ -149,12 +149,6 @@ def text_shingles(c: Column) -> Column:
     return grams(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), F.lit(1)))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """0 if either set is empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(once(shared, lambda s: s / (F.size(a) + F.size(b) - s)))
-
-
 def head_and_tail(c: Column, first: int = 8000, last: int = 2000, marker: str = "\n[...]\n") -> Column:
     return F.when(F.length(c) <= first + last, c).otherwise(F.concat(F.substring(c, 1, first), F.lit(marker), F.right(c, F.lit(last))))
 

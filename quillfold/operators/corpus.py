@@ -105,6 +105,14 @@ def split_by_type(rows: DataFrame, dump: DataFrame, fallback: bool = False, in_p
     )
 
 
+def type_counters(rows: DataFrame, dump: DataFrame, fallback: bool = False, in_part: str = "ignore") -> DataFrame:
+    """jurisdiction, type, n opinions of the cases in the dump, and whether split_by_type with these options leaves the type out."""
+    handled = [LEAD, COMBINED, DISSENT, CONCURRENCE, *(FALLBACKS if fallback else []), *([IN_PART] if in_part != "ignore" else [])]
+    keyed = rows.select(F.col("cluster_id").cast("string").alias("_id"), "jurisdiction").join(dump.select(F.col("cluster_id").alias("_id"), "opinions.type"), "_id")
+    each = keyed.select("jurisdiction", F.explode("type").alias("type")).groupBy("jurisdiction", "type").agg(F.count(F.lit(1)).alias("n"))
+    return each.withColumn("ignored", ~F.col("type").isin(handled))
+
+
 def drop_repeated_names(rows: DataFrame, order: str) -> DataFrame:
     """The first row of each court, name and date."""
     return keep_first(rows.withColumn("_name", C.norm_name_tight(F.col("case_name"))), ["jurisdiction", "_name", "date_filed"], [F.col(order)]).drop("_name")

@@ -153,13 +153,8 @@ def with_authors(rows: DataFrame, corrections: DataFrame | None = None, order: S
     return override(out.where(circuit), named, "cluster_id").unionByName(out.where(~F.coalesce(circuit, F.lit(False))))
 
 
-def roster_matches(cases: DataFrame, roster: DataFrame, people: DataFrame) -> DataFrame:
-    """row_id, full_name, score, state of the roster's judge who is the author.
-
-    cases: row_id, author, court, jurisdiction, date, initials, district. roster: see circuit_roster. people: see circuit_appointments.
-    One active person decides whatever the initials, and must fit just one roster row; several need initials that fit one
-    of them; without any, the roster alone decides: a single row unless its initials clash, several if the initials fit one.
-    """
+def _roster_counts(cases: DataFrame, roster: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each case with candidates of the roster: n persons active on its date and the initials of the one chosen, rows and n_ok of the candidates; and the names sought."""
     initials = parse_initials(F.coalesce("initials", F.lit("")))
     own = F.when(circuit_key(F.col("court")) != "", circuit_key(F.col("court"))).otherwise(circuit_key(F.col("jurisdiction")))
     asked = cases.where(F.trim(F.coalesce("author", F.lit(""))) != "").where("NOT coalesce(district, false)")
@@ -177,13 +172,46 @@ def roster_matches(cases: DataFrame, roster: DataFrame, people: DataFrame) -> Da
     joined = candidates.join(there, "row_id", "left")
     by_person, alone = F.col("n").isNotNull(), F.col("initials")
     ok = F.when(by_person, F.col("target").isNotNull() & initials_ok(F.col("target"), F.col("r_initials"))).otherwise((alone != "") & initials_ok(alone, F.col("r_initials")))
-    counts = joined.groupBy("row_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("n_ok"), F.max(initials_conflict(alone, F.col("r_initials"))).alias("clash"), F.max(F.struct("full_name", "score")).alias("any"), F.max(F.when(ok, F.struct("full_name", "score"))).alias("ok"))
+    counts = joined.groupBy("row_id").agg(F.max("n").alias("n"), F.max("target").alias("target"), F.max("initials").alias("initials"), F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("n_ok"), F.max(initials_conflict(alone, F.col("r_initials"))).alias("clash"), F.max(F.struct("full_name", "score")).alias("any"), F.max(F.when(ok, F.struct("full_name", "score"))).alias("ok"))
+    return counts, sought
+
+
+def roster_matches(cases: DataFrame, roster: DataFrame, people: DataFrame) -> DataFrame:
+    """row_id, full_name, score, state of the roster's judge who is the author.
+
+    cases: row_id, author, court, jurisdiction, date, initials, district. roster: see circuit_roster. people: see circuit_appointments.
+    One active person decides whatever the initials, and must fit just one roster row; several need initials that fit one
+    of them; without any, the roster alone decides: a single row unless its initials clash, several if the initials fit one.
+    """
+    counts, _ = _roster_counts(cases, roster, people)
     single = F.col("n").isNull() & (F.col("rows") == 1) & ~F.col("clash")
     several = (F.col("n").isNotNull() | (F.col("rows") > 1)) & (F.col("n_ok") == 1)
     state = F.when(single, "roster_only").when(several, "found").when(F.col("n").isNull() & (F.col("rows") == 1), "conflict").otherwise("ambiguous")
     return counts.select("row_id", F.when(single, F.col("any")).when(several, F.col("ok")).alias("hit"), state.alias("state")).select("row_id", "hit.full_name", "hit.score", "state")
 
 
+def roster_reasons(cases: DataFrame, roster: DataFrame, people: DataFrame) -> DataFrame:
+    """row_id and why each case has the author that it has, or none.
+
+    no_author, district (signed as a district judge), no_candidate (the roster has nobody of the name). One active person: active, or date
+    where others of the name were not active; several: initials, or several / several_initials where these decide nothing; not_in_roster
+    where the person fits no single roster row. Nobody active: roster_only, roster_conflict, roster_initials, roster_several.
+    """
+    counts, sought = _roster_counts(cases, roster, people)
+    # How many persons bear the name: for each name their number and one of them, so that rows meet no list of persons.
+    borne = people.groupBy("circuit", "surname").agg(F.count_distinct("person").alias("_n"), F.min("person").alias("_one"))
+    names = sought.join(small(borne), ["circuit", "surname"]).groupBy("row_id").agg((F.max("_n") > 1).alias("_many"), F.count_distinct("_one").alias("_ones"))
+    names = names.select("row_id", (F.col("_many") | (F.col("_ones") > 1)).alias("others"))
+    n, found = F.col("n"), F.col("n_ok") == 1
+    one = F.when(~found, "not_in_roster").when(F.coalesce("others", F.lit(False)), "date").otherwise("active")
+    more = F.when(F.col("target").isNull(), F.when(F.col("initials") != "", "several_initials").otherwise("several")).when(found, "initials").otherwise("not_in_roster")
+    none = F.when(F.col("rows") == 1, F.when(F.col("clash"), "roster_conflict").otherwise("roster_only")).when(found, "roster_initials").otherwise("roster_several")
+    reason = F.when(n == 1, one).when(n > 1, more).otherwise(none)
+    decided = counts.join(names, "row_id", "left").select("row_id", reason.alias("_reason"))
+    blank = F.trim(F.coalesce("author", F.lit(""))) == ""
+    return cases.select("row_id", "author", "district").join(decided, "row_id", "left").select("row_id", F.when(blank, "no_author").when(F.coalesce("district", F.lit(False)), "district").otherwise(F.coalesce("_reason", F.lit("no_candidate"))).alias("reason"))
+
+
 def enrich_circuits(rows: DataFrame, roster: DataFrame, people: DataFrame) -> DataFrame:
     """rows with ideology, ideology_score and ideology_source of circuit opinions cleared and filled again from the roster."""
     circuit = F.col("jurisdiction").isin(*CIRCUITS)

@@ -34,7 +34,7 @@ def with_places(df: DataFrame, group: str, name: str, *order: Column) -> DataFra
     totals = dealt.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_in_range"))
     earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     # One group at most goes on in each range.
-    before = totals.select(F.col(group).alias("_group"), F.col("_range").alias("_in"), F.sum("_in_range").over(earlier).alias("_before")).where("_before IS NOT NULL")
+    before = totals.select(F.col(group).alias("_of"), F.col("_range").alias("_in"), F.sum("_in_range").over(earlier).alias("_before")).where("_before IS NOT NULL")
     here = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))
-    joined = dealt.withColumn("_here", here).join(F.broadcast(before), (F.col(group) == F.col("_group")) & (F.col("_range") == F.col("_in")), "left")
+    joined = dealt.withColumn("_here", here).join(F.broadcast(before), (F.col(group) == F.col("_of")) & (F.col("_range") == F.col("_in")), "left")
     return joined.select(*df.columns, (F.col("_here") + F.coalesce("_before", F.lit(0))).alias(name))

@@ -13,9 +13,20 @@ from quillfold.operators.relational import beside, upper_median
 COURTS = ["SCOTUS", "CA5", "CA9"]
 CIRCUITS = ["CA5", "CA9"]
 SCOPES = {
-    **{"opinion_text": "ALL", "case_name": "ALL", "date_filed": "ALL", "judge_name": "ALL", "facts": "ALL", "issue_text": "ALL", "disposition": "ALL"},
-    **{"prevailing_party": "ALL", "author_str": "CIRCUITS", "ideology_score": "ALL", "ideology": "CIRCUITS", "issue_area": "ALL"},
-    **{"decision_direction": "SCOTUS", "syllabus": "ALL"},
+    "opinion_text": "ALL",
+    "case_name": "ALL",
+    "date_filed": "ALL",
+    "judge_name": "ALL",
+    "facts": "ALL",
+    "issue_text": "ALL",
+    "disposition": "ALL",
+    "prevailing_party": "ALL",
+    "author_str": "CIRCUITS",
+    "ideology_score": "ALL",
+    "ideology": "CIRCUITS",
+    "issue_area": "ALL",
+    "decision_direction": "SCOTUS",
+    "syllabus": "ALL",
 }
 AUTHORISED = ["judjis", "martin_quinn"]
 SPARSE = 10
@@ -141,6 +152,32 @@ def bar(n: Column, total: Column, width: int = 20) -> Column:
     return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), width - filled))
 
 
+def score_range(rows: DataFrame, score: str) -> DataFrame:
+    """By court: numbers among the scores, the least, the greatest and their mean, with two places."""
+    n = F.col(score).try_cast("double")
+    shown = lambda c: F.format_string("%.2f", c)
+    each = rows.groupBy(_text("jurisdiction").alias("jurisdiction")).agg(F.count(n).alias("n"), F.min(n).alias("lo"), F.max(n).alias("hi"), F.avg(n).alias("mean")).where("n > 0")
+    return each.select("jurisdiction", "n", *[shown(F.col(c)).alias(c) for c in ("lo", "hi", "mean")])
+
+
+def top_names(rows: DataFrame, k: int = 10, name: str = "case_name") -> DataFrame:
+    """The k names that repeat most."""
+    n = rows.where(_text(name) != "").groupBy(_text(name).alias("name")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return n.orderBy(F.desc("n"), "name").limit(k)
+
+
+def as_lines(sections: dict[str, DataFrame]) -> DataFrame:
+    """section and line: each row of each section as its values between bars; a map as key:value. One frame, and nothing at the driver."""
+    out = None
+    for title, section in sections.items():
+        kinds = dict(section.dtypes)
+        pairs = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ", ")
+        shown = [F.coalesce(pairs(c) if kinds[c].startswith("map") else F.col(c).cast("string"), F.lit("")) for c in section.columns]
+        lines = section.select(F.lit(title).alias("section"), F.concat_ws(" | ", *shown).alias("line"))
+        out = lines if out is None else out.unionByName(lines)
+    return out
+
+
 def render(title: str, section: DataFrame, most: int = 1000) -> str:
     """A section as a Markdown table; sections are summaries, and one of more than `most` rows is refused."""
     rows = section.limit(most + 1).collect()
@@ -158,12 +195,14 @@ def statistics(rows: DataFrame) -> dict[str, DataFrame]:
     return {
         "Courts": by_value(rows, "jurisdiction"),
         "Repeated names": repeated_names(rows),
+        "Most repeated": top_names(rows),
         "Ideology": by_value(rows, "ideology"),
         "Court by ideology": cells(rows),
         "Ideology sources": by_value(rows, "ideology_source"),
         "Topic coverage": source_coverage(rows, "issue_area", "issue_area_source"),
         "Topics": by_value(rows.where(_text("issue_area") != ""), "issue_area"),
         "Score coverage": source_coverage(rows, "ideology_score", "ideology_source"),
+        "Score range": score_range(rows, "ideology_score"),
         "Text coverage": before_and_after(rows, rows.where(_text("opinion_text") != ""), "jurisdiction"),
         "Unauthorised sources": unauthorised(rows),
         "Missing values": field_presence(rows).where("jurisdiction IS NULL").drop("jurisdiction"),

@@ -319,3 +319,52 @@ def x01_x02_f40_t02_field_extraction(spark, d):
     """Only rows without facts or question are asked; the stub answers by a text's words."""
     done, _ = extraction.enrich_fields(cases(spark, d, "cluster_id", "opinion_text", "facts", "issue_text"))
     return done.select("cluster_id", "issue_text", "facts", "disposition")
+
+
+_ENRICHED = ("issue_area", "issue_area_source", "decision_direction", "scdb_id")
+
+
+@query(", l AS (SELECT cluster_id, cluster_id % 2 = 0 AND issue_area_source <> 'scdb' AS takes, * EXCLUDE (cluster_id) FROM cases) SELECT 'issue_area' AS field, count(*) FILTER (WHERE trim(issue_area) <> '') AS before, count(*) FILTER (WHERE takes OR trim(issue_area) <> '') AS after FROM l UNION ALL SELECT 'issue_area_source', count(*) FILTER (WHERE trim(issue_area_source) <> ''), count(*) FILTER (WHERE takes OR trim(issue_area_source) <> '') FROM l UNION ALL SELECT 'decision_direction', count(*) FILTER (WHERE trim(decision_direction) <> ''), count(*) FILTER (WHERE trim(decision_direction) <> '') FROM l UNION ALL SELECT 'scdb_id', 0, 0")
+def a09_filled_before_and_after(spark, d):
+    """What topic labels fill; a field that neither table has counts nothing."""
+    rows = cases(spark, d, "cluster_id", "issue_area", "issue_area_source", "decision_direction")
+    labels = rows.where("cluster_id % 2 = 0").select("cluster_id", (F.col("cluster_id") % 14 + 1).alias("pred_issue"), F.lit(0.75).alias("confidence"))
+    return reports.filled_before_and_after(rows, evaluation.attach_topics(rows, labels), list(_ENRICHED))
+
+
+def _section(title: str, columns: list[str], relation: str) -> str:
+    line = " || ' | ' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"SELECT '{title}' AS section, {line} AS line FROM ({relation})"
+
+
+def _values(field: str, where: str = "true") -> str:
+    return f"SELECT coalesce(trim({field}), '') AS v, count(*) AS n, printf('%.1f%%', 100.0 * count(*) / sum(count(*)) OVER ()) AS share FROM cases WHERE {where} GROUP BY 1"
+
+
+def _covered(field: str, source: str) -> str:
+    return f"SELECT jurisdiction, count(*) FILTER (WHERE trim({field}) <> '') AS has, count(*) FILTER (WHERE trim({field}) = '') AS miss, (SELECT string_agg(s || ':' || n, ', ' ORDER BY s) FROM (SELECT jurisdiction AS j, coalesce(nullif(trim({source}), ''), 'unknown') AS s, count(*) AS n FROM cases WHERE trim({field}) <> '' GROUP BY 1, 2) x WHERE x.j = cases.jurisdiction) AS sources FROM cases GROUP BY 1"
+
+
+_NAMES = "SELECT trim(case_name) AS name, count(*) AS n FROM cases WHERE trim(case_name) <> '' GROUP BY 1"
+_SECTIONS = [
+    _section("Courts", ["v", "n", "share"], _values("jurisdiction")),
+    _section("Repeated names", ["names", "repeated", "rows_in"], f"SELECT count(*) AS names, count(*) FILTER (WHERE n > 1) AS repeated, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_in FROM ({_NAMES})"),
+    _section("Most repeated", ["name", "n"], f"SELECT * FROM ({_NAMES}) WHERE n > 1 ORDER BY n DESC, name LIMIT 10"),
+    _section("Ideology", ["v", "n", "share"], _values("ideology")),
+    _section("Court by ideology", ["jurisdiction", "ideology", "n", "sparse"], "SELECT jurisdiction, ideology, count(*) AS n, count(*) < 10 AS sparse FROM cases GROUP BY 1, 2"),
+    _section("Ideology sources", ["v", "n", "share"], _values("ideology_source")),
+    _section("Topic coverage", ["jurisdiction", "has", "miss", "sources"], _covered("issue_area", "issue_area_source")),
+    _section("Topics", ["v", "n", "share"], _values("issue_area", "trim(issue_area) <> ''")),
+    _section("Score coverage", ["jurisdiction", "has", "miss", "sources"], _covered("ideology_score", "ideology_source")),
+    _section("Score range", ["jurisdiction", "n", "lo", "hi", "mean"], "SELECT jurisdiction, count(x) AS n, printf('%.2f', min(x)) AS lo, printf('%.2f', max(x)) AS hi, printf('%.2f', avg(x)) AS mean FROM (SELECT jurisdiction, try_cast(ideology_score AS DOUBLE) AS x FROM cases) GROUP BY 1 HAVING count(x) > 0"),
+    _section("Text coverage", ["jurisdiction", "n", "filled"], f"SELECT jurisdiction, count(*) AS n, count(*) FILTER (WHERE {_filled('opinion_text')}) AS filled FROM cases GROUP BY 1"),
+    _section("Unauthorised sources", ["n", "overlap", "usable"], "WITH g AS (SELECT DISTINCT case_name, date_filed, judge_name FROM cases WHERE coalesce(trim(opinion_text), '') = ''), b AS (SELECT c.*, (c.case_name, c.date_filed, c.judge_name) IN (SELECT (case_name, date_filed, judge_name) FROM g) AS gap FROM cases c WHERE trim(ideology_source) NOT IN ('', 'judjis', 'martin_quinn')) SELECT count(*) AS n, count(*) FILTER (WHERE gap) AS overlap, count(*) FILTER (WHERE NOT gap) AS usable FROM b"),
+    _section("Missing values", ["field", "n", "present", "missing"], f"SELECT field, count(*) AS n, count(*) FILTER (WHERE there) AS present, count(*) FILTER (WHERE NOT there) AS missing FROM ({_FIELDS}) GROUP BY 1"),
+    _section("Lengths", ["field", "n", "lo", "median", "hi"], "SELECT field, count(*) AS n, min(length(v)) AS lo, CAST(quantile_disc(length(v), 0.5 ORDER BY length(v) DESC) AS INTEGER) AS median, max(length(v)) AS hi FROM (SELECT 'opinion_text' AS field, opinion_text AS v FROM cases UNION ALL SELECT 'syllabus', syllabus FROM cases UNION ALL SELECT 'issue_text', issue_text FROM cases) WHERE trim(v) <> '' GROUP BY 1"),
+]
+
+
+@query(" " + " UNION ALL ".join(_SECTIONS))
+def c13_k08_statistics_report(spark, d):
+    """All sections of the statistics report, a line for each of their rows."""
+    return reports.as_lines(reports.statistics(cases(spark, d)))

@@ -410,6 +410,38 @@ def c06_j10_j11_j12_w08_roster(bio, roster, cases):
     return enrichment.roster_matches(cases.withColumn("date", F.to_date("date")), known, people)
 
 
+_REASONS = (
+    _ROSTER[: _ROSTER.rindex("SELECT row_id, CASE WHEN n IS NULL")]
+    + """, q AS (SELECT v.row_id, count(DISTINCT p.person) > 1 AS others FROM v JOIN people p ON p.surname = v.s AND p.circuit = v.circuit GROUP BY 1),
+w2 AS (SELECT f.*, c.ini, n2.target, coalesce(q.others, false) AS others FROM f JOIN c USING (row_id) LEFT JOIN n n2 USING (row_id) LEFT JOIN q USING (row_id)),
+r AS (SELECT row_id, CASE WHEN n = 1 THEN CASE WHEN n_ok <> 1 THEN 'not_in_roster' WHEN others THEN 'date' ELSE 'active' END WHEN n > 1 THEN CASE WHEN target IS NULL THEN CASE WHEN ini <> '' THEN 'several_initials' ELSE 'several' END WHEN n_ok = 1 THEN 'initials' ELSE 'not_in_roster' END
+ WHEN rows_ = 1 THEN CASE WHEN clash THEN 'roster_conflict' ELSE 'roster_only' END WHEN n_ok = 1 THEN 'roster_initials' ELSE 'roster_several' END AS reason FROM w2)
+SELECT jurisdiction, CASE WHEN coalesce(trim(author), '') = '' THEN 'no_author' WHEN coalesce(district, false) THEN 'district' ELSE coalesce(reason, 'no_candidate') END AS reason, count(*) AS n FROM {cases} LEFT JOIN r USING (row_id) GROUP BY 1, 2"""
+)
+
+
+@over(_REASONS, bio=MADE_BIOGRAPHIES, roster=MADE_ROSTER, cases=MADE_CASES)
+@literal(_REASONS, bio=BIOGRAPHIES, roster=ROSTER, cases=CIRCUIT_CASES)
+def a18_roster_reasons(bio, roster, cases):
+    """How the authors of a court were told, and why others were not."""
+    day = lambda s: F.lit(s).cast("date")
+    people = enrichment.circuit_appointments(_bio(bio), day("2005-01-01"), day("2023-12-31"))
+    known = enrichment.circuit_roster(roster.withColumnsRenamed({"first": "first.name", "last": "last.name"}))
+    reasons = enrichment.roster_reasons(cases.withColumn("date", F.to_date("date")), known, people)
+    return reasons.join(cases.select("row_id", "jurisdiction"), "row_id").groupBy("jurisdiction", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+_IGNORED = """WITH o AS (SELECT cluster_id, type FROM {opinions} WHERE trim(plain_text) <> '')
+SELECT jurisdiction, type, count(*) AS n, type NOT IN ('020lead', '010combined', '040dissent', '030concurrence', '025plurality', '015unamimous') AS ignored FROM {rows} JOIN o ON CAST(o.cluster_id AS BIGINT) = t.cluster_id GROUP BY 1, 2"""
+
+
+@over(_IGNORED, rows=MADE_ROWS, opinions=MADE_WRITINGS)
+@literal(_IGNORED, rows=SPLIT_ROWS, opinions=SPLIT_OPINIONS)
+def a18_types(rows, opinions):
+    """Opinions by court and type, and the types that the split leaves out."""
+    return corpus.type_counters(rows, corpus.opinions_by_case(opinions, rows), fallback=True)
+
+
 JCS = Fixture("name string, circuit string, jcs string", [("Bea, Carlos T.", "9.0", "0.5"), ("O'Scannlain, Diarmuid", "9", "0.3"), ("Smith, N. Randy", "9", "0.2"), ("NoComma", "5", "0.1"), ("Bad, Circuit", "x", "0.1"), ("Bad, Score", "9", "")])
 
 

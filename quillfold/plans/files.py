@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,22 +143,23 @@ def s08_k03_json_lines(spark, d):
     return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
-RESULTS = [
-    ("base", {"task": "predict", "n": 3, "outcome": {"accuracy": 0.5, "macro_f1": 0.25}}),
-    ("tuned", {"task": "generation", "n": 4, "outcome": {"accuracy": 1.0}, "discourse": {"generated": {"words": 10.5, "ttr": 0.5}, "authentic": {"words": 20.0}}, "citation_hallucination": {"hallucination_rate": 0.125}}),
-    ("broken", None),
-]
-
-
-@query("""SELECT * FROM (VALUES ('base', 'predict', '3', '0.5', '0.25', '', '', '', '', '', '', '', ''), ('tuned', 'generation', '4', '1.0', '', '', '10.5', '20.0', '', '', '0.5', '', '0.125')) t(name, task, n, accuracy, macro_f1, bertscore_f1, gen_words, auth_words, gen_fk, auth_fk, gen_ttr, auth_ttr, halluc_rate)""")
+@query("""WITH r AS (SELECT o_custkey % 40 AS k, count(*) AS n, round(avg(CASE WHEN o_orderkey % 4 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 3) AS a, CAST(count(DISTINCT o_orderstatus) AS DOUBLE) AS w FROM orders GROUP BY 1)
+SELECT 'model' || k AS name, CASE WHEN k % 2 = 0 THEN 'predict' ELSE 'generation' END AS task, CAST(n AS VARCHAR) AS n, CAST(a AS VARCHAR) AS accuracy, CASE WHEN k % 2 = 0 THEN CAST(a AS VARCHAR) ELSE '' END AS macro_f1, '' AS bertscore_f1, CASE WHEN k % 2 = 1 THEN CAST(w AS VARCHAR) ELSE '' END AS gen_words, CASE WHEN k % 2 = 1 THEN CAST(w + 0.5 AS VARCHAR) ELSE '' END AS auth_words, '' AS gen_fk, '' AS auth_fk, '' AS gen_ttr, '' AS auth_ttr, CASE WHEN k % 2 = 1 THEN '0.125' ELSE '' END AS halluc_rate FROM r WHERE k % 10 <> 9""")
 def s10_f55_c15_result_folder(spark, d):
-    """A folder of result documents, one of them unreadable, as one flat table."""
+    """A folder of results of models that stand in for groups of customers, a file for each, every tenth unreadable, as one flat table."""
     path = scratch(spark)
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    sums = orders.groupBy((F.col("o_custkey") % 40).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.when(F.col("o_orderkey") % 4 == 0, 0.0).otherwise(1.0)), 3).alias("a"), F.count_distinct("o_orderstatus").cast("double").alias("w"))
+    even = F.col("k") % 2 == 0
+    outcome = F.struct(F.col("a").alias("accuracy"), F.when(even, F.col("a")).alias("macro_f1"))
+    discourse = F.when(~even, F.struct(F.struct(F.col("w").alias("words")).alias("generated"), F.struct((F.col("w") + 0.5).alias("words")).alias("authentic")))
+    text = F.to_json(F.struct(F.when(even, "predict").otherwise("generation").alias("task"), "n", outcome.alias("outcome"), discourse.alias("discourse"), F.when(~even, F.struct(F.lit(0.125).alias("hallucination_rate"))).alias("citation_hallucination")))
+    broken = F.when(F.col("k") % 10 == 9, "{ no json").otherwise(text)
     jvm = spark.sparkContext._jvm
-    for name, content in RESULTS:
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.json")
+    for row in sums.select(F.concat(F.lit("model"), "k").alias("name"), broken.alias("content")).collect():  # forty at most
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{row['name']}.json")
         stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-        stream.write(bytearray((json.dumps(content) if content else "{ no json").encode()))
+        stream.write(bytearray(row["content"].encode()))
         stream.close()
     return evaluation.flatten_results(readers.read_results(spark, path, evaluation.RESULT_SCHEMA))
 

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quillfold.plans import enrich, literals
 
-LLM = tuple(f"op{n}_" for n in range(1, 11))
+LLM = tuple(f"op{n}_" for n in range(1, 14))
 NAMES = sorted(n for n in entry.oracle_sql() if not n.startswith(LLM) and n != "pipeline")
 
 
@@ -35,6 +36,16 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(literals.LITERALS | enrich.LITERALS))
+def test_literal_rows_match_sql(spark, duck, name):
+    """Rows that hold every branch; the same functions run over the tables above."""
+    run, sql = (literals.LITERALS | enrich.LITERALS)[name]
+    got, want = run(spark), duck.execute(sql)
+    names = [c[0] for c in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert rows(got.columns, got.collect()) == rows(names, want.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
