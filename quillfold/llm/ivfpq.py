@@ -1,16 +1,19 @@
 """Approximate nearest neighbours: inverted lists of coarse centroids with product-quantised residuals.
 
 Coarse centroids and codebooks are fitted at the driver on at most TRAIN_ROWS rows (a documented bound, the first by a hash);
-every row is indexed. A row stands in the lists of its SPILL nearest centroids; in each, its residual is coded by the
+every row is indexed. A row stands in the lists of its nearest centroids (one, two or four); in each, its residual is coded by the
 nearest codeword in each of dim / SUB subspaces. The index holds ids and codes, no vectors.
 
-A query visits the lists of its nearest centroids, a share of all. There its asymmetric distance table (query residual
-against codewords) ranks the codes, and the best `per_list` go on. Over all lists the `rerank` nearest by code are
-fetched by id and ranked again by the exact distance of the original vectors, in double precision.
+A query visits the lists of its nearest centroids. How many, and in how many lists a row stands, is set on the fitted rows: what
+reads the fewest codes among all choices whose lists hold a share `reach` of the true nearest neighbours of TUNE_QUERIES of them.
+On data with structure that is a few lists; where all directions are alike it is most of them. In a list the query's asymmetric
+distance table (query residual against codewords) ranks the codes, and the best `per_list` go on. Over all lists the `rerank` nearest by
+code are fetched by id and ranked again by the exact distance of the original vectors, in double precision. Queries that have met
+fewer than k rows visit four times as many lists, again and again, until they have k or all rows.
 
 Lists of more than LIST_ROWS codes (such as those of one very common vector) are dealt in parts by a hash of the row;
 parts meet queries by co-grouping, queries in blocks of about BLOCK_QUERIES. Only centroids and codebooks are broadcast.
-Equal code distances and equal exact distances go by the smaller id.
+Equal code distances (at each cut) and equal exact distances go by the smaller id.
 
 Defined results: see `vectors.usable` (zero vectors take no part, rows that repeat an id are rows of their own); components are
 scaled by a power of two for the index alone, so that huge ones do not overflow there, while a score beyond double is
@@ -32,9 +35,8 @@ from quillfold.llm.common import materialise
 from quillfold.llm.vectors import matrix, sample, squared_distances, usable
 
 TRAIN_ROWS = 20_000
+TUNE_QUERIES = 256
 MAX_LISTS = 1024
-LEAST_LISTS = 12
-SPILL = 4
 LIST_ROWS = 16_384
 BLOCK_QUERIES = 16_384
 MOST_TASKS = 20_000
@@ -95,79 +97,121 @@ def train(x: np.ndarray, lists: int) -> Index:
     return Index(centres, [kmeans(rest[:, a:b], WORDS, rounds=6) for a, b in cuts], cuts, scale)
 
 
-def search_list(index: Index, which: int, rows: np.ndarray, codes: np.ndarray, q: np.ndarray, own: np.ndarray, per_list: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query rows, candidate rows, code distances) of the nearest codes of one list, for a few queries at a time."""
-    flat = codes.astype(np.int64) + np.arange(len(index.cuts)) * WORDS
+def tune(index: Index, x: np.ndarray, k: int, reach: float) -> tuple[int, int]:
+    """In how many lists a row stands and how many a query visits: the fewest codes by which a share `reach` of the k nearest rows of x is met."""
+    lists = len(index.centres)
+    asked = np.unique(np.linspace(0, len(x) - 1, min(TUNE_QUERIES, len(x))).astype(int))
+    order = index.nearest_lists(x[asked], lists)
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.broadcast_to(np.arange(lists), order.shape), axis=1)
+    scaled = x * index.scale
+    d = squared_distances(scaled[asked], scaled)
+    d[np.arange(len(asked)), asked] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    if not near.size:
+        return 1, lists
+    held = index.nearest_lists(x[near.ravel()], min(4, lists)).reshape(*near.shape, -1)
+    best, least = None, None
+    for spill in (1, 2, 4):
+        if spill <= held.shape[2]:
+            met = np.take_along_axis(rank[:, None, :], held[:, :, :spill], axis=2).min(axis=2)
+            visits = int(np.sort(met.ravel())[min(met.size - 1, int(np.ceil(reach * met.size)))]) + 1
+            if least is None or spill * visits < least:
+                best, least = (spill, visits), spill * visits
+    return best
+
+
+def search_list(index: Index, which: int, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, q: np.ndarray, own: np.ndarray, per_list: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query rows, candidate rows, their ids, code distances) of the nearest codes of one list, of equal ones those with the smaller ids."""
+    order = np.lexsort((rows, ids))
+    rows, ids = rows[order], ids[order]
+    flat = codes[order].astype(np.int64) + np.arange(len(index.cuts)) * WORDS
     for start in range(0, len(q), 64):
         tables = index.tables(q[start : start + 64], which).reshape(-1, len(index.cuts) * WORDS)
         for table, query in zip(tables, own[start : start + 64], strict=True):
             rough = table[flat].sum(1)
             rough[rows == query] = np.inf
-            best = np.argpartition(rough, per_list)[:per_list] if len(rough) > per_list else np.arange(len(rough))
+            if len(rough) > per_list:
+                edge = np.partition(rough, per_list - 1)[per_list - 1]
+                inside = np.flatnonzero(rough < edge)
+                best = np.concatenate((inside, np.flatnonzero(rough == edge)[: per_list - len(inside)]))
+            else:
+                best = np.arange(len(rough))
             best = best[np.isfinite(rough[best])]
-            yield np.full(len(best), query), rows[best], rough[best]
-
+            yield np.full(len(best), query), rows[best], ids[best], rough[best]
 
-def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, probe: float = 0.2, per_list: int = 64, rerank: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row with an id divisible by `every`, the k nearest found.
 
-    probe: the share of the lists that a query visits, at least LEAST_LISTS lists.
-    """
+def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, reach: float = 0.97, per_list: int = 64, rerank: int = 256) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row with an id divisible by `every`, the k nearest found. reach: see tune."""
     vectors = usable(embeddings, nonzero=True)
     n = vectors.count()
     spark = vectors.sparkSession
     if not n:
         return vectors.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "CAST(0 AS DOUBLE) AS score").limit(0)
-    index = train(sample(vectors, TRAIN_ROWS), max(1, min(MAX_LISTS, round(n**0.5))))
+    fitted = sample(vectors, TRAIN_ROWS)
+    index = train(fitted, max(1, min(MAX_LISTS, round(n**0.5))))
     lists = len(index.centres)
-    probes = min(lists, max(LEAST_LISTS, round(probe * lists)))
+    spill, probes = tune(index, fitted, k, reach)
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if part.num_rows:
-                x = matrix(part.column(1).to_pylist())
-                for lists_ in shared.value.nearest_lists(x, min(SPILL, lists)).T:
+                x = matrix(part.column(2).to_pylist())
+                for lists_ in shared.value.nearest_lists(x, spill).T:
                     codes = shared.value.encode(x, lists_)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists_.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "list", "code"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists_.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "vec_id", "list", "code"])
 
-    coded = materialise(vectors.select("row", "vec").mapInArrow(encode, "row long, list int, code binary"))
+    coded = materialise(vectors.select("row", "vec_id", "vec").mapInArrow(encode, "row long, vec_id long, list int, code binary"))
     sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_LISTS rows at most
     parts = [max(1, -(-sizes.get(i, 0) // LIST_ROWS)) for i in range(lists)]
     of_list = F.broadcast(spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "list int, parts int"))
-    blocks = max(1, -(-n // (every * BLOCK_QUERIES)))
-
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if not part.num_rows:
-                continue
-            near = shared.value.nearest_lists(matrix(part.column(1).to_pylist()), probes)
-            for i in range(part.num_rows):
-                goes = [(int(w), p) for w in near[i] for p in range(parts[w]) if sizes.get(int(w))]
-                take = pa.array(np.full(len(goes), i, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array([w for w, _ in goes], pa.int32()), pa.array([p for _, p in goes], pa.int32())], names=["query", "vec", "list", "part"])
-
     asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = asked.select("row", "vec").mapInArrow(visit, "query long, vec binary, list int, part int").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    codes = coded.join(of_list, "list").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
-    codes = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            found = list(search_list(shared.value, int(key[0]), left["row"].to_numpy(), matrix(left["code"], np.uint8), matrix(right["vec"]), right["query"].to_numpy(), per_list))
-        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, dtype=np.int64)] * 2 + [np.empty(0)]
-        return pd.DataFrame(dict(zip(("query", "row", "rough"), columns, strict=True)))
-
-    keys = ["list", "part", "block"]
-    # Given as a number, so that tasks with little data and much to compute are not merged.
-    tasks = min(MOST_TASKS, -(-blocks * sum(parts) // 4))
-    rough = codes.repartition(tasks, *keys).groupBy(*keys).cogroup(queries.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(run, "query long, row long, rough double")
-    # A row that several lists hold counts once, by its best code; dealt by the query, both steps need one shuffle.
-    once = rough.repartition("query").groupBy("query", "row").agg(F.min("rough").alias("rough"))
-    at = F.row_number().over(Window.partitionBy("query").orderBy("rough", "row"))
-    finalists = once.withColumn("at", at).where(F.col("at") <= rerank).select("query", "row")
-    pairs = finalists.join(vectors, "row").join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query")
+    cut_codes = coded.join(of_list, "list").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+
+    def search(queries: DataFrame, first: int, last: int) -> DataFrame:
+        """query, row, vec_id, rough: the best of the lists that stand at the places first to last of each query."""
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                if not part.num_rows:
+                    continue
+                near = shared.value.nearest_lists(matrix(part.column(1).to_pylist()), last)[:, first:]
+                for i in range(part.num_rows):
+                    goes = [(int(w), p) for w in near[i] for p in range(parts[w]) if sizes.get(int(w))]
+                    take = pa.array(np.full(len(goes), i, dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array([w for w, _ in goes], pa.int32()), pa.array([p for _, p in goes], pa.int32())], names=["query", "vec", "list", "part"])
+
+        def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            found = []
+            if len(left) and len(right):
+                found = list(search_list(shared.value, int(key[0]), left["row"].to_numpy(), left["vec_id"].to_numpy(), matrix(left["code"], np.uint8), matrix(right["vec"]), right["query"].to_numpy(), per_list))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, dtype=np.int64)] * 3 + [np.empty(0)]
+            return pd.DataFrame(dict(zip(("query", "row", "vec_id", "rough"), columns, strict=True)))
+
+        blocks = max(1, -(-n // (every * BLOCK_QUERIES)))
+        dealt = queries.select("row", "vec").mapInArrow(visit, "query long, vec binary, list int, part int").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+        codes = cut_codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        keys = ["list", "part", "block"]
+        # Given as a number, so that tasks with little data and much to compute are not merged.
+        tasks = min(MOST_TASKS, -(-blocks * sum(parts) // 4))
+        return codes.repartition(tasks, *keys).groupBy(*keys).cogroup(dealt.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(run, "query long, row long, vec_id long, rough double")
+
+    def finalists(rough: DataFrame) -> DataFrame:
+        # A row that several lists hold counts once, by its best code; dealt by the query, both steps need one shuffle.
+        once = rough.repartition("query").groupBy("query", "row", "vec_id").agg(F.min("rough").alias("rough"))
+        at = F.row_number().over(Window.partitionBy("query").orderBy("rough", "vec_id", "row"))
+        return once.withColumn("at", at).where(F.col("at") <= rerank).drop("at")
+
+    found = materialise(finalists(search(asked, 0, probes)))
+    while probes < lists:
+        full = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n - 1))
+        short = asked.join(full.select(F.col("query").alias("row")), "row", "left_anti")
+        if short.isEmpty():
+            break
+        more = min(lists, 4 * probes)
+        found, probes = materialise(finalists(found.unionByName(search(short, probes, more)))), more
+    pairs = found.select("query", "row").join(vectors, "row").join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
