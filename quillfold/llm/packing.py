@@ -114,7 +114,8 @@ def pack_documents(docs: DataFrame, rank_file: bytes, pattern: str, row_tokens:
                 out = []
         yield pd.DataFrame(out, columns=names)
 
-    dealt = docs.where("length(text) > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
+    # Dealt by the row's number too, so that copies of one row are spread over all shards.
+    dealt = docs.where("length(text) > 0").withColumn("row", F.monotonically_increasing_id()).select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandas(run, schema)
 
 
