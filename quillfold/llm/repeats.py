@@ -19,8 +19,8 @@ context: the bytes from LENGTH - GRAM before it to LENGTH after its start. So:
 3. A list of more than MAX_LIST contexts (at the edge of a passage in very many documents) is not gathered: each
    of its windows becomes a row by itself, under a 128-bit hash, and step 1 finds the repeated ones by streaming.
 
-`repeat_groups` gives the groups themselves, with every occurrence. A repeat longer than a context stands in several groups,
-one for each of its anchors.
+`repeat_groups` gives the groups themselves, with every occurrence, whatever the size of a list. A repeat longer than a context stands
+in several groups, one for each of its anchors.
 
 All lists are streams over sorted partitions that hold at most MAX_LIST contexts in memory. Nothing is collected at the driver.
 
@@ -386,28 +386,164 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return spans
 
 
+class _Walk:
+    """A stack scan of one window's sorted occurrences as they come: common-prefix intervals with what stands to their left.
+
+    The stack holds an interval for each depth at most; members are told by their places, so none is held.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[list] = []  # depth, first place, the byte to the left of all (None: several)
+        self.n, self.last, self.left = 0, b"", None
+        self.found: list[tuple[int, int, int]] = []
+
+    def _close(self, depth: int) -> tuple[int, int | None]:
+        first, left = self.n - 1, self.left
+        while self.stack and self.stack[-1][0] > depth:
+            deep, first, held = self.stack.pop()
+            left = held if held == left else None
+            if left is None:
+                self.found.append((deep, first, self.n - 1))
+        return first, left
+
+    def add(self, after: bytes, left: int | None) -> None:
+        if self.n:
+            depth = _shared(self.last, after)
+            first, held = self._close(depth)
+            if self.stack and self.stack[-1][0] == depth:
+                self.stack[-1][2] = held if held == self.stack[-1][2] else None
+            else:
+                self.stack.append([depth, first, held])
+        self.n, self.last, self.left = self.n + 1, after, left
+
+    def intervals(self) -> list[tuple[int, int, int]]:
+        """(depth, first, last) of those closed since, whose members differ to the left."""
+        found, self.found = self.found, []
+        return found
+
+    def end(self) -> list[tuple[int, int, int]]:
+        self._close(-1)
+        return self.intervals()
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    most = min(len(a), len(b))
+    if a[:most] == b[:most]:
+        return most
+    low, high = 0, most
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if a[:middle] == b[:middle] else (low, middle)
+    return low
+
+
+def _anchor_of(data: np.ndarray) -> np.ndarray:
+    """For each window of LENGTH bytes the place of its anchor: the first gram with the least hash."""
+    if len(data) < LENGTH:
+        return np.empty(0, dtype=np.int64)
+    grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(data), LENGTH - GRAM + 1)
+    return grams.argmin(axis=1) + np.arange(len(grams))
+
+
+#: Members of a window that stand together when intervals ask for theirs.
+PART = 1024
+
+
+def _crowded_groups(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The groups of lists of any size: of each window of LENGTH bytes, the repeats that begin with it.
+
+    A repeat is found at the window it begins with: among the occurrences of that window, sorted by what follows up to the anchor's
+    reach, it is an interval whose members differ to the left, or whose window is the first one with this anchor. So a window's occurrences
+    stream by once, and intervals and members meet by window and place.
+    """
+    lists = wanted.groupBy("doc_id").agg(F.collect_list("place").alias("found"))
+    rows = docs.where("doc_id IS NOT NULL").join(lists, "doc_id").dropDuplicates(["doc_id"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (*(pa.int64(),) * 4, pa.int32(), pa.binary())
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["w1", "w2", "doc_id", "start", "left", "after"])
+
+        for part in batches:
+            out, size = [], 0
+            for doc_id, text, found in zip(part.column(0).to_pylist(), part.column(1), part.column(2), strict=True):
+                data = (text.as_py() or "").encode()
+                for place in found.as_py():
+                    at, before, end = place >> 16, place >> 8 & 255, (place >> 16) + (place & 255)
+                    low = max(0, at - before - 1)
+                    of = low + _anchor_of(np.frombuffer(data[low:end], dtype=np.uint8))
+                    for start in (np.flatnonzero(of == at) + low).tolist():
+                        key = hashlib.blake2b(data[start : start + LENGTH], digest_size=16).digest()
+                        # None where the window before has another anchor, or there is none: as for members that differ.
+                        left = data[start - 1] if start > low and of[start - 1 - low] == at else None
+                        out.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), doc_id, start, left, data[start + LENGTH : end]))
+                        size += end - start - LENGTH + 40
+                    if size > FLUSH_BYTES:
+                        yield batch(out)
+                        out, size = [], 0
+            if out:
+                yield batch(out)
+
+    windows = rows.select("doc_id", "text", "found").mapInArrow(cut, "w1 long, w2 long, doc_id long, start long, left int, after binary")
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), *(pa.int64(),) * 5)
+        now, walker = None, None
+
+        def batch(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["kind", "w1", "w2", "x", "y", "z"])
+
+        for part in batches:
+            out = []
+            for w1, w2, doc_id, start, left, after in zip(*(part.column(k).to_pylist() for k in range(6)), strict=True):
+                if (w1, w2) != now:
+                    if now:
+                        out += [(1, *now, *i) for i in walker.end()]
+                    now, walker = (w1, w2), _Walk()
+                out.append((0, w1, w2, doc_id, start, walker.n))
+                walker.add(after, left)
+                out += [(1, w1, w2, *i) for i in walker.intervals()]
+            if out:
+                yield batch(out)
+        if now and (rest := walker.end()):
+            yield batch([(1, *now, *i) for i in rest])
+
+    dealt = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "after", "doc_id", "start")
+    walked = materialise(dealt.mapInArrow(walk, "kind int, w1 long, w2 long, x long, y long, z long"))
+    members = walked.where("kind = 0").select("w1", "w2", F.col("x").alias("doc_id"), F.col("y").alias("start"), F.col("z").alias("at"), F.floor(F.col("z") / PART).alias("part"))
+    found = walked.where("kind = 1").select("w1", "w2", F.col("x").alias("depth"), F.col("y").alias("first"), F.col("z").alias("last"))
+    asked = found.withColumn("part", F.explode(F.sequence(F.floor(F.col("first") / PART), F.floor(F.col("last") / PART))))
+    joined = asked.join(members, ["w1", "w2", "part"]).where(F.col("at").between(F.col("first"), F.col("last")))
+    return joined.select(F.xxhash64("w1", "w2", "depth").alias("h"), F.col("first").alias("group_no"), "doc_id", "start", (F.col("start") + LENGTH + F.col("depth")).alias("end"))
+
+
 def repeat_groups(docs: DataFrame) -> DataFrame:
     """h, group_no, doc_id, start, end: the maximal repeats of LENGTH bytes or more around each anchor, one row for each occurrence.
 
-    All occurrences of a gram stand in its list, equal contexts too; the interval tree groups them. Windows of lists of more than
-    MAX_LIST occurrences are not grouped here: `remove_repeats` finds what they repeat.
+    All occurrences of a gram stand in its list, equal contexts too; the interval trees group them. Lists of more than MAX_LIST occurrences
+    are not gathered: their repeats are found window by window (`_crowded_groups`), where occurrences stream by.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = scan_lists(anchor_rows(plain, combined=False), all_occurrences=True).where(F.col("kind") == OPEN)
-    contexts = fetch_contexts(plain, scanned).where(F.col("kind") == OPEN)
+    scanned = materialise(scan_lists(anchor_rows(plain, combined=False), all_occurrences=True))
+    contexts = fetch_contexts(plain, scanned.where(F.col("kind") == OPEN))
 
     def groups(h: np.ndarray, doc_id: np.ndarray, place: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
         out = []
         starts = np.append(np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))), len(h))
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            found = maximal_repeats(data[s:e], (place[s:e] >> 8 & 255).tolist())
-            for n, (left, right, members) in enumerate(found):
+            before = (place[s:e] >> 8 & 255).tolist()
+            for n, (left, right, members) in enumerate(maximal_repeats(data[s:e], before)):
+                # Wherever the repeat stands this must be an anchor: of one of its own windows.
+                own = np.frombuffer(data[s + members[0]], dtype=np.uint8)[before[members[0]] - left : before[members[0]] + right]
+                if not (_anchor_of(own) == left).any():
+                    continue
                 at = place[s:e][members] >> 16
                 out += [(int(h[s]), n, int(d), int(a) - left, int(a) + right) for d, a in zip(doc_id[s:e][members], at, strict=True)]
         columns = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), *[pa.int64()] * 3), strict=True)], names=["h", "group_no", "doc_id", "start", "end"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "group_no", "doc_id", "start", "end"])
 
-    return _whole_lists(contexts, groups, "h long, group_no int, doc_id long, start long, end long")
+    found = _whole_lists(contexts, groups, "h long, group_no long, doc_id long, start long, end long")
+    return found.unionByName(_crowded_groups(plain, scanned.where(F.col("kind") == CROWDED)))
 
 
 def _numbered(plain: DataFrame) -> DataFrame | None:

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillfold.llm import bpe, ivfpq, jaccard, langid, mixing, mtree, packing, repeats, toolcalls, toxicity
 from quillfold.llm.components import components
@@ -98,6 +99,14 @@ def test_packing_is_lossless_and_tight(spark):
     assert held == {1: 2, None: 2, 2: 1}
 
 
+def test_packing_spreads_copies_of_one_row(spark):
+    """20,000 copies of a row: no shard holds many more than its share, and none is lost."""
+    ranks, pattern = public_ranks()
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same few words again and again").alias("text"), F.lit(1).alias("shard"), F.lit("x").alias("row"))
+    rows = packing.pack_documents(df, ranks, pattern, row_tokens=64, shard_bytes=20_000).select("shard", F.size("doc_ids").alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    assert sum(r.n for r in rows) == 20_000 and len(rows) >= 30 and max(r.n for r in rows) < 2 * 20_000 / len(rows)
+
+
 def test_packing_query_returns_the_matrices(spark, sf_dir, tmp_path):
     from quillfold.llm.queries import QUERIES
 
@@ -256,6 +265,31 @@ def test_repeat_groups_hold_all_occurrences(spark):
     assert any({d for d, _, _ in p} == {0, 1, 2, 3, 5} for p in found.values())
 
 
+@pytest.mark.parametrize("most", [2, 1 << 15])
+def test_groups_of_lists_of_any_size(spark, monkeypatch, most):
+    """All occurrences of each group, and together just the bytes that are removed; with MAX_LIST at 2 nearly all lists go by windows."""
+    monkeypatch.setattr(repeats, "MAX_LIST", most)
+    monkeypatch.setattr(repeats, "PART", 3)
+    rng = random.Random(12)
+    passages = [prose(rng, n) for n in (25, 40, 90)]
+    texts = [(i, prose(rng, 15) + "".join(rng.choice(passages) + prose(rng, rng.randint(0, 3)) for _ in range(rng.randint(0, 3))) + prose(rng, 15)) for i in range(30)]
+    texts += [(30, passages[2]), (31, passages[0][:50] + passages[1]), (32, "ab" * 150), (33, "x" + "ab" * 80), (34, ""), (35, None), (36, "é" * 120), (37, "é" * 120)]
+    data = {i: (t or "").encode() for i, t in texts}
+    found = collections.defaultdict(set)
+    for r in repeats.repeat_groups(frame(spark, texts)).collect():
+        found[r.h, r.group_no].add((r.doc_id, r.start, r.end))
+    gone = collections.defaultdict(set)
+    for places in found.values():
+        pieces = {data[d][a:b] for d, a, b in places}
+        assert len(pieces) == 1 and len(places) >= 2
+        piece = next(iter(pieces))
+        assert {(d, a) for d, a, _ in places} == {(d, s) for d, t in data.items() for s in range(len(t)) if t.startswith(piece, s)}
+        for d, a, b in sorted(places)[1:]:
+            gone[d] |= set(range(a, b))
+    want = {r.doc_id: {x for s in r.spans for x in range(s.start, s.end)} for r in repeats.remove_repeats(frame(spark, texts)).collect()}
+    assert {d: v for d, v in want.items() if v} == dict(gone)
+
+
 def test_long_texts_have_the_same_anchors(monkeypatch):
     data = np.frombuffer(prose(random.Random(2), 4000).encode(), dtype=np.uint8)
     whole = repeats.anchors(data, np.array([0, len(data)]))
@@ -355,6 +389,46 @@ def test_ivfpq_recall_on_the_table(spark, sf):
     assert sum(hits) / (10 * len(hits)) >= 0.9
 
 
+def test_ivfpq_takes_the_smaller_ids_of_a_thousand_copies(spark):
+    """Each of the copies that asks gets the smallest ids of the others, and the rest gets its own neighbours."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.tile(rng.normal(size=(1, 16)), (1000, 1)), rng.normal(size=(600, 16))])
+    order = rng.permutation(1600)
+    rows = [(int(i), x[i].tolist(), 0) for i in order]
+    got = collections.defaultdict(dict)
+    for r in ivfpq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").withColumn("row", F.lit(1)).withColumn("vec", F.lit(2)).withColumn("score", F.lit(3)).repartition(7)).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    for q in range(0, 1000, 100):
+        assert [got[q][k] for k in range(1, 11)] == [(i, 0.0) for i in range(11) if i != q][:10]
+    hits = 0
+    for q in range(1000, 1600, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({i for i, _ in got[q].values()} & set(np.lexsort((np.arange(1600), d))[:10].tolist()))
+    assert hits >= 54
+
+
+def test_ivfpq_goes_on_until_k_are_found(spark):
+    """Lists of a few rows each: a query's own list holds fewer than k."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 2)) * 3
+    found = collections.Counter(r.query_id for r in ivfpq.nearest(vectors(spark, x), every=40, k=60, reach=0.0).collect())
+    assert found == {q: 60 for q in range(0, 400, 40)}
+    assert {r.query_id: 1 for r in ivfpq.nearest(vectors(spark, x[:2]), every=1).collect()} == {0: 1, 1: 1}
+
+
+def test_ivfpq_visits_few_lists_where_there_is_structure():
+    rng = np.random.default_rng(7)
+    tight = np.vstack([rng.normal(c, 0.05, size=(100, 16)) for c in rng.normal(size=(40, 16))])
+    loose = rng.normal(size=(4000, 64))
+    read = {}
+    for name, x in (("tight", tight), ("loose", loose)):
+        index = ivfpq.train(x, 63)
+        spill, probes = ivfpq.tune(index, x, 10, 0.98)
+        read[name] = spill * probes / len(index.centres)
+    assert read["tight"] < 0.2 < read["loose"]
+
+
 def test_poisson_mixing(spark):
     texts = [(i, "word " * 10) for i in range(3000)]
     sources = {i: None if i < 10 else "hot" if i < 2000 else "cold" for i in range(3000)}
