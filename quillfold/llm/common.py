@@ -49,6 +49,19 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows of a batch that goes to a Python worker, at most: with long texts a batch is what a worker and its buffers hold at once.
+BATCH_ROWS = 2_000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends BATCH_ROWS rows at a time to Python workers, or as many as it was set to where that is fewer."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
 def crc32_mod(column, modulus: int):
     """crc32 of an id written as text, modulo a number of folds."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
