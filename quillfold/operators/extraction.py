@@ -9,13 +9,14 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfold.functions.columns import DISPOSITIONS, PARTIES, clamp_enum, head_and_tail, tolerant_json
-from quillfold.operators.relational import latest_of
+from quillfold.operators.relational import cut_lineage, latest_of
 from quillfold.operators.reports import pending
 
 ANSWER = "issue_text string, facts string, disposition string, prevailing_party string"
@@ -29,8 +30,8 @@ def stub(body: str) -> str:
     return json.dumps({"issue_text": " ".join(words[:12]), "facts": " ".join(words[12:40]), "disposition": outcome, "prevailing_party": "unclear"})
 
 
-def ask(rows: DataFrame, row_id: str, body: str, extractor: Callable[[str], str], attempts: int = 4, wait: float = 1.0) -> DataFrame:
-    """row_id and answer (text, null where every attempt failed) for each row."""
+def ask(rows: DataFrame, row_id: str, body: str, extractor: Callable[[str], str], attempts: int = 4, wait: float = 1.0, threads: int = 8) -> DataFrame:
+    """row_id and answer (text, null where every attempt failed) for each row; a task has `threads` questions open at a time, each waiting for itself."""
     kind = rows.schema[row_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,8 +43,9 @@ def ask(rows: DataFrame, row_id: str, body: str, extractor: Callable[[str], str]
                     time.sleep(wait * (attempt + 1) if attempt + 1 < attempts else 0)
             return None
 
-        for part in batches:
-            yield pd.DataFrame({row_id: part[row_id], "answer": [one(t) for t in part[body]]})
+        with ThreadPoolExecutor(threads) as pool:
+            for part in batches:
+                yield pd.DataFrame({row_id: part[row_id], "answer": list(pool.map(one, part[body]))})
 
     return rows.select(row_id, body).mapInPandas(run, f"`{row_id}` {kind}, answer string")
 
@@ -68,12 +70,15 @@ def apply_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def enrich_fields(rows: DataFrame, extractor: Callable[[str], str] = stub, cache: DataFrame | None = None, limit: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(rows with their fields, the new answers to append to the cache): only rows that lack fields and have no cached answer are asked."""
+    """(rows with their fields, the new answers to append to the cache): only rows that lack fields and have no cached answer are asked.
+
+    Answers are written down as they come back, so that both results read them and nothing is asked twice.
+    """
     open_ = pending(rows.select("cluster_id", "opinion_text", *[c if c in rows.columns else F.lit("").alias(c) for c in ("issue_text", "facts")]))
     if cache is not None:
         open_ = open_.join(cache.select("cluster_id"), "cluster_id", "left_anti")
     open_ = open_.orderBy("cluster_id").limit(limit) if limit else open_
-    asked = ask(open_.withColumn("body", head_and_tail(F.coalesce("opinion_text", F.lit("")))), "cluster_id", "body", extractor)
+    asked = cut_lineage(ask(open_.withColumn("body", head_and_tail(F.coalesce("opinion_text", F.lit("")))), "cluster_id", "body", extractor))
     known = asked if cache is None else asked.unionByName(cache.select("cluster_id", "answer"))
     return apply_answers(rows, known.dropDuplicates(["cluster_id"])), asked
 

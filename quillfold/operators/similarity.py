@@ -1,8 +1,10 @@
 """Pairs of similar sets inside blocks, without comparing all pairs of a block.
 
-A set's shingles stand rarest first. Two sets of n and m with Jaccard >= t share a shingle among the first
-n - ceil(t n) + 1 of one and the first m - ceil(t m) + 1 of the other, so only these are indexed, by block and
-shingle: a large block is dealt over as many keys as it has shingles. Shingles of a single set are not indexed at all.
+In any one order of all shingles, two sets of n and m with Jaccard >= t share a shingle among the first n - ceil(t n) + 1 of one
+and the first m - ceil(t m) + 1 of the other, so only these are indexed, by block, size and shingle: a large block is dealt over as
+many keys as it has shingles, and sets meet only where their sizes allow it. The order is that of the hashes, with shingles that are common in
+a sample of the sets last: the sample decides how fast it goes, not what is found. So prefixes are cut out where the sets lie; no
+shingle is counted over all sets, and sets alone in their blocks are not indexed at all.
 """
 
 from __future__ import annotations
@@ -10,7 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillfold.operators.relational import cut_lineage
+from quillfold.operators.relational import beside, cut_lineage
+
+#: Sets that are looked at for common shingles, and how many of these are put last.
+SAMPLE_SETS, COMMON = 2000, 1000
 
 
 def hashed(grams: Column) -> Column:
@@ -18,25 +23,37 @@ def hashed(grams: Column) -> Column:
     return F.transform(grams, lambda g: F.xxhash64(g))
 
 
-def ranked(sets: DataFrame) -> DataFrame:
-    """id, n, alone (shingles of this set only) and r (the others, rarest first) of sets (id, s: array<long>)."""
-    rows = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return rows.join(shared, "h").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r")).select("id", "n", (F.col("n") - F.size("r")).alias("alone"), F.col("r.h").alias("r"))
+def common_shingles(sets: DataFrame) -> DataFrame:
+    """One row: the shingles of at least 1 % of a sample of SAMPLE_SETS sets or so, COMMON at most."""
+    some = max(1, sets.count() // SAMPLE_SETS)
+    rows = sets.where(F.pmod(F.xxhash64("id"), F.lit(some)) == 0).select(F.explode("s").alias("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SAMPLE_SETS // 100)
+    return counts.orderBy(F.desc("n"), "h").limit(COMMON).agg(F.collect_list("h").alias("_common"))
 
 
 def similar_pairs(sets: DataFrame, blocks: DataFrame, keys: list[str], may: Column | None = None) -> DataFrame:
     """a, b, *keys, similarity of the pairs a < b that share a block and reach its threshold.
 
     sets: id, s (distinct shingles, array<long>), one row for each id. blocks: id, *keys, least (the block's
-    threshold), and what `may` needs: a condition over columns prefixed a_ and b_ of blocks.
+    threshold), and what `may` needs: a condition over columns prefixed a_ and b_ of blocks, the same either way round.
     """
     more = [c for c in blocks.columns if c not in ("id", "least", *keys)]
-    first = F.greatest(F.col("n") - F.ceil(F.col("least") * F.col("n")) + 1 - F.col("alone"), F.lit(0)).cast("int")
-    posted = blocks.join(ranked(sets), "id").select("id", *keys, *more, "least", "n", F.explode(F.slice("r", F.lit(1), first)).alias("h"))
-    side = lambda p: posted.select(*keys, "h", *([] if p == "b" else ["least"]), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "n", *more)])
-    met = side("a").join(side("b"), [*keys, "h"]).where("a_id < b_id AND least(a_n, b_n) >= least * greatest(a_n, b_n)")
-    met = (met if may is None else met.where(may)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), *keys, "least").distinct()
+    several = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows")
+    asked = blocks.join(several, keys, "left_semi")
+    # A set's prefix for its least threshold holds those for all others.
+    needed = asked.groupBy("id").agg(F.min("least").alias("_floor"))
+    ordered = F.concat(F.array_sort(F.array_except("s", "_common")), F.array_sort(F.array_intersect("s", "_common")))
+    first = lambda least: (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")
+    cut = beside(sets.join(needed, "id").withColumn("n", F.size("s")), common_shingles(sets)).select("id", "n", F.slice(ordered, F.lit(1), first(F.col("_floor"))).alias("r"))
+    posted = asked.join(cut, "id").select("id", *keys, *more, "least", "n", F.explode(F.slice("r", F.lit(1), first(F.col("least")))).alias("h"))
+    # Sizes by powers of the threshold: sets that may be similar lie in one class, or in two neighbouring ones.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.col("least").cast("double")) - 1e-9).cast("int")
+    posted = posted.withColumn("_size", size_class)
+    own_or_next = F.explode(F.array(F.struct(F.col("_size").alias("size"), F.lit(False).alias("up")), F.struct((F.col("_size") + 1).alias("size"), F.lit(True).alias("up")))).alias("_c")
+    a = posted.select(*keys, "h", "least", own_or_next, *[F.col(c).alias(f"a_{c}") for c in ("id", "n", *more)]).withColumns({"_size": F.col("_c.size"), "_up": F.col("_c.up")}).drop("_c")
+    b = posted.select(*keys, "h", "_size", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", *more)])
+    met = a.join(b, [*keys, "h", "_size"]).where("(_up OR a_id < b_id) AND least(a_n, b_n) >= least * greatest(a_n, b_n)")
+    met = (met if may is None else met.where(may)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), *keys, "least").distinct()
     met = cut_lineage(met)
     of = lambda p: sets.select(F.col("id").alias(p), F.col("s").alias(f"s_{p}"))
     shared = F.size(F.array_intersect("s_a", "s_b"))

@@ -49,3 +49,27 @@ def test_ingest_reads_no_output(spark, tmp_path):
             ingest.ingest_once(spark, path["in"], path["out"], path["state"], "k")
     rows = spark.read.parquet(path["out"]).collect()
     assert sorted(r["k"] for r in rows) == list(range(2000)) and {r["n"] for r in rows if r["k"] < 1000} == {0}
+
+
+def test_questions_are_asked_once_and_at_the_same_time(spark, tmp_path):
+    """A slow service: questions of a task wait side by side, a failing one tries again, and both results read the same answers."""
+    import time
+
+    from quillfold.operators import extraction
+
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def slow(text):
+        name = text.split()[-1]
+        (log / f"{name}-{time.time_ns()}").write_text("")
+        time.sleep(0.2)
+        if int(name) % 10 == 0 and len(list(log.glob(f"{name}-*"))) < 2:
+            raise OSError("busy")
+        return extraction.stub(text)
+
+    rows = spark.createDataFrame([(i, f"some words of case {i}", "", "") for i in range(1, 33)], "cluster_id long, opinion_text string, facts string, issue_text string").coalesce(1)
+    began = time.time()
+    done, asked = extraction.enrich_fields(rows, slow)
+    assert done.where("issue_text <> ''").count() == 32 and asked.where("answer IS NOT NULL").count() == 32
+    assert len(list(log.iterdir())) == 32 + 3 and time.time() - began < 32 * 0.2 + 5
