@@ -35,7 +35,7 @@ def similar_pairs(sets: DataFrame, blocks: DataFrame, keys: list[str], may: Colu
     """a, b, *keys, similarity of the pairs a < b that share a block and reach its threshold.
 
     sets: id, s (distinct shingles, array<long>), one row for each id. blocks: id, *keys, least (the block's
-    threshold), and what `may` needs: a condition over columns prefixed a_ and b_ of blocks, the same either way round.
+    threshold; rows of different thresholds do not meet), and what `may` needs: a condition over columns prefixed a_ and b_ of blocks, the same either way round.
     """
     more = [c for c in blocks.columns if c not in ("id", "least", *keys)]
     several = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows")
@@ -51,8 +51,8 @@ def similar_pairs(sets: DataFrame, blocks: DataFrame, keys: list[str], may: Colu
     posted = posted.withColumn("_size", size_class)
     own_or_next = F.explode(F.array(F.struct(F.col("_size").alias("size"), F.lit(False).alias("up")), F.struct((F.col("_size") + 1).alias("size"), F.lit(True).alias("up")))).alias("_c")
     a = posted.select(*keys, "h", "least", own_or_next, *[F.col(c).alias(f"a_{c}") for c in ("id", "n", *more)]).withColumns({"_size": F.col("_c.size"), "_up": F.col("_c.up")}).drop("_c")
-    b = posted.select(*keys, "h", "_size", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", *more)])
-    met = a.join(b, [*keys, "h", "_size"]).where("(_up OR a_id < b_id) AND least(a_n, b_n) >= least * greatest(a_n, b_n)")
+    b = posted.select(*keys, "h", "least", "_size", *[F.col(c).alias(f"b_{c}") for c in ("id", "n", *more)])
+    met = a.join(b, [*keys, "h", "least", "_size"]).where("(_up OR a_id < b_id) AND least(a_n, b_n) >= least * greatest(a_n, b_n)")
     met = (met if may is None else met.where(may)).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), *keys, "least").distinct()
     met = cut_lineage(met)
     of = lambda p: sets.select(F.col("id").alias(p), F.col("s").alias(f"s_{p}"))
