@@ -1,23 +1,25 @@
-"""Approximate nearest neighbours: inverted lists of coarse centroids with product-quantised residuals.
+"""Nearest neighbours: inverted lists of coarse centroids with product-quantised residuals, and bounds that make the answer exact.
 
 Coarse centroids and codebooks are fitted at the driver on at most TRAIN_ROWS rows (a documented bound, the first by a hash);
-every row is indexed. A row stands in the lists of its nearest centroids (one, two or four); in each, its residual is coded by the
-nearest codeword in each of dim / SUB subspaces. The index holds ids and codes, no vectors.
+every row is indexed. A row stands in the list of its nearest centroid, its residual coded by the nearest codeword in each
+of dim / SUB subspaces, with the distance between the row and what its code stands for (`err`), and the vector.
 
-A query visits the lists of its nearest centroids. How many, and in how many lists a row stands, is set on the fitted rows: what
-reads the fewest codes among all choices whose lists hold a share `reach` of the true nearest neighbours of TUNE_QUERIES of them.
-On data with structure that is a few lists; where all directions are alike it is most of them. In a list the query's asymmetric
-distance table (query residual against codewords) ranks the codes, and the best `per_list` go on. Over all lists the `rerank` nearest by
-code are fetched by id and ranked again by the exact distance of the original vectors, in double precision. Queries that have met
-fewer than k rows visit four times as many lists, again and again, until they have k or all rows.
+A query visits the lists of its nearest centroids first; how many is set on the fitted rows (see `tune`). In a list the query's
+asymmetric distance table (query residual against codewords) gives each row's distance to within `err`: rows that
+cannot be among the k nearest by that are left out, the others are ranked by the exact distance of the original vectors. The k-th of these
+distances bounds what is still to be found: the query then visits each further list whose centroid and radius do not rule it out.
+So neighbours are never lost, whatever the rows are like: the fit decides only how much is read. On data with structure that
+is a few lists and few exact distances; where all directions are alike it is most lists.
 
-Lists of more than LIST_ROWS codes (such as those of one very common vector) are dealt in parts by a hash of the row;
+Lists of more than LIST_ROWS rows (such as those of one very common vector) are dealt in parts by a hash of the row;
 parts meet queries by co-grouping, queries in blocks of about BLOCK_QUERIES. Only centroids and codebooks are broadcast.
-Equal code distances (at each cut) and equal exact distances go by the smaller id.
+Equal distances go by the smaller id at each cut.
 
-Defined results: see `vectors.usable` (zero vectors take no part, rows that repeat an id are rows of their own); components are
-scaled by a power of two for the index alone, so that huge ones do not overflow there, while a score beyond double is
-infinite; fewer candidates than k give fewer rows; an empty table gives none; further columns are ignored.
+Bounds are taken of vectors that are shifted by their mean, scaled by a power of two that brings the median to about one, and held between
+-CLIP and CLIP, which brings no two of them farther apart; they are lowered by more than rounding can add (SLACK).
+
+Defined results: see `vectors.usable` (zero vectors take no part, rows that repeat an id are rows of their own); a score
+beyond double is infinite; fewer candidates than k give fewer rows; an empty table gives none; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BLOCK_QUERIES = 16_384
 MOST_TASKS = 20_000
 SUB = 4
 WORDS = 256
+#: Largest component of scaled vectors, and what bounds give way by, as a share of the lengths that they come from.
+CLIP, SLACK = 2.0**100, 1e-6
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -67,20 +71,27 @@ class Index:
     books: list[np.ndarray]
     cuts: list[tuple[int, int]]
     scale: float
+    shift: np.ndarray
+
+    def placed(self, x: np.ndarray) -> np.ndarray:
+        """Shifted, scaled and held, so that no two rows are farther apart than before (times the scale)."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.clip((x * 0.5 - self.shift * 0.5) * self.scale * 2.0, -CLIP, CLIP)
 
     def nearest_lists(self, x: np.ndarray, n: int) -> np.ndarray:
-        d = squared_distances(x * self.scale, self.centres)
+        d = squared_distances(self.placed(x), self.centres)
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
-    def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        """Codes of each row's residual in the list given for it."""
-        rest = x * self.scale - self.centres[lists]
+    def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of each row's residual in the list given for it, the distance to what they stand for, and that to the centroid."""
+        rest = self.placed(x) - self.centres[lists]
         codes = [squared_distances(rest[:, a:b], book).argmin(1) for (a, b), book in zip(self.cuts, self.books, strict=True)]
-        return np.stack(codes, axis=1).astype(np.uint8)
+        meant = np.concatenate([book[c] for c, book in zip(codes, self.books, strict=True)], axis=1)
+        return np.stack(codes, axis=1).astype(np.uint8), np.sqrt(((rest - meant) ** 2).sum(1)), np.sqrt((rest**2).sum(1))
 
     def tables(self, q: np.ndarray, which: int) -> np.ndarray:
         """Squared distances of each query's residual to every codeword: (queries, subspaces, words)."""
-        rest = q * self.scale - self.centres[which]
+        rest = self.placed(q) - self.centres[which]
         out = np.zeros((len(q), len(self.cuts), WORDS))
         for m, ((a, b), book) in enumerate(zip(self.cuts, self.books, strict=True)):
             out[:, m, : len(book)] = squared_distances(rest[:, a:b], book)
@@ -88,61 +99,88 @@ class Index:
 
 
 def train(x: np.ndarray, lists: int) -> Index:
-    most = float(np.abs(x).max())
-    scale = float(2.0 ** -np.floor(np.log2(most))) if most > 0 else 1.0
-    x = x * scale
+    shift = (x / len(x)).sum(0)
+    with np.errstate(over="ignore"):
+        far = np.abs(x * 0.5 - shift * 0.5).max(1)
+    middle = float(np.median(far[far > 0])) if (far > 0).any() else 0.0
+    scale = float(2.0 ** -np.clip(np.floor(np.log2(middle)) + 1, -1000, 1000)) if middle > 0 else 1.0
+    cuts = [(a, min(a + SUB, x.shape[1])) for a in range(0, x.shape[1], SUB)]
+    empty = Index(np.empty((0, x.shape[1])), [], cuts, scale, shift)
+    x = empty.placed(x)
     centres = kmeans(x, lists)
     rest = x - centres[squared_distances(x, centres).argmin(1)]
-    cuts = [(a, min(a + SUB, x.shape[1])) for a in range(0, x.shape[1], SUB)]
-    return Index(centres, [kmeans(rest[:, a:b], WORDS, rounds=6) for a, b in cuts], cuts, scale)
+    return Index(centres, [kmeans(rest[:, a:b], WORDS, rounds=6) for a, b in cuts], cuts, scale, shift)
 
 
 def tune(index: Index, x: np.ndarray, k: int, reach: float) -> tuple[int, int]:
-    """In how many lists a row stands and how many a query visits: the fewest codes by which a share `reach` of the k nearest rows of x is met."""
+    """In how many lists a row stands (one) and how many a query visits first: the fewest by which a share `reach` of the k nearest rows of x is met."""
     lists = len(index.centres)
     asked = np.unique(np.linspace(0, len(x) - 1, min(TUNE_QUERIES, len(x))).astype(int))
     order = index.nearest_lists(x[asked], lists)
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.broadcast_to(np.arange(lists), order.shape), axis=1)
-    scaled = x * index.scale
+    scaled = index.placed(x)
     d = squared_distances(scaled[asked], scaled)
     d[np.arange(len(asked)), asked] = np.inf
     near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
     if not near.size:
         return 1, lists
-    held = index.nearest_lists(x[near.ravel()], min(4, lists)).reshape(*near.shape, -1)
-    best, least = None, None
-    for spill in (1, 2, 4):
-        if spill <= held.shape[2]:
-            met = np.take_along_axis(rank[:, None, :], held[:, :, :spill], axis=2).min(axis=2)
-            visits = int(np.sort(met.ravel())[min(met.size - 1, int(np.ceil(reach * met.size)))]) + 1
-            if least is None or spill * visits < least:
-                best, least = (spill, visits), spill * visits
-    return best
-
-
-def search_list(index: Index, which: int, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, q: np.ndarray, own: np.ndarray, per_list: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query rows, candidate rows, their ids, code distances) of the nearest codes of one list, of equal ones those with the smaller ids."""
+    held = index.nearest_lists(x[near.ravel()], 1).reshape(near.shape)
+    met = np.take_along_axis(rank, held, axis=1)
+    return 1, int(np.sort(met.ravel())[min(met.size - 1, int(np.ceil(reach * met.size)))]) + 1
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to one query, in double precision; those whose squares leave its range by scaled differences."""
+    with np.errstate(over="ignore", under="ignore"):
+        apart = x - q
+        d = np.sqrt((apart**2).sum(1))
+        odd = np.flatnonzero(((d < 1e-140) & (d >= 0)) | ~np.isfinite(d))
+        if len(odd):
+            most = np.abs(apart[odd]).max(1)
+            power = np.where(np.isfinite(most) & (most > 0), np.frexp(most)[1], 0)
+            d[odd] = np.ldexp(np.sqrt((np.ldexp(apart[odd], -power[:, None]) ** 2).sum(1)), power)
+    return d
+
+
+def search_list(index: Index, which: int, rows: np.ndarray, ids: np.ndarray, codes: np.ndarray, errs: np.ndarray, x: np.ndarray, q: np.ndarray, own: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query rows, candidate rows, their ids, exact distances) of the k nearest rows of one list within each query's bound, of equal ones those with the smaller ids."""
     order = np.lexsort((rows, ids))
-    rows, ids = rows[order], ids[order]
+    rows, ids, errs, x = rows[order], ids[order], errs[order], x[order]
     flat = codes[order].astype(np.int64) + np.arange(len(index.cuts)) * WORDS
-    for start in range(0, len(q), 64):
-        tables = index.tables(q[start : start + 64], which).reshape(-1, len(index.cuts) * WORDS)
-        for table, query in zip(tables, own[start : start + 64], strict=True):
-            rough = table[flat].sum(1)
-            rough[rows == query] = np.inf
-            if len(rough) > per_list:
-                edge = np.partition(rough, per_list - 1)[per_list - 1]
-                inside = np.flatnonzero(rough < edge)
-                best = np.concatenate((inside, np.flatnonzero(rough == edge)[: per_list - len(inside)]))
-            else:
-                best = np.arange(len(rough))
-            best = best[np.isfinite(rough[best])]
-            yield np.full(len(best), query), rows[best], ids[best], rough[best]
-
-
-def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, reach: float = 0.97, per_list: int = 64, rerank: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: for each row with an id divisible by `every`, the k nearest found. reach: see tune."""
+    length = np.sqrt((index.centres[which] ** 2).sum()) + np.sqrt(sum((book**2).sum(1)[c] for book, c in zip(index.books, codes[order].T, strict=True))) + errs
+    step = max(1, min(64, 2_000_000 // max(1, flat.size)))
+    for start in range(0, len(q), step):
+        some = q[start : start + step]
+        tables = index.tables(some, which).reshape(len(some), -1)
+        rough = np.zeros((len(some), len(rows)))
+        for m in range(flat.shape[1]):
+            rough += tables[:, flat[:, m]]
+        rough = np.sqrt(rough)
+        lower = rough - errs - SLACK * (np.sqrt((index.placed(some) ** 2).sum(1))[:, None] + length)
+        own_row = rows == own[start : start + step, None]
+        lower[own_row] = np.inf
+        # Bounds from above hold for vectors that were not clipped alone, so the limit comes from exact distances of the k that look nearest.
+        first = min(k, len(rows))
+        rough[own_row] = np.inf
+        seeds = np.argpartition(rough, first - 1, axis=1)[:, :first]
+        for i, query in enumerate(own[start : start + step]):
+            most = bound[start + i]
+            if lower[i].min() > most * index.scale:
+                continue
+            seed = seeds[i][rough[i, seeds[i]] < np.inf]
+            if len(seed) >= k:
+                most = min(most, distances(x[seed], some[i]).max())
+            with np.errstate(over="ignore"):
+                inside = np.flatnonzero((lower[i] <= most * index.scale * (1 + SLACK)) & ~own_row[i])
+            exact = distances(x[inside], some[i])
+            best = np.argsort(exact, kind="stable")[:k]
+            best = best[exact[best] <= bound[start + i]]
+            yield np.full(len(best), query), rows[inside[best]], ids[inside[best]], exact[best]
+
+
+def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, reach: float = 0.5) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row with an id divisible by `every`, the k nearest. reach: what the first lists are to hold, see tune."""
     vectors = usable(embeddings, nonzero=True)
     n = vectors.count()
     spark = vectors.sparkSession
@@ -151,75 +189,62 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, reach: float =
     fitted = sample(vectors, TRAIN_ROWS)
     index = train(fitted, max(1, min(MAX_LISTS, round(n**0.5))))
     lists = len(index.centres)
-    spill, probes = tune(index, fitted, k, reach)
+    _, probes = tune(index, fitted, k, reach)
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if part.num_rows:
                 x = matrix(part.column(2).to_pylist())
-                for lists_ in shared.value.nearest_lists(x, spill).T:
-                    codes = shared.value.encode(x, lists_)
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists_.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["row", "vec_id", "list", "code"])
-
-    coded = materialise(vectors.select("row", "vec_id", "vec").mapInArrow(encode, "row long, vec_id long, list int, code binary"))
-    sizes = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_LISTS rows at most
-    parts = [max(1, -(-sizes.get(i, 0) // LIST_ROWS)) for i in range(lists)]
-    of_list = F.broadcast(spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "list int, parts int"))
-    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
-    cut_codes = coded.join(of_list, "list").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
-
-    def search(queries: DataFrame, first: int, last: int) -> DataFrame:
-        """query, row, vec_id, rough: the best of the lists that stand at the places first to last of each query."""
+                held = shared.value.nearest_lists(x, 1)[:, 0]
+                codes, errs, far = shared.value.encode(x, held)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(held.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(errs), pa.array(far)], names=["row", "vec_id", "vec", "list", "code", "err", "far"])
+
+    coded = materialise(vectors.select("row", "vec_id", "vec").mapInArrow(encode, "row long, vec_id long, vec binary, list int, code binary, err double, far double"))
+    held = {r["list"]: (r["n"], r["far"]) for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # MAX_LISTS rows at most
+    parts = [-(-held[i][0] // LIST_ROWS) if i in held else 0 for i in range(lists)]
+    radius = np.array([held[i][1] if i in held else 0.0 for i in range(lists)])
+    of_list = F.broadcast(spark.createDataFrame(list(enumerate(parts)), "list int, parts int"))
+    cut_codes = coded.drop("far").join(of_list, "list").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+    blocks = max(1, -(-n // (every * BLOCK_QUERIES)))
+    # Given as a number, so that tasks with little data and much to compute are not merged.
+    tasks = min(MOST_TASKS, -(-blocks * sum(parts) // 4))
+
+    def search(queries: DataFrame, again: bool) -> DataFrame:
+        """query, row, vec_id, score: the nearest in each of the first lists of a query (row, vec, bound), or in each of the others that may hold one within its bound."""
 
         def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
                 if not part.num_rows:
                     continue
-                near = shared.value.nearest_lists(matrix(part.column(1).to_pylist()), last)[:, first:]
+                x, ix = matrix(part.column(1).to_pylist()), shared.value
+                placed, near = ix.placed(x), ix.nearest_lists(x, lists)
+                far = np.sqrt(squared_distances(placed, ix.centres))
+                slack = SLACK * (np.sqrt((placed**2).sum(1))[:, None] + np.sqrt((ix.centres**2).sum(1)) + radius)
+                with np.errstate(over="ignore"):
+                    open_ = far - radius - slack <= (part.column(2).to_numpy(zero_copy_only=False) * ix.scale * (1 + SLACK))[:, None]
                 for i in range(part.num_rows):
-                    goes = [(int(w), p) for w in near[i] for p in range(parts[w]) if sizes.get(int(w))]
+                    goes = [(int(w), p) for w in (near[i, probes:] if again else near[i, :probes]) if not again or open_[i, w] for p in range(parts[w])]
                     take = pa.array(np.full(len(goes), i, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array([w for w, _ in goes], pa.int32()), pa.array([p for _, p in goes], pa.int32())], names=["query", "vec", "list", "part"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(3)), pa.array([w for w, _ in goes], pa.int32()), pa.array([p for _, p in goes], pa.int32())], names=["query", "vec", "bound", "list", "part"])
 
         def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             found = []
             if len(left) and len(right):
-                found = list(search_list(shared.value, int(key[0]), left["row"].to_numpy(), left["vec_id"].to_numpy(), matrix(left["code"], np.uint8), matrix(right["vec"]), right["query"].to_numpy(), per_list))
+                found = list(search_list(shared.value, int(key[0]), left["row"].to_numpy(), left["vec_id"].to_numpy(), matrix(left["code"], np.uint8), left["err"].to_numpy(), matrix(left["vec"]), matrix(right["vec"]), right["query"].to_numpy(), right["bound"].to_numpy(), k))
             columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, dtype=np.int64)] * 3 + [np.empty(0)]
-            return pd.DataFrame(dict(zip(("query", "row", "vec_id", "rough"), columns, strict=True)))
+            return pd.DataFrame(dict(zip(("query", "row", "vec_id", "score"), columns, strict=True)))
 
-        blocks = max(1, -(-n // (every * BLOCK_QUERIES)))
-        dealt = queries.select("row", "vec").mapInArrow(visit, "query long, vec binary, list int, part int").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-        codes = cut_codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         keys = ["list", "part", "block"]
-        # Given as a number, so that tasks with little data and much to compute are not merged.
-        tasks = min(MOST_TASKS, -(-blocks * sum(parts) // 4))
-        return codes.repartition(tasks, *keys).groupBy(*keys).cogroup(dealt.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(run, "query long, row long, vec_id long, rough double")
-
-    def finalists(rough: DataFrame) -> DataFrame:
-        # A row that several lists hold counts once, by its best code; dealt by the query, both steps need one shuffle.
-        once = rough.repartition("query").groupBy("query", "row", "vec_id").agg(F.min("rough").alias("rough"))
-        at = F.row_number().over(Window.partitionBy("query").orderBy("rough", "vec_id", "row"))
-        return once.withColumn("at", at).where(F.col("at") <= rerank).drop("at")
-
-    found = materialise(finalists(search(asked, 0, probes)))
-    while probes < lists:
-        full = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, n - 1))
-        short = asked.join(full.select(F.col("query").alias("row")), "row", "left_anti")
-        if short.isEmpty():
-            break
-        more = min(lists, 4 * probes)
-        found, probes = materialise(finalists(found.unionByName(search(short, probes, more)))), more
-    pairs = found.select("query", "row").join(vectors, "row").join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), F.col("vec").alias("q")), "query")
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
-                with np.errstate(over="ignore"):
-                    far = np.sqrt(((matrix(part.column(4).to_pylist()) - matrix(part.column(5).to_pylist())) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(far)], names=["query", "query_id", "row", "vec_id", "score"])
+        dealt = queries.select("row", "vec", "bound").mapInArrow(visit, "query long, vec binary, bound double, list int, part int").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+        codes = cut_codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return codes.repartition(tasks, *keys).groupBy(*keys).cogroup(dealt.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(run, "query long, row long, vec_id long, score double")
 
-    scored = pairs.select("query", "query_id", "row", "vec_id", "vec", "q").mapInArrow(exact, "query long, query_id long, row long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id", "row"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    by_query = Window.partitionBy("query").orderBy("score", "vec_id", "row")
+    best = lambda found: found.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
+    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
+    found = materialise(best(search(asked.withColumn("bound", F.lit(float("inf"))), False)).drop("rank"))
+    bounds = found.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("most")).where(F.col("n") >= k).select(F.col("query").alias("row"), F.col("most").alias("bound"))
+    more = search(asked.join(bounds, "row", "left").select("row", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound")), True)
+    whole = best(found.unionByName(more)) if probes < lists else best(found)
+    return whole.join(asked.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")

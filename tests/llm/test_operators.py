@@ -429,6 +429,32 @@ def test_ivfpq_visits_few_lists_where_there_is_structure():
     assert read["tight"] < 0.2 < read["loose"]
 
 
+def odd_vectors(kind):
+    rng = np.random.default_rng(11)
+    if kind == "tight":  # groups so narrow that codes tell their rows apart badly
+        x = rng.normal(size=(60, 32))[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 32)) * 1e-3
+    elif kind == "offset":
+        x = rng.normal(size=(2000, 32)) * 1e-4 + 1e3
+    elif kind == "outlier":
+        x = np.vstack([rng.normal(size=(1199, 8)), np.full((1, 8), 1e300)])
+    else:
+        x = rng.normal(size=(1000, 8)) * 1e-200
+    return x[rng.permutation(len(x))]
+
+
+@pytest.mark.parametrize("kind", ["tight", "offset", "outlier", "tiny"])
+def test_ivfpq_loses_no_neighbour_on_other_rows(spark, kind):
+    x = odd_vectors(kind)
+    got = collections.defaultdict(dict)
+    for r in ivfpq.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got[r.query_id][r.rank] = r.vec_id
+    scaled = x * 1e200 if kind == "tiny" else np.minimum(x, 1e100)
+    for q in range(0, len(x), 100):
+        d = ((scaled - scaled[q]) ** 2).sum(1)
+        d[q] = np.inf
+        assert [got[q][k] for k in range(1, 11)] == np.lexsort((np.arange(len(x)), d))[:10].tolist()
+
+
 def test_poisson_mixing(spark):
     texts = [(i, "word " * 10) for i in range(3000)]
     sources = {i: None if i < 10 else "hot" if i < 2000 else "cold" for i in range(3000)}
