@@ -14,7 +14,7 @@ from quillfold.functions.columns import blank_to_null, circuit_key, classify_sco
 from quillfold.functions.names import first_token, fold, initials_of_name, last_keys, surname_variants
 from quillfold.functions.opinions import author as author_of
 from quillfold.functions.opinions import signed_as_district
-from quillfold.operators.relational import active_pairs, latest_of, override, small
+from quillfold.operators.relational import active_pairs, cut_lineage, latest_of, override, small, whole_spans
 
 # The columns that the Supreme Court step clears and fills, and how parties are told.
 DATABASE_FIELDS = ["scdb_id", "issue_area", "issue_area_source", "decision_direction", "ideology_score", "ideology_source"]
@@ -153,27 +153,53 @@ def with_authors(rows: DataFrame, corrections: DataFrame | None = None, order: S
     return override(out.where(circuit), named, "cluster_id").unionByName(out.where(~F.coalesce(circuit, F.lit(False))))
 
 
-def _roster_counts(cases: DataFrame, roster: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For each case with candidates of the roster: n persons active on its date and the initials of the one chosen, rows and n_ok of the candidates; and the names sought."""
+def _active_initials(sought: DataFrame, people: DataFrame) -> DataFrame:
+    """q, p_initials, weight: how many persons with these initials are active at each question (all of the names without a date).
+
+    Persons of one surname and initials in a circuit are counted by their spans; the few who bear several meet questions one by one.
+    """
+    key, cells = ["circuit", "surname"], ["circuit", "surname", "p_initials"]
+    people = people.withColumnRenamed("initials", "p_initials").where("person IS NOT NULL")
+    several = people.groupBy("circuit", "person").agg(F.count_distinct("surname", "p_initials").alias("_n")).where("_n > 1").select("circuit", "person")
+    one, more = people.join(several, ["circuit", "person"], "left_anti"), people.join(several, ["circuit", "person"], "left_semi")
+    undated = sought.where("date IS NULL")
+    spans = whole_spans(one, cells).drop("person")
+    counted = active_pairs(sought, spans, key).select("q", "p_initials", "n")
+    ever = undated.join(small(one.groupBy(*cells).agg(F.count_distinct("person").alias("n"))), key).select("q", "p_initials", "n")
+    single = active_pairs(sought, more, key).unionByName(undated.join(small(more), key))
+    single = single.groupBy("q", "person").agg(F.max_by("p_initials", F.struct("start", "p_initials")).alias("p_initials")).select("q", "p_initials", F.lit(1).cast("long").alias("n"))
+    return counted.unionByName(ever).unionByName(single).withColumnRenamed("n", "weight")
+
+
+def _asked(cases: DataFrame) -> DataFrame:
+    """cases with q, the question that a case asks of roster and biographies (null: none): its circuit, date, initials and names."""
     initials = parse_initials(F.coalesce("initials", F.lit("")))
     own = F.when(circuit_key(F.col("court")) != "", circuit_key(F.col("court"))).otherwise(circuit_key(F.col("jurisdiction")))
-    asked = cases.where(F.trim(F.coalesce("author", F.lit(""))) != "").where("NOT coalesce(district, false)")
-    asked = asked.select("row_id", own.alias("circuit"), "date", initials.alias("initials"), F.explode(surname_variants(F.col("author"), F.col("jurisdiction"))).alias("last"))
+    asks = (F.trim(F.coalesce("author", F.lit(""))) != "") & ~F.coalesce("district", F.lit(False))
+    question = F.struct(own.alias("circuit"), F.col("date"), initials.alias("initials"), F.array_join(surname_variants(F.col("author"), F.col("jurisdiction")), "|").alias("names"))
+    return cases.withColumn("q", F.when(asks, F.to_json(question, {"ignoreNullFields": "false"})))
+
+
+def _roster_counts(asked: DataFrame, roster: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each question of `asked` with candidates of the roster: n persons active on its date and the initials of the one chosen, rows and n_ok of the candidates; and the names sought.
+
+    Cases that ask the same are one question, and roster rows and persons that answer alike are counted before they meet it.
+    """
+    questions = asked.where("q IS NOT NULL").select("q", F.from_json("q", "circuit string, date date, initials string, names string").alias("_a")).groupBy("q").agg(F.first("_a").alias("_a"))
+    questions = cut_lineage(questions).select("q", "_a.circuit", "_a.date", "_a.initials", F.explode(F.array_distinct(F.split("_a.names", r"\|"))).alias("surname"))
     held = roster.select("last", "full_name", "score", F.col("court").alias("r_court"), F.col("initials").alias("r_initials"), circuit_key(F.col("court")).alias("r_circuit")).dropDuplicates(["full_name", "r_court"])
+    alike = held.groupBy(F.col("last").alias("surname"), "r_circuit", "r_initials").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.struct("full_name", "score")).alias("_last"))
     fits_court = (F.col("circuit") == "") | (F.col("r_circuit") == "") | (F.col("circuit") == F.col("r_circuit"))
-    candidates = asked.join(small(held), "last").where(fits_court).dropDuplicates(["row_id", "full_name", "r_court"])
-    sought, held_by = asked.withColumnRenamed("last", "surname"), people.withColumnRenamed("initials", "p_initials")
-    undated = sought.where("date IS NULL").join(small(held_by), ["circuit", "surname"])
-    active = active_pairs(sought, held_by, ["circuit", "surname"]).unionByName(undated)
-    persons = active.groupBy("row_id", "person").agg(F.max("initials").alias("initials"), F.max_by("p_initials", F.struct("start", "p_initials")).alias("p_initials"))
+    candidates = questions.join(small(alike), "surname").where(fits_court)
+    persons = _active_initials(questions, people).join(questions.select("q", "initials").distinct(), "q")
     fit = (F.col("initials") != "") & initials_ok(F.col("initials"), F.col("p_initials"))
-    there = persons.groupBy("row_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(fit).alias("n_fit"), F.min("p_initials").alias("one"), F.min(F.when(fit, F.col("p_initials"))).alias("fit"))
-    there = there.select("row_id", "n", F.when(F.col("n") == 1, F.col("one")).when(F.col("n_fit") == 1, F.col("fit")).alias("target"))
-    joined = candidates.join(there, "row_id", "left")
+    there = persons.groupBy("q").agg(F.sum("weight").alias("n"), F.sum(F.when(fit, F.col("weight")).otherwise(0)).alias("n_fit"), F.min("p_initials").alias("one"), F.min(F.when(fit, F.col("p_initials"))).alias("fit"))
+    there = there.select("q", "n", F.when(F.col("n") == 1, F.col("one")).when(F.col("n_fit") == 1, F.col("fit")).alias("target"))
+    joined = candidates.join(there, "q", "left")
     by_person, alone = F.col("n").isNotNull(), F.col("initials")
     ok = F.when(by_person, F.col("target").isNotNull() & initials_ok(F.col("target"), F.col("r_initials"))).otherwise((alone != "") & initials_ok(alone, F.col("r_initials")))
-    counts = joined.groupBy("row_id").agg(F.max("n").alias("n"), F.max("target").alias("target"), F.max("initials").alias("initials"), F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("n_ok"), F.max(initials_conflict(alone, F.col("r_initials"))).alias("clash"), F.max(F.struct("full_name", "score")).alias("any"), F.max(F.when(ok, F.struct("full_name", "score"))).alias("ok"))
-    return counts, sought
+    counts = joined.groupBy("q").agg(F.max("n").alias("n"), F.max("target").alias("target"), F.max("initials").alias("initials"), F.sum("_rows").alias("rows"), F.sum(F.when(ok, F.col("_rows")).otherwise(0)).alias("n_ok"), F.max(initials_conflict(alone, F.col("r_initials"))).alias("clash"), F.max("_last").alias("any"), F.max(F.when(ok, F.col("_last"))).alias("ok"))
+    return counts, questions
 
 
 def roster_matches(cases: DataFrame, roster: DataFrame, people: DataFrame) -> DataFrame:
@@ -183,33 +209,37 @@ def roster_matches(cases: DataFrame, roster: DataFrame, people: DataFrame) -> Da
     One active person decides whatever the initials, and must fit just one roster row; several need initials that fit one
     of them; without any, the roster alone decides: a single row unless its initials clash, several if the initials fit one.
     """
-    counts, _ = _roster_counts(cases, roster, people)
+    asked = _asked(cases)
+    counts, _ = _roster_counts(asked, roster, people)
     single = F.col("n").isNull() & (F.col("rows") == 1) & ~F.col("clash")
     several = (F.col("n").isNotNull() | (F.col("rows") > 1)) & (F.col("n_ok") == 1)
     state = F.when(single, "roster_only").when(several, "found").when(F.col("n").isNull() & (F.col("rows") == 1), "conflict").otherwise("ambiguous")
-    return counts.select("row_id", F.when(single, F.col("any")).when(several, F.col("ok")).alias("hit"), state.alias("state")).select("row_id", "hit.full_name", "hit.score", "state")
+    decided = cut_lineage(counts.select("q", F.when(single, F.col("any")).when(several, F.col("ok")).alias("hit"), state.alias("state")))
+    return asked.select("row_id", "q").join(small(decided), "q").select("row_id", "hit.full_name", "hit.score", "state")
 
 
-def roster_reasons(cases: DataFrame, roster: DataFrame, people: DataFrame) -> DataFrame:
-    """row_id and why each case has the author that it has, or none.
+def roster_reasons(cases: DataFrame, roster: DataFrame, people: DataFrame, *keep: str) -> DataFrame:
+    """row_id (with the columns `keep` of its case) and why each case has the author that it has, or none.
 
     no_author, district (signed as a district judge), no_candidate (the roster has nobody of the name). One active person: active, or date
     where others of the name were not active; several: initials, or several / several_initials where these decide nothing; not_in_roster
     where the person fits no single roster row. Nobody active: roster_only, roster_conflict, roster_initials, roster_several.
     """
-    counts, sought = _roster_counts(cases, roster, people)
+    asked = _asked(cases)
+    counts, sought = _roster_counts(asked, roster, people)
     # How many persons bear the name: for each name their number and one of them, so that rows meet no list of persons.
     borne = people.groupBy("circuit", "surname").agg(F.count_distinct("person").alias("_n"), F.min("person").alias("_one"))
-    names = sought.join(small(borne), ["circuit", "surname"]).groupBy("row_id").agg((F.max("_n") > 1).alias("_many"), F.count_distinct("_one").alias("_ones"))
-    names = names.select("row_id", (F.col("_many") | (F.col("_ones") > 1)).alias("others"))
+    names = sought.join(small(borne), ["circuit", "surname"]).groupBy("q").agg((F.max("_n") > 1).alias("_many"), F.count_distinct("_one").alias("_ones"))
+    names = names.select("q", (F.col("_many") | (F.col("_ones") > 1)).alias("others"))
     n, found = F.col("n"), F.col("n_ok") == 1
     one = F.when(~found, "not_in_roster").when(F.coalesce("others", F.lit(False)), "date").otherwise("active")
     more = F.when(F.col("target").isNull(), F.when(F.col("initials") != "", "several_initials").otherwise("several")).when(found, "initials").otherwise("not_in_roster")
     none = F.when(F.col("rows") == 1, F.when(F.col("clash"), "roster_conflict").otherwise("roster_only")).when(found, "roster_initials").otherwise("roster_several")
     reason = F.when(n == 1, one).when(n > 1, more).otherwise(none)
-    decided = counts.join(names, "row_id", "left").select("row_id", reason.alias("_reason"))
+    decided = cut_lineage(counts.join(names, "q", "left").select("q", reason.alias("_reason")))
     blank = F.trim(F.coalesce("author", F.lit(""))) == ""
-    return cases.select("row_id", "author", "district").join(decided, "row_id", "left").select("row_id", F.when(blank, "no_author").when(F.coalesce("district", F.lit(False)), "district").otherwise(F.coalesce("_reason", F.lit("no_candidate"))).alias("reason"))
+    why = F.when(blank, "no_author").when(F.coalesce("district", F.lit(False)), "district").otherwise(F.coalesce("_reason", F.lit("no_candidate")))
+    return asked.select(*cases.columns, "q").join(small(decided), "q", "left").select("row_id", *keep, why.alias("reason"))
 
 
 def enrich_circuits(rows: DataFrame, roster: DataFrame, people: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import datetime
 import random
 
-from quillfold.operators import relational
+from quillfold.operators import enrichment, relational
 
 
 def day(n):
@@ -42,3 +42,23 @@ def test_interval_decision_meets_each_date_once(spark, monkeypatch):
         want.add((i, len(there), min(there) if len(there) == 1 else None))
     assert len(got) == len(rows) and {tuple(r) for r in got} == want
     assert sum(met) < 300 * 200
+
+
+def test_roster_meets_each_question_once(spark, monkeypatch):
+    """Cases that ask the same are one question, persons alike are counted; one who bears two sets of initials is one person still."""
+    cases = [(i, "Ash" if i % 2 else "Elm", "ca9", "CA9", day(20 + i % 3), "A." if i % 4 == 1 else "", False) for i in range(2000)]
+    people = [("9", "ash", f"p{i}", "B" if i % 2 else "C", None, None) for i in range(60)] + [("9", "ash", "q", "A", day(0), None)]
+    people += [("9", "elm", "r", "D", day(0), day(30)), ("9", "elm", "r", "E", day(10), None)]
+    roster = [("A", "A Ash", "ash", "9", "A", 0.5), ("B", "B Ash", "ash", "9", "B", 0.25), ("D", "D Elm", "elm", "9", "D", 0.1), ("E", "E Elm", "elm", "9", "E", -0.1)]
+    frames = (
+        spark.createDataFrame(cases, "row_id int, author string, court string, jurisdiction string, date date, initials string, district boolean"),
+        spark.createDataFrame(roster, "first_name string, full_name string, last string, court string, initials string, score double"),
+        spark.createDataFrame(people, "circuit string, surname string, person string, initials string, start date, end date"),
+    )
+    met = counted_pairs(monkeypatch, enrichment)
+    got = {r.row_id: (r.full_name, r.state) for r in enrichment.roster_matches(*frames).collect()}
+    want = {i: ("A Ash", "found") if i % 4 == 1 else (None, "ambiguous") if i % 2 else ("E Elm", "found") for i in range(2000)}
+    assert got == want
+    assert sum(met) < 2000
+    reasons = {r.row_id: r.reason for r in enrichment.roster_reasons(*frames).collect()}
+    assert reasons == {i: "initials" if i % 4 == 1 else "several" if i % 2 else "active" for i in range(2000)}
