@@ -427,8 +427,8 @@ def a18_roster_reasons(bio, roster, cases):
     day = lambda s: F.lit(s).cast("date")
     people = enrichment.circuit_appointments(_bio(bio), day("2005-01-01"), day("2023-12-31"))
     known = enrichment.circuit_roster(roster.withColumnsRenamed({"first": "first.name", "last": "last.name"}))
-    reasons = enrichment.roster_reasons(cases.withColumn("date", F.to_date("date")), known, people)
-    return reasons.join(cases.select("row_id", "jurisdiction"), "row_id").groupBy("jurisdiction", "reason").agg(F.count(F.lit(1)).alias("n"))
+    reasons = enrichment.roster_reasons(cases.withColumn("date", F.to_date("date")), known, people, "jurisdiction")
+    return reasons.groupBy("jurisdiction", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 _IGNORED = """WITH o AS (SELECT cluster_id, type FROM {opinions} WHERE trim(plain_text) <> '')
