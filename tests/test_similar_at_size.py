@@ -56,3 +56,15 @@ def test_lower_threshold_of_one_side(spark):
     e = F.array(entry(F.lit(7).cast("long"), F.lit(0.05), F.col("least")))
     got = similarity.candidates(df.select("id", "text", e.alias("e")), PLAIN).collect()
     assert {tuple(r) for r in got} == {(1, 2), (1, 3)}
+
+
+def test_texts_stay_where_they_lie(spark):
+    """Rows that go are looked up by id: no join of the steps deals out the texts."""
+    from quillfold.operators import dedup
+    from quillfold.operators.relational import cut_lineage
+
+    rows = spark.range(1000).select(F.col("id").alias("cluster_id"), F.repeat(F.lit("x"), 100).alias("opinion_text"))
+    left = dedup.without(rows, cut_lineage(rows.where("cluster_id % 3 = 0")))
+    assert left.count() == 666
+    assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in left._jdf.queryExecution().executedPlan().toString()
