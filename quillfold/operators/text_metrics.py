@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfold.operators.ngram_clips import clipped_counts
 from quillfold.operators.relational import cut_lineage
 
 
@@ -26,30 +27,22 @@ def _grams(w: Column, n: int) -> Column:
 def self_bleu(texts: DataFrame, group: str, row_id: str, text: str, order: int = 4) -> DataFrame:
     """group, row_id and bleu of each text against all others of its group (null without others): how little a group's texts vary.
 
-    Of each n-gram of a group the largest count with its holder and the second largest are enough: a text's count is clipped
-    only where it alone holds the largest, and then to the second. So texts are never paired, and a hot n-gram
-    passes on two rows from each task. Precisions beyond single words are smoothed by one; brevity goes by the nearest length
-    among the others, the shorter of two. Rows are told apart by row_id; texts without words and rows without a group take no part.
+    A text's counts are clipped by the largest ones among the others (see `ngram_clips`), so texts are never paired. Precisions beyond
+    single words are smoothed by one; brevity goes by the nearest length among the others, the shorter of two. A row for each
+    row_id; texts without words and rows without a group take no part.
     """
-    rows = texts.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(row_id).alias("id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    grams = rows.select("g", "id", F.explode(F.concat(*[_grams(F.col("w"), n) for n in range(1, order + 1)])).alias("e")).select("g", "id", "e.*")
-    counts = grams.groupBy("g", "n", "a", "b", "id").agg(F.count(F.lit(1)).alias("c"))
-    first_two = Window.partitionBy("g", "n", "a", "b").orderBy(F.desc("c"), "id")
-    two = counts.withColumn("_k", F.row_number().over(first_two)).where("_k <= 2")
-    lost = two.groupBy("g", "n", "a", "b").agg(F.max_by("id", F.struct("c", -F.col("_k"))).alias("id"), (F.max("c") - F.coalesce(F.max(F.when(F.col("_k") == 2, F.col("c"))), F.lit(0))).alias("lost"))
-    lost = lost.where("lost > 0").groupBy("g", "id").pivot("n", list(range(1, order + 1))).agg(F.sum("lost"))
-
-    sizes = rows.select("g", "id", F.size("w").alias("len"))
+    rows = texts.select(F.col(group).alias("g"), F.col(row_id).alias("id"), F.col(text).alias("text"))
+    sizes = cut_lineage(clipped_counts(rows, order))  # a row of numbers for each text
     lengths = sizes.groupBy("g", "len").agg(F.count(F.lit(1)).alias("same"))
     by_length = Window.partitionBy("g").orderBy("len")  # a row for each length
     below, above = F.lag("len").over(by_length), F.lead("len").over(by_length)
     nearer = F.when(F.col("same") > 1, F.col("len")).when(above.isNull() | (F.col("len") - below <= above - F.col("len")), below).otherwise(above)
     nearest = lengths.select("g", "len", nearer.alias("near"))
-    scored = sizes.join(nearest, ["g", "len"]).join(lost, ["g", "id"], "left")
+    scored = sizes.join(nearest, ["g", "len"])
     logs = None
     for n in range(1, order + 1):
         total, extra = F.greatest(F.col("len") - n + 1, F.lit(0)), F.lit(0 if n == 1 else 1)
-        log = F.try_divide((total - F.coalesce(F.col(f"`{n}`"), F.lit(0)) + extra).cast("double"), total + extra)
+        log = F.try_divide((total - F.col("lost")[n - 1] + extra).cast("double"), total + extra)
         logs = F.log(log) if logs is None else logs + F.log(log)
     brevity = F.least(F.lit(0.0), 1 - F.col("near") / F.col("len"))
     bleu = F.when(F.col("near").isNotNull(), F.coalesce(F.exp(logs / order + brevity), F.lit(0.0)))
