@@ -56,3 +56,15 @@ def test_mixed_thresholds_against_brute_force(spark):
             if a and b and len(a & b) >= least * len(a | b):
                 want.add((i, j))
     assert len(want) > 500 and want <= got
+
+
+def test_batches_to_workers_are_bounded(spark):
+    """64 MB, Spark's own bound, before; a session that asks for less keeps it."""
+    fresh, conf = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = fresh.createDataFrame([(1, "a b c d e f")], "id long, text string")
+    similarity.as_sets(df, SPACED)
+    assert fresh.conf.get(conf) == str(similarity.BATCH_BYTES)
+    for less in ("1m", "65536", "64kb"):
+        fresh.conf.set(conf, less)
+        similarity.as_sets(df, SPACED)
+        assert fresh.conf.get(conf) != str(similarity.BATCH_BYTES)
